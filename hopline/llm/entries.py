@@ -6,9 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents
+from .decontamination import contamination_report
 from .packing import pack_documents
+from .quality import quality_report
 from .sharding import balanced_shards
 from .tables import read_token_tables, write_token_tables
+from .toxicity import toxicity_scores
 
 
 def _vocabulary() -> str:
@@ -21,6 +24,18 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return balanced_shards(documents(spark, sf_dir), 40).drop("row_number")
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_report(documents(spark, sf_dir))
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination_report(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_scores(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(documents(spark, sf_dir), _vocabulary(), end_id=2).drop("ids")
 
@@ -32,6 +47,9 @@ def op10_token_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_sharding": op1_sharding,
+    "op4_quality_rules": op4_quality_rules,
+    "op5_decontamination": op5_decontamination,
+    "op6_toxicity": op6_toxicity,
     "op9_packing": op9_packing,
     "op10_token_tables": op10_token_tables,
 }
