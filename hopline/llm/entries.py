@@ -10,6 +10,7 @@ from .decontamination import contamination_report
 from .packing import pack_documents
 from .quality import quality_report
 from .sharding import balanced_shards
+from .simhash import simhash_components
 from .tables import read_token_tables, write_token_tables
 from .toxicity import toxicity_scores
 
@@ -24,6 +25,10 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return balanced_shards(documents(spark, sf_dir), 40).drop("row_number")
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_components(documents(spark, sf_dir))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_report(documents(spark, sf_dir))
 
@@ -47,6 +52,7 @@ def op10_token_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_sharding": op1_sharding,
+    "op2_simhash": op2_simhash,
     "op4_quality_rules": op4_quality_rules,
     "op5_decontamination": op5_decontamination,
     "op6_toxicity": op6_toxicity,
