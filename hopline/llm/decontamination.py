@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .automaton import SuffixAutomaton
 from .common import merge_runs, text_bytes
 
 #: Bytes of item texts in one automaton; more items are matched block by block.
@@ -26,50 +27,19 @@ def plain(text: bytes) -> bytes:
     return text.lower().translate(_TO_SPACE)
 
 
-class SuffixAutomaton:
-    """All runs of consecutive words of a set of items, one state for runs with the same end places."""
+class ItemAutomaton(SuffixAutomaton):
+    """The test items' words, with the items and windows that each state stands for."""
 
     def __init__(self, items: list[tuple[str | None, list[bytes]]], window: int):
+        super().__init__()
         self.window = window
         self.word_id: dict[bytes, int] = {}
-        self.next: list[dict[int, int]] = [{}]
-        self.link, self.length = [-1], [0]
         numbered = [(name, [self.word_id.setdefault(w, len(self.word_id)) for w in words]) for name, words in items if words]
         for _, words in numbered:
-            last = 0
-            for word in words:
-                last = self._extend(last, word)
+            self.add(words)
         self._annotate(numbered)
         self.shortest = min([window, *(len(words) for _, words in numbered)])
 
-    def _add(self, length: int, link: int, nxt: dict[int, int]) -> int:
-        self.length.append(length)
-        self.link.append(link)
-        self.next.append(nxt)
-        return len(self.link) - 1
-
-    def _split(self, state: int, word: int, child: int) -> int:
-        """The state for runs ending in ``word`` that are at most one word longer than those of ``state``."""
-        clone = self._add(self.length[state] + 1, self.link[child], dict(self.next[child]))
-        self.link[child] = clone
-        while state >= 0 and self.next[state].get(word) == child:
-            self.next[state][word] = clone
-            state = self.link[state]
-        return clone
-
-    def _extend(self, last: int, word: int) -> int:
-        child = self.next[last].get(word)
-        if child is not None:  # an earlier item has this run already
-            return child if self.length[child] == self.length[last] + 1 else self._split(last, word, child)
-        new, at = self._add(self.length[last] + 1, 0, {}), last
-        while at >= 0 and word not in self.next[at]:
-            self.next[at][word] = new
-            at = self.link[at]
-        if at >= 0:
-            child = self.next[at][word]
-            self.link[new] = child if self.length[child] == self.length[at] + 1 else self._split(at, word, child)
-        return new
-
     def _annotate(self, items: list[tuple[str | None, list[int]]]) -> None:
         """For each state: the state of its runs' last ``window`` words, the items there, whole short items."""
         n = len(self.link)
@@ -89,7 +59,7 @@ class SuffixAutomaton:
                     up = self.link[up]
             if len(words) < self.window:
                 ends.setdefault(state, []).append((len(words), name))
-        for state in sorted(range(1, n), key=self.length.__getitem__):
+        for state in reversed(self.by_falling_length()):
             link = self.link[state]
             if self.length[state] >= self.window:
                 self.window_state[state] = state if self.length[link] < self.window else self.window_state[link]
@@ -128,13 +98,13 @@ class SuffixAutomaton:
                     names.add(name)
 
 
-def _automata(benchmark: DataFrame, window: int) -> Iterator[SuffixAutomaton]:
+def _automata(benchmark: DataFrame, window: int) -> Iterator[ItemAutomaton]:
     items = benchmark.selectExpr("cast(item_id as string) item_id", "text")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = -(-total // BLOCK_BYTES)
     for block in range(blocks):
         part = items if blocks == 1 else items.where(F.expr(f"pmod(xxhash64(text), {blocks}) = {block}"))
-        yield SuffixAutomaton([(r.item_id, plain((r.text or "").encode()).split()) for r in part.collect()], window)
+        yield ItemAutomaton([(r.item_id, plain((r.text or "").encode()).split()) for r in part.collect()], window)
 
 
 def contaminated_spans(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
@@ -154,7 +124,7 @@ def contaminated_spans(docs: DataFrame, benchmark: DataFrame, window: int = 10)
     span_type = pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))
     schema = "doc_id long, text string, n_words long, spans array<struct<from:long,to:long>>, items array<string>"
     out = docs.selectExpr("cast(doc_id as long) doc_id", "text", "cast(null as long) n_words", "cast(array() as array<struct<from:long,to:long>>) spans", "cast(array() as array<string>) items")
-    for automaton in _automata(benchmark, window) if benchmark.head(1) else [SuffixAutomaton([], window)]:
+    for automaton in _automata(benchmark, window) if benchmark.head(1) else [ItemAutomaton([], window)]:
         shared = docs.sparkSession.sparkContext.broadcast(automaton)
 
         def match(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:

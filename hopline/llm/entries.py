@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from .common import documents
 from .decontamination import contamination_report
+from .matching import repeated_word_runs
 from .packing import pack_documents
 from .quality import quality_report
 from .sharding import balanced_shards
 from .simhash import simhash_components
+from .suffixes import repeated_substrings
 from .tables import read_token_tables, write_token_tables
 from .toxicity import toxicity_scores
 
@@ -29,6 +31,10 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(documents(spark, sf_dir))
 
 
+def op3_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_substrings(documents(spark, sf_dir))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_report(documents(spark, sf_dir))
 
@@ -41,6 +47,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_word_runs(documents(spark, sf_dir))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(documents(spark, sf_dir), _vocabulary(), end_id=2).drop("ids")
 
@@ -53,9 +63,11 @@ def op10_token_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_simhash": op2_simhash,
+    "op3_suffix_array": op3_suffix_array,
     "op4_quality_rules": op4_quality_rules,
     "op5_decontamination": op5_decontamination,
     "op6_toxicity": op6_toxicity,
+    "op7_substring_dedup": op7_substring_dedup,
     "op9_packing": op9_packing,
     "op10_token_tables": op10_token_tables,
 }
