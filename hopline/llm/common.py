@@ -3,19 +3,27 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 #: Arrow batches are cut by rows; documents can be long, so few rows go in one batch.
 BATCH_ROWS = 512
 
 
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
+def default_vocabulary() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
@@ -46,10 +54,6 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def map_batches(df: DataFrame, rows: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(rows, schema)
-
-
 def text_bytes(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of each text; null is empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
@@ -63,8 +67,3 @@ def merge_runs(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.nda
     starts, reach = np.asarray(starts)[order], np.maximum.accumulate(np.asarray(ends)[order])
     fresh = np.flatnonzero(np.r_[True, starts[1:] > reach[:-1]])
     return starts[fresh], reach[np.r_[fresh[1:] - 1, len(starts) - 1]]
-
-
-def null_safe_id(column: str = "doc_id"):
-    """Documents without an id come after all that have one."""
-    return F.coalesce(F.col(column).cast("long"), F.lit(2**63 - 1))

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from .common import documents
+from .common import default_vocabulary, documents
 from .decontamination import contamination_report
+from .licences import licence_scan
 from .matching import repeated_word_runs
 from .packing import pack_documents
 from .quality import quality_report
@@ -17,12 +17,6 @@ from .tables import read_token_tables, write_token_tables
 from .toxicity import toxicity_scores
 
 
-def _vocabulary() -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path("word_bpe_49k.json")
-
-
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return balanced_shards(documents(spark, sf_dir), 40).drop("row_number")
 
@@ -51,12 +45,16 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_word_runs(documents(spark, sf_dir))
 
 
+def op8_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licence_scan(documents(spark, sf_dir))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_documents(documents(spark, sf_dir), _vocabulary(), end_id=2).drop("ids")
+    return pack_documents(documents(spark, sf_dir), default_vocabulary(), end_id=2).drop("ids")
 
 
 def op10_token_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = write_token_tables(documents(spark, sf_dir), _vocabulary(), end_id=1)
+    files = write_token_tables(documents(spark, sf_dir), default_vocabulary(), end_id=1)
     return read_token_tables(spark, files).drop("ids")
 
 
@@ -68,6 +66,7 @@ QUERIES = {
     "op5_decontamination": op5_decontamination,
     "op6_toxicity": op6_toxicity,
     "op7_substring_dedup": op7_substring_dedup,
+    "op8_licences": op8_licences,
     "op9_packing": op9_packing,
     "op10_token_tables": op10_token_tables,
 }

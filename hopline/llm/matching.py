@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .automaton import SuffixAutomaton
-from .passages import NO_ID, Stretch, Words, chunk_table, gram_hashes, per_document, repeated_spans
+from .passages import CHUNK_BYTES, NO_ID, Stretch, Words, chunk_table, gram_hashes, per_document, repeated_spans
 
 _NEVER = (NO_ID, NO_ID)
 
@@ -98,7 +98,7 @@ def earlier_windows(found: list[Stretch], window: int) -> Iterator[tuple[int, in
                 yield chunk, place + last[0] - window, place + last[1]
 
 
-def repeated_word_runs(docs: DataFrame, window: int = 20) -> DataFrame:
+def repeated_word_runs(docs: DataFrame, window: int = 20, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """Words of every document that lie in a run of ``window`` words which also starts earlier.
 
     Earlier: in a document of smaller id, or further up in the same one.  Shards are cut by content, not
@@ -109,7 +109,7 @@ def repeated_word_runs(docs: DataFrame, window: int = 20) -> DataFrame:
     """
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
-    def emit(c, flat, ends, spans) -> pa.RecordBatch:
+    def emit(c, flat, ends, spans) -> list[pa.RecordBatch]:
         sizes, removed, kept = [], [], []
         for a, b, (starts, stops) in zip(np.r_[0, ends[:-1]].tolist(), ends.tolist(), spans):
             left, at = [], a
@@ -121,8 +121,8 @@ def repeated_word_runs(docs: DataFrame, window: int = 20) -> DataFrame:
             removed.append(b - a - len(left))
             kept.append(hashlib.sha256(b" ".join(left)).hexdigest())
         columns = [pa.array(c.ids, mask=c.ids == NO_ID), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())]
-        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_words", "n_removed", "kept_sha256"])
+        return [pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_words", "n_removed", "kept_sha256"])]
 
-    chunks = chunk_table(docs.select("doc_id", "text"))
+    chunks = chunk_table(docs.select("doc_id", "text"), chunk_bytes)
     spans = repeated_spans(chunks, Words(), window, max(1, min(8, window // 2)), earlier_windows, within=True)
     return per_document(chunks, spans, Words(), emit, schema)

@@ -49,8 +49,8 @@ class Chunk:
     rest: pa.RecordBatch
 
 
-def chunk_table(docs: DataFrame) -> DataFrame:
-    """Rows of about ``CHUNK_BYTES`` of text with the ids and all other columns of their documents."""
+def chunk_table(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """Rows of about ``chunk_bytes`` of text with the ids and all other columns of their documents."""
     at, key = docs.columns.index("text"), docs.columns.index("doc_id")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,11 +77,11 @@ def chunk_table(docs: DataFrame) -> DataFrame:
             done = 0
             while done < batch.num_rows:
                 before = int(sizes[done - 1]) if done else 0
-                stop = min(batch.num_rows, int(np.searchsorted(sizes, before + CHUNK_BYTES - size)) + 1)
+                stop = min(batch.num_rows, int(np.searchsorted(sizes, before + chunk_bytes - size)) + 1)
                 held.append(batch.slice(done, stop - done))
                 size += int(sizes[stop - 1]) - before
                 done = stop
-                if size >= CHUNK_BYTES:
+                if size >= chunk_bytes:
                     yield close()
                     held.clear()
                     size = 0
@@ -297,6 +297,6 @@ def per_document(chunks: DataFrame, spans: DataFrame, units, emit: Callable, sch
                 a, b = np.unique(np.r_[a, inner]), np.unique(np.r_[b, inner])
                 doc = np.searchsorted(ends, a, "right")
                 edges = np.searchsorted(doc, np.arange(len(ends) + 1))
-                yield emit(c, sequence, ends, [(a[x:y], b[x:y]) for x, y in zip(edges, edges[1:])])
+                yield from emit(c, sequence, ends, [(a[x:y], b[x:y]) for x, y in zip(edges, edges[1:])])
 
     return chunks.join(spans, "chunk", "left").select(*chunks.columns, "starts", "ends").mapInArrow(run, schema)

@@ -4,22 +4,40 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import simhash
+from .common import default_vocabulary, small_batches
+from .decontamination import remove_benchmark_spans
+from .packing import pack_documents
+from .suffixes import without_repeated_substrings
+from .toxicity import score_column, train
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Documents that score 0.7 or more go; the model learns from the labels of ``docs``."""
+    small_batches(spark)
+    model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return score_column(docs, model).where("toxicity < 0.7").select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """One document of each group whose sets of 5-word shingles are 0.8 alike stays."""
+    small_batches(spark)
+    return simhash.drop_near_copies(docs, shingle=5, similarity=0.8)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Passages of 100 bytes or more stay in the first document that holds them; the lines of a licence are shorter."""
+    small_batches(spark)
+    return without_repeated_substrings(docs, least=100)
 
 
 def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Runs of words covered by 10-word windows of test items go, and documents that are little else."""
+    small_batches(spark)
+    return remove_benchmark_spans(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), window=10, most_covered=0.8)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Sequences of up to 4096 ids, each one piece of one document, of power-of-two length."""
+    small_batches(spark)
+    return pack_documents(docs, default_vocabulary(), end_id=2, longest=4096)

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .passages import NO_ID, Bytes, Stretch, chunk_table, gram_hashes, per_document, repeated_spans
+from .passages import CHUNK_BYTES, NO_ID, Bytes, Stretch, chunk_table, gram_hashes, per_document, repeated_spans
 
 #: Stands for the byte before a stretch, which its bucket does not see.
 _UNSEEN = 256
@@ -67,6 +67,8 @@ class SuffixArray:
         One scan with a stack gives the intervals of suffixes with a common prefix, inner before outer;
         an interval is a maximal repeat if the bytes before its occurrences differ.
         """
+        if not len(self.order):
+            return
         before, rank = self.before[self.order].tolist(), rank[self.order].tolist()
         # length of the common prefix, first place, least and greatest byte before, least rank
         stack: list[list[int]] = []
@@ -114,7 +116,7 @@ def _cut(text: bytes, spans: tuple[np.ndarray, np.ndarray], begin: int) -> bytes
     return b"".join([*kept, text[at:]])
 
 
-def repeated_substrings(docs: DataFrame, least: int = 50) -> DataFrame:
+def repeated_substrings(docs: DataFrame, least: int = 50, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """Bytes of every document that lie in a ``least``-byte string which also starts in a document of smaller id.
 
     Strings are judged on the input and never cross documents.  Null texts are empty; documents without
@@ -123,7 +125,7 @@ def repeated_substrings(docs: DataFrame, least: int = 50) -> DataFrame:
     """
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
-    def emit(c, whole, ends, spans) -> pa.RecordBatch:
+    def emit(c, whole, ends, spans) -> list[pa.RecordBatch]:
         begins = np.r_[0, ends[:-1]].tolist()
         kept = [hashlib.sha256(_cut(t, s, b)).hexdigest() for t, s, b in zip(c.texts, spans, begins)]
         columns = [
@@ -133,33 +135,30 @@ def repeated_substrings(docs: DataFrame, least: int = 50) -> DataFrame:
             pa.array([len(s[0]) for s in spans], pa.int64()),
             pa.array(kept, pa.string()),
         ]
-        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+        return [pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])]
 
-    chunks = chunk_table(docs.select("doc_id", "text"))
+    chunks = chunk_table(docs.select("doc_id", "text"), chunk_bytes)
     spans = repeated_spans(chunks, Bytes(), least, _gram(least), earlier_repeats, within=False)
     return per_document(chunks, spans, Bytes(), emit, schema)
 
 
-def without_repeated_substrings(docs: DataFrame, least: int = 100) -> DataFrame:
+def without_repeated_substrings(docs: DataFrame, least: int = 100, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """All columns of ``docs``; texts lose what ``repeated_substrings`` marks.
 
     A character that is cut in two goes as a whole.  Documents of which nothing but white space is left
     go; those without marks keep their texts, null texts included.
     """
     names = docs.columns
-    at = names.index("text")
-    kind = pa.string()
 
-    def emit(c, whole, ends, spans) -> pa.RecordBatch:
+    def emit(c, whole, ends, spans) -> list[pa.RecordBatch]:
         begins = np.r_[0, ends[:-1]].tolist()
         texts = [_cut(t, s, b).decode(errors="ignore") for t, s, b in zip(c.texts, spans, begins)]
         keep = [not len(s[0]) or bool(t.strip()) for t, s in zip(texts, spans)]
         rest = c.rest.combine_chunks()
         null = rest.column("__null_text").to_pylist()
-        columns = [pa.array([None if n else t for n, t in zip(null, texts)], kind) if i == at else rest.column(n if n != "doc_id" else "doc_id").combine_chunks() for i, n in enumerate(names)]
-        columns = [x.chunk(0) if isinstance(x, pa.ChunkedArray) and x.num_chunks else x for x in columns]
-        return pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(keep, pa.bool_()))
+        columns = [pa.array([None if n else t for n, t in zip(null, texts)], pa.string()) if name == "text" else rest.column(name).combine_chunks() for name in names]
+        return pa.Table.from_arrays(columns, names=names).filter(pa.array(keep, pa.bool_())).combine_chunks().to_batches()
 
-    chunks = chunk_table(docs.selectExpr("*", "text is null as __null_text"))
+    chunks = chunk_table(docs.selectExpr("*", "text is null as __null_text"), chunk_bytes)
     spans = repeated_spans(chunks, Bytes(), least, _gram(least), earlier_repeats, within=False)
     return per_document(chunks, spans, Bytes(), emit, docs.schema)

@@ -178,15 +178,25 @@ class ToxicityModel:
         return np.clip(np.interp(self.trees.margin(self.lexicon.matrix(texts)), *self.levels), 0.0, 1.0)
 
 
-def fit(texts: list[str], toxic: np.ndarray, part: np.ndarray, weight: np.ndarray) -> ToxicityModel:
-    """Lexicon, trees and calibration each on rows of their own (``part`` 0-4, 5-7, 8-9)."""
-    first, second, third = part < 5, (part >= 5) & (part < 8), part >= 8
-    if min(toxic[first].sum(), toxic[second].sum(), toxic[third].sum(), (1 - toxic)[second].sum(), (1 - toxic)[third].sum()) < 1:
-        first = second = third = np.ones(len(toxic), bool)  # too few rows to set any apart
-    lexicon = Lexicon.learn([t for t, f in zip(texts, first) if f], toxic[first])
-    x = lexicon.matrix(texts)
-    trees = BoostedTrees().fit(x[second], toxic[second], weight[second])
-    return ToxicityModel(lexicon, trees, isotonic(trees.margin(x[third]), toxic[third], weight[third]))
+#: Parts of the sample; each is described and judged by what the others teach.
+FOLDS = 5
+
+
+def fit(texts: list[str], toxic: np.ndarray, fold: np.ndarray, weight: np.ndarray) -> ToxicityModel:
+    """Every row serves the lexicon, the trees and the calibration, but never describes itself.
+
+    A row's features come from a lexicon of the other folds, and its margin for the calibration from
+    trees of the other folds; the model that is kept has the lexicon and the trees of all rows.
+    """
+    x, margin = np.zeros((len(texts), len(FEATURES))), np.zeros(len(texts))
+    for one in range(FOLDS):
+        own = np.flatnonzero(fold == one)
+        rest = np.flatnonzero(fold != one)
+        x[own] = Lexicon.learn([texts[i] for i in rest], toxic[rest]).matrix([texts[i] for i in own])
+    for one in range(FOLDS):
+        own, rest = fold == one, fold != one
+        margin[own] = BoostedTrees().fit(x[rest], toxic[rest], weight[rest]).margin(x[own]) if rest.any() else 0.0
+    return ToxicityModel(Lexicon.learn(texts, toxic), BoostedTrees().fit(x, toxic, weight), isotonic(margin, toxic, weight))
 
 
 def held_out_column(key: str = "doc_id"):
@@ -204,15 +214,15 @@ def train(docs: DataFrame, labels: DataFrame) -> ToxicityModel | float:
     totals = {r.toxic: r["count"] for r in known.groupBy("toxic").count().collect()}
     texts = docs.selectExpr("cast(doc_id as long) doc_id", "text").where("text is not null")
     # the sample is bounded, so its ids are broadcast
-    rows = texts.join(F.broadcast(picked), "doc_id").select("text", "toxic", F.expr("pmod(xxhash64(doc_id, 'part'), 10)").alias("part")).collect()
+    rows = texts.join(F.broadcast(picked), "doc_id").select("text", "toxic", F.expr(f"pmod(xxhash64(doc_id, 'fold'), {FOLDS})").alias("fold")).collect()
     toxic = np.array([r.toxic for r in rows], float)
     if not len(rows) or toxic.min() == toxic.max():
         return totals.get(1, 0) / max(1, sum(totals.values()))
-    order = sorted(range(len(rows)), key=lambda i: (rows[i].part, rows[i].text, rows[i].toxic))
+    order = sorted(range(len(rows)), key=lambda i: (rows[i].fold, rows[i].text, rows[i].toxic))
     toxic = toxic[order]
     sampled = {k: (toxic == k).sum() for k in (0, 1)}
     weight = np.array([totals[int(t)] / sampled[int(t)] for t in toxic])
-    return fit([rows[i].text for i in order], toxic, np.array([rows[i].part for i in order]), weight / weight.mean())
+    return fit([rows[i].text for i in order], toxic, np.array([rows[i].fold for i in order]), weight / weight.mean())
 
 
 def score_column(docs: DataFrame, model: ToxicityModel | float) -> DataFrame:
