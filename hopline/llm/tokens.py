@@ -8,10 +8,47 @@ from array import array
 
 import numpy as np
 
-#: Words a worker remembers before it starts afresh: about 60 MB.
-MEMO_WORDS = 250_000
-
-_PLAIN = re.compile(rb"([a-z]+)([.,!?;:|]?)\Z")
+#: Words a worker remembers before it starts afresh: about 300 MB with their stems.
+MEMO_WORDS = 1_000_000
+
+#: Letters whose lower case is one letter of the same range, then marks that make one pre-token.
+_PLAIN = re.compile(r"([a-z\u00df-\u00f6\u00f8-\u00ff]+)([!-&(-/:;=-@\[-`{-~]*)\Z")
+
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+#: Byte-level vocabularies write each byte as a printable character: itself, or the next one from 256 on.
+_AS_CHARACTER = {b: b for b in _PRINTABLE} | {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in set(_PRINTABLE))}
+
+
+class _Words(dict):
+    """Word to its place in the lists of ids; a word not met before is encoded then."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.one = tokenizer, tokenizer.model.tokenize
+        # bytes, not lists: the garbage collector would walk these again and again
+        self.stems: dict[str, bytes] = {}
+        self.ids, self.ends = bytearray(), array("q", [0])
+
+    def __missing__(self, word: bytes) -> int:
+        text = word.decode()
+        if match := _PLAIN.match(text.lower()):
+            stem, mark = match.groups()
+            self.ids += self.stem(stem)
+            if mark:
+                self.ids += self.stem(mark)
+        else:
+            self.ids += array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        place = self[word] = len(self.ends) - 1
+        self.ends.append(len(self.ids) >> 2)
+        return place
+
+    def stem(self, text: str) -> bytes:
+        found = self.stems.get(text)
+        if found is None:
+            if len(self.stems) > MEMO_WORDS // 2:
+                self.stems.clear()
+            plain = text if text.isascii() else text.encode().decode("latin-1").translate(_AS_CHARACTER)
+            found = self.stems[text] = array("I", [t.id for t in self.one(plain)]).tobytes()
+        return found
 
 
 class WordMemoEncoder:
@@ -27,48 +64,23 @@ class WordMemoEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.forget()
         self.small = self.tokenizer.get_vocab_size() <= 1 << 16
-
-    def forget(self) -> None:
-        self.memo: dict[bytes, int] = {}
-        self.ids = array("I")
-        self.ends = array("q", [0])
-
-    def learn(self, words: list[bytes]) -> None:
-        one = self.tokenizer.model.tokenize
-        plain = {}
-        for word in words:
-            low = word.lower() if word.isascii() else b""
-            if match := _PLAIN.match(low):
-                stem, mark = match.groups()
-                if stem not in plain:
-                    plain[stem] = [t.id for t in one(stem.decode())]
-                found = plain[stem] + [t.id for t in one(mark.decode())] if mark else plain[stem]
-            else:
-                found = self.tokenizer.encode(word.decode(), add_special_tokens=False).ids
-            self.memo[word] = len(self.ends) - 1
-            self.ids.extend(found)
-            self.ends.append(len(self.ids))
+        self.words = _Words(self.tokenizer)
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         """uint32 ids of each text."""
-        if len(self.memo) > MEMO_WORDS:
-            self.forget()
+        if len(self.words) > MEMO_WORDS:
+            self.words = _Words(self.tokenizer)
+        place = self.words.__getitem__
         split = [t.split() for t in texts]
-        memo = self.memo
-        self.learn(list({w for words in split for w in words if w not in memo}))
-        ids, ends = np.array(self.ids, np.uint32), np.array(self.ends, np.int64)
-        out = []
-        for words in split:
-            if not words:
-                out.append(np.zeros(0, np.uint32))
-                continue
-            at = np.fromiter(map(memo.__getitem__, words), np.int64, len(words))
-            first, size = ends[at], ends[at + 1] - ends[at]
-            stop = np.cumsum(size)
-            out.append(ids[np.arange(stop[-1]) + np.repeat(first - (stop - size), size)])
-        return out
+        at = [np.fromiter(map(place, words), np.int64, len(words)) for words in split]
+        ids, ends = np.frombuffer(bytes(self.words.ids), np.uint32), np.array(self.words.ends, np.int64)
+        flat = np.concatenate([np.zeros(0, np.int64), *at])
+        first, size = ends[flat], ends[flat + 1] - ends[flat]
+        stop = np.cumsum(size)
+        whole = ids[np.arange(size.sum()) + np.repeat(first - (stop - size), size)]
+        cuts = np.r_[0, stop][np.cumsum([len(words) for words in split])] if texts else []
+        return np.split(whole, cuts[:-1]) if texts else []
 
 
 _encoders: dict[str, WordMemoEncoder] = {}
