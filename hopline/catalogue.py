@@ -5,6 +5,698 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from . import fixtures as G
+from .functions import bits, parameters
+from .functions.sampling import uniform_bits
+from .graph import Graph, partition_by_labels, vertex_attribute_index
+from .operators import applications, checks, closure, dynamic, generators, hopsets, paths, shortcuts, sketches, traversal
+from .plans.storage import materialised
+from .sources import arrays
+from .streaming.closure import StreamingClosure, StreamingDegreeSketch, StreamingShortcuts
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+
+_CACHE: dict[tuple, Graph] = {}
+
+
+def _kept(graph: Graph) -> Graph:
+    return Graph(materialised(graph.vertices, "vertices"), materialised(graph.edges, "edges"))
+
+
+def _g1(spark: SparkSession, sf_dir: str, threshold: int) -> Graph:
+    """Derived once for a query: several jobs read it."""
+    return _kept(G.part_succession(spark, sf_dir, threshold))
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def register(function: Query) -> Query:
+        QUERIES[name] = function
+        if sql is not None:
+            ORACLES[name] = sql
+        return function
+
+    return register
+
+
+# --- SQL pieces --------------------------------------------------------------------------------------
+
+
+def _edges(t: int, name: str = "e") -> str:
+    return f"""{name} AS (SELECT a.l_partkey AS src, b.l_partkey AS dst, min(CAST(a.l_quantity AS BIGINT)) AS w
+ FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 AND a.l_partkey <> b.l_partkey
+ WHERE a.l_quantity >= {t} GROUP BY 1, 2)"""
+
+
+_SOURCE = "s0 AS (SELECT src AS v FROM e GROUP BY src ORDER BY count(*) DESC, src LIMIT 1)"
+_V = "vs AS (SELECT src AS v FROM e UNION SELECT dst FROM e)"
+_P5 = "p5 AS (SELECT v FROM vs ORDER BY v LIMIT 5)"
+
+
+def _reach(start: str, edges: str = "e", name: str = "r") -> str:
+    return f"{name}(v) AS (SELECT v FROM {start} UNION SELECT e2.dst FROM {name} JOIN {edges} e2 ON e2.src = {name}.v)"
+
+
+def _back(start: str, name: str = "q") -> str:
+    return f"{name}(v) AS (SELECT v FROM {start} UNION SELECT e2.src FROM {name} JOIN e e2 ON e2.dst = {name}.v)"
+
+
+_TC = "tc(src, dst) AS (SELECT v, v FROM vs UNION SELECT tc.src, e2.dst FROM tc JOIN e e2 ON e2.src = tc.dst)"
+
+
+def _sssp(edges: str = "e", start: str = "s0", name: str = "d", bound: str = "") -> str:
+    return f"""{name}(v, dist) USING KEY (v) AS (SELECT v, CAST(0 AS BIGINT) FROM {start}
+ UNION SELECT x.v, x.dist FROM (SELECT e2.dst AS v, min({name}.dist + e2.w) AS dist FROM {name} JOIN {edges} e2 ON e2.src = {name}.v GROUP BY 1) x
+ LEFT JOIN recurring.{name} old ON old.v = x.v WHERE (old.v IS NULL OR x.dist < old.dist){bound})"""
+
+
+# --- construction and projection ---------------------------------------------------------------------
+
+
+@query("degrees", f"WITH {_edges(0)}, {_V} SELECT v AS id, (SELECT count(*) FROM e WHERE src = v) AS out_degree, (SELECT count(*) FROM e WHERE dst = v) AS in_degree FROM vs")
+def _degrees(spark, d):
+    return G.part_succession(spark, d, 0).degrees()
+
+
+@query("graph_stats", f"WITH {_edges(0)}, {_V} SELECT (SELECT count(*) FROM vs) AS n, (SELECT count(*) FROM e) AS m, (SELECT max(c) FROM (SELECT count(*) c FROM e GROUP BY src)) AS max_out_degree, (SELECT max(c) FROM (SELECT count(*) c FROM e GROUP BY dst)) AS max_in_degree")
+def _stats(spark, d):
+    return G.part_succession(spark, d, 0).stats()
+
+
+@query("edges", f"WITH {_edges(0)} SELECT src, dst, w FROM e")
+def _edge_scan(spark, d):
+    return G.part_succession(spark, d, 0).edges
+
+
+@query("vertices", f"WITH {_edges(0)}, {_V} SELECT v AS id FROM vs")
+def _vertex_scan(spark, d):
+    return G.part_succession(spark, d, 0).vertices.select("id")
+
+
+@query("index_of", f"WITH {_edges(46)}, {_V} SELECT v AS id, row_number() OVER (ORDER BY v) - 1 AS place FROM vs")
+def _index_of(spark, d):
+    g = _g1(spark, d, 46)
+    return g.index_of(g.vertices.select("id")).select("id", F.col("place").cast("long").alias("place"))
+
+
+@query("reverse", f"WITH {_edges(46)} SELECT dst AS src, src AS dst, w FROM e")
+def _reverse(spark, d):
+    return G.part_succession(spark, d, 46).reverse().edges
+
+
+@query("to_unweighted", f"WITH {_edges(46)} SELECT src, dst FROM e")
+def _unweighted(spark, d):
+    return G.part_succession(spark, d, 46).to_unweighted().edges
+
+
+@query("add_edges", f"WITH {_edges(48)}, {_edges(49, 'f')} SELECT src, dst, min(w) AS w FROM (SELECT src, dst, w FROM e UNION ALL SELECT dst, src, w FROM f) GROUP BY 1, 2")
+def _add_edges(spark, d):
+    return G.part_succession(spark, d, 48).add_edges(G.part_succession(spark, d, 49).reverse().edges).edges
+
+
+@query("add_undirected_edges", f"WITH {_edges(49)} SELECT src, dst, min(w) AS w FROM (SELECT src, dst, w FROM e UNION ALL SELECT dst, src, w FROM e) GROUP BY 1, 2")
+def _undirected(spark, d):
+    g = G.part_succession(spark, d, 49)
+    return Graph.of(g.edges.limit(0)).add_undirected_edges(g.edges).edges
+
+
+@query("induced_subgraph", f"WITH {_edges(0)} SELECT src, dst, w FROM e WHERE src % 3 = 0 AND dst % 3 = 0")
+def _induced(spark, d):
+    g = G.part_succession(spark, d, 0)
+    return g.induced_subgraph(g.vertices.where("id % 3 = 0")).edges
+
+
+@query("out_neighbors", f"WITH {_edges(46)}, {_V}, {_P5} SELECT src, dst, w FROM e WHERE src IN (SELECT v FROM p5)")
+def _out(spark, d):
+    g = G.part_succession(spark, d, 46)
+    return g.out_neighbors(g.vertices.orderBy("id").limit(5)).select("src", "dst", "w")
+
+
+@query("in_neighbors", f"WITH {_edges(46)}, {_V}, {_P5} SELECT src, dst, w FROM e WHERE dst IN (SELECT v FROM p5)")
+def _in(spark, d):
+    g = G.part_succession(spark, d, 46)
+    return g.in_neighbors(g.vertices.orderBy("id").limit(5)).select("src", "dst", "w")
+
+
+@query("vertex_attribute_index", "SELECT p_size AS attribute, array_to_string(list_sort(list(p_partkey)), ',') AS ids FROM part GROUP BY 1")
+def _attribute_index(spark, d):
+    parts = G.table(spark, d, "part").select(F.col("p_partkey").cast("long").alias("id"), "p_size")
+    return vertex_attribute_index(parts, "p_size").select("attribute", F.array_join("ids", ",").alias("ids"))
+
+
+@query("to_csr", f"WITH {_edges(46)}, {_V}, p AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS place FROM vs), n AS (SELECT p.place, count(e.dst) AS c, coalesce(array_to_string(list_sort(list(b.place) FILTER (b.place IS NOT NULL)), ','), '') AS neighbours FROM p LEFT JOIN e ON e.src = p.v LEFT JOIN p b ON b.v = e.dst GROUP BY 1) SELECT place, CAST(sum(c) OVER (ORDER BY place) - c AS BIGINT) AS first, CAST(sum(c) OVER (ORDER BY place) AS BIGINT) AS stop, neighbours FROM n")
+def _csr(spark, d):
+    return arrays.to_csr(_g1(spark, d, 46)).select(F.col("place").cast("long").alias("place"), "first", "stop", F.array_join("neighbours", ",").alias("neighbours"))
+
+
+@query("csr_round_trip", f"WITH {_edges(46)} SELECT src, dst FROM e")
+def _csr_back(spark, d):
+    return arrays.from_csr(arrays.to_csr(_g1(spark, d, 46))).edges
+
+
+# --- reachability ------------------------------------------------------------------------------------
+
+
+@query("bfs_reachability", f"WITH RECURSIVE {_edges(46)}, {_SOURCE}, {_reach('s0')} SELECT v FROM r")
+def _bfs(spark, d):
+    g = _g1(spark, d, 46)
+    return traversal.bfs_reachability(g, G.busiest(g))
+
+
+@query("bfs_relational", f"WITH RECURSIVE {_edges(49)}, {_SOURCE}, {_reach('s0')} SELECT v FROM r")
+def _bfs_relational(spark, d):
+    g = _g1(spark, d, 49)
+    return traversal.bfs_reachability(g, G.busiest(g), "relational")
+
+
+@query("reverse_bfs_reachability", f"WITH RECURSIVE {_edges(46)}, {_SOURCE}, {_back('s0')} SELECT v FROM q")
+def _rbfs(spark, d):
+    g = _g1(spark, d, 46)
+    return traversal.reverse_bfs_reachability(g, G.busiest(g))
+
+
+_HOPS = f"WITH RECURSIVE {_edges(46)}, {_SOURCE}, h(v, hop) AS (SELECT v, 0 FROM s0 UNION SELECT e.dst, h.hop + 1 FROM h JOIN e ON e.src = h.v WHERE h.hop < 60)"
+
+
+@query("bfs_hops", f"{_HOPS} SELECT v, CAST(min(hop) AS BIGINT) AS hop FROM h GROUP BY v")
+def _hops(spark, d):
+    g = _g1(spark, d, 46)
+    return traversal.bfs_hops(g, G.busiest(g))
+
+
+@query("bfs_layers", f"{_HOPS} SELECT CAST(hop AS BIGINT) AS hop, count(*) AS size FROM (SELECT v, min(hop) AS hop FROM h GROUP BY v) GROUP BY 1")
+def _layers(spark, d):
+    g = _g1(spark, d, 46)
+    return traversal.bfs_layers(g, G.busiest(g))
+
+
+@query("hop_limited_bfs", f"WITH RECURSIVE {_edges(46)}, {_SOURCE}, h(v, hop) AS (SELECT v, 0 FROM s0 UNION SELECT e.dst, h.hop + 1 FROM h JOIN e ON e.src = h.v WHERE h.hop < 3) SELECT DISTINCT v FROM h WHERE v NOT IN (SELECT v FROM s0)")
+def _hop_limited(spark, d):
+    g = _g1(spark, d, 46)
+    return traversal.hop_limited_neighbours(g, G.busiest(g), 3)
+
+
+@query("bfs_depth_multi", f"WITH RECURSIVE {_edges(48)}, {_V}, {_P5}, h(s, v, hop) AS (SELECT v, v, 0 FROM p5 UNION SELECT h.s, e.dst, h.hop + 1 FROM h JOIN e ON e.src = h.v WHERE h.hop < 60) SELECT s AS source, CAST(max(hop) AS BIGINT) AS depth FROM (SELECT s, v, min(hop) AS hop FROM h GROUP BY 1, 2) GROUP BY 1")
+def _depths(spark, d):
+    g = _g1(spark, d, 48)
+    return traversal.eccentricities(g, g.vertices.orderBy("id").limit(5))
+
+
+_R = f"WITH RECURSIVE {_edges(46)}, {_V}, {_P5}, {_reach('p5')}, {_back('p5')}"
+
+
+def _five(g: Graph) -> DataFrame:
+    return g.vertices.orderBy("id").limit(5).select("id")
+
+
+@query("r_sets", f"{_R} SELECT v, 'backward' AS role FROM q UNION ALL SELECT v, 'forward' FROM r")
+def _r_sets(spark, d):
+    g = _g1(spark, d, 46)
+    back, forward = traversal.r_sets(g, _five(g))
+    return back.withColumn("role", F.lit("backward")).union(forward.withColumn("role", F.lit("forward")))
+
+
+@query("ancestors", f"{_R} SELECT v FROM q EXCEPT SELECT v FROM r")
+def _ancestors(spark, d):
+    g = _g1(spark, d, 46)
+    return traversal.ancestors(g, _five(g))
+
+
+@query("descendants", f"{_R} SELECT v FROM r EXCEPT SELECT v FROM q")
+def _descendants(spark, d):
+    g = _g1(spark, d, 46)
+    return traversal.descendants(g, _five(g))
+
+
+@query("bridges", f"{_R} SELECT v FROM r INTERSECT SELECT v FROM q")
+def _bridges(spark, d):
+    g = _g1(spark, d, 46)
+    return traversal.bridges(g, _five(g))
+
+
+@query("pivot_reach", f"WITH RECURSIVE {_edges(48)}, {_V}, {_P5}, f(p, v) AS (SELECT v, v FROM p5 UNION SELECT f.p, e.dst FROM f JOIN e ON e.src = f.v), b(p, v) AS (SELECT v, v FROM p5 UNION SELECT b.p, e.src FROM b JOIN e ON e.dst = b.v) SELECT p AS pivot, true AS forward, v FROM f WHERE p <> v UNION ALL SELECT p, false, v FROM b WHERE p <> v")
+def _pivot_reach(spark, d):
+    g = _g1(spark, d, 48)
+    return traversal.pivot_reach(g, _five(g))
+
+
+def _sized(spark, d, t: int) -> Graph:
+    g = G.part_succession(spark, d, t)
+    parts = G.table(spark, d, "part").select(F.col("p_partkey").cast("long").alias("id"), "p_size")
+    return _kept(Graph(g.vertices.join(parts, "id", "left"), g.edges))
+
+
+@query("attributed_bfs", f"WITH RECURSIVE {_edges(46)}, {_SOURCE}, ok AS (SELECT p_partkey AS v FROM part WHERE p_size <= 45), g AS (SELECT src, dst FROM e WHERE w <= 49 AND src IN (SELECT v FROM ok) AND dst IN (SELECT v FROM ok)), s AS (SELECT v FROM s0 WHERE v IN (SELECT v FROM ok)), {_reach('s', 'g')} SELECT v FROM r")
+def _attributed(spark, d):
+    g = _sized(spark, d, 46)
+    return traversal.attributed_bfs(g, G.busiest(g), F.col("p_size") <= 45, F.col("w") <= 49)
+
+
+@query("attributed_reachable_pairs", f"WITH RECURSIVE {_edges(48)}, {_V}, ok AS (SELECT p_partkey AS v FROM part WHERE p_size <= 40), g AS (SELECT src, dst FROM e WHERE src IN (SELECT v FROM ok) AND dst IN (SELECT v FROM ok)), r(s, v) AS (SELECT v, v FROM vs WHERE v % 7 = 0 AND v IN (SELECT v FROM ok) UNION SELECT r.s, g.dst FROM r JOIN g ON g.src = r.v) SELECT s AS source, v AS target FROM r WHERE v % 5 = 0")
+def _attributed_pairs(spark, d):
+    g = _sized(spark, d, 48)
+    return traversal.attributed_reachable_pairs(g, g.vertices.where("id % 7 = 0"), g.vertices.where("id % 5 = 0"), F.col("p_size") <= 40)
+
+
+@query("hierarchy_descendants", "WITH RECURSIVE h AS (SELECT CAST(n_regionkey AS BIGINT) AS src, 1000000000000 + n_nationkey AS dst FROM nation UNION ALL SELECT 1000000000000 + c_nationkey, 2000000000000 + c_custkey FROM customer UNION ALL SELECT 2000000000000 + o_custkey, 3000000000000 + o_orderkey FROM orders), r(a, v) AS (SELECT CAST(r_regionkey AS BIGINT), CAST(r_regionkey AS BIGINT) FROM region UNION SELECT r.a, h.dst FROM r JOIN h ON h.src = r.v) SELECT a AS ancestor, count(*) AS n FROM r GROUP BY 1")
+def _hierarchy(spark, d):
+    g = _kept(G.hierarchy(spark, d))
+    roots = G.table(spark, d, "region").select(F.col("r_regionkey").cast("long").alias("id"))
+    return traversal.reachable_pairs(g, roots).groupBy(F.col("source").alias("ancestor")).agg(F.count("*").alias("n"))
+
+
+@query("conversation_paths", "WITH t AS (SELECT CAST(conv_id AS BIGINT) AS conv_id, count(*) AS n FROM conversations GROUP BY 1) SELECT conv_id, CAST(n * (n + 1) // 2 AS BIGINT) AS n_pairs FROM t")
+def _conversations(spark, d):
+    pairs = closure.transitive_closure(_kept(G.conversation_turns(spark, d)))
+    return pairs.groupBy(F.expr("src div 1000000").alias("conv_id")).agg(F.count("*").alias("n_pairs"))
+
+
+# --- hypergraphs and time ----------------------------------------------------------------------------
+
+_HYPER = "h AS (SELECT l_orderkey AS eid, list(DISTINCT l_partkey) FILTER (l_linenumber = 1) AS tail, list(DISTINCT l_partkey) FILTER (l_linenumber > 1) AS head FROM lineitem GROUP BY 1 HAVING count(*) FILTER (l_linenumber = 1) > 0 AND count(*) FILTER (l_linenumber > 1) > 0), x AS (SELECT DISTINCT t.src, unnest(t.head) AS dst FROM (SELECT unnest(tail) AS src, head FROM h) t)"
+
+
+@query("hyper_to_digraph", f"WITH {_HYPER} SELECT src, dst FROM x WHERE src <> dst")
+def _hyper_edges(spark, d):
+    return traversal.hyper_to_graph(traversal.valid_hyperedges(G.order_hyperedges(spark, d)))
+
+
+@query("hyper_reachable", f"WITH RECURSIVE {_HYPER}, s0 AS (SELECT min(src) AS v FROM x), {_reach('s0', 'x')} SELECT v FROM r")
+def _hyper(spark, d):
+    h = materialised(G.order_hyperedges(spark, d), "hyper")
+    first = h.select(F.explode("tail").alias("v")).agg(F.min("v").alias("v")).head().v
+    return traversal.hyper_reachable(h, first)
+
+
+_TEMPORAL = "t AS (SELECT user_id AS src, lead(user_id) OVER (ORDER BY ts, event_id) AS dst, epoch_us(ts) AS tau FROM events), e AS (SELECT CAST(src AS BIGINT) AS src, CAST(dst AS BIGINT) AS dst, tau FROM t WHERE dst IS NOT NULL AND src <> dst)"
+
+
+@query("temporal_edges", f"WITH {_TEMPORAL} SELECT src, dst, tau FROM e")
+def _temporal_edges(spark, d):
+    return G.event_handoff(spark, d)
+
+
+@query("earliest_arrival", f"""WITH RECURSIVE {_TEMPORAL}, a(v, tau) USING KEY (v) AS (SELECT min(src), CAST(0 AS BIGINT) FROM e
+ UNION SELECT x.v, x.tau FROM (SELECT e.dst AS v, min(e.tau) AS tau FROM a JOIN e ON e.src = a.v AND e.tau >= a.tau GROUP BY 1) x LEFT JOIN recurring.a old ON old.v = x.v WHERE old.v IS NULL OR x.tau < old.tau) SELECT v, tau FROM a""")
+def _arrivals(spark, d):
+    e = materialised(G.event_handoff(spark, d), "temporal")
+    return traversal.earliest_arrivals(e, e.agg(F.min("src")).head()[0])
+
+
+@query("temporal_reach", f"WITH {_TEMPORAL} SELECT DISTINCT v FROM (SELECT min(src) AS v FROM e UNION ALL SELECT dst FROM e WHERE tau >= (SELECT min(tau) FROM e WHERE src = (SELECT min(src) FROM e)))")
+def _temporal(spark, d):
+    e = materialised(G.event_handoff(spark, d), "temporal")
+    return traversal.temporal_reachable(e, e.agg(F.min("src")).head()[0])
+
+
+# --- closure and components --------------------------------------------------------------------------
+
+
+@query("transitive_closure", f"WITH RECURSIVE {_edges(48)}, {_V}, {_TC} SELECT src, dst FROM tc")
+def _closure(spark, d):
+    return closure.transitive_closure(_g1(spark, d, 48))
+
+
+@query("closure_by_squaring", f"WITH RECURSIVE {_edges(49)}, {_V}, {_TC} SELECT src, dst FROM tc")
+def _squaring(spark, d):
+    return closure.transitive_closure(_g1(spark, d, 49), strategy="relational")
+
+
+@query("closure_budget", f"WITH RECURSIVE {_edges(48)}, {_V}, {_TC} SELECT src, dst FROM tc ORDER BY src, dst LIMIT 100")
+def _budget(spark, d):
+    return closure.transitive_closure(_g1(spark, d, 48), max_pairs=100, budget_strict=False)
+
+
+@query("tc_on_subset", f"WITH RECURSIVE {_edges(46, 'e0')}, e AS (SELECT * FROM e0 WHERE src % 2 = 0 AND dst % 2 = 0), vs AS (SELECT src AS v FROM e0 WHERE src % 2 = 0 UNION SELECT dst FROM e0 WHERE dst % 2 = 0), {_TC} SELECT src, dst FROM tc")
+def _subset(spark, d):
+    g = _g1(spark, d, 46)
+    return closure.closure_on_subset(g, g.vertices.where("id % 2 = 0"))
+
+
+_SCC = f"WITH RECURSIVE {_edges(46)}, {_V}, {_TC}, scc AS (SELECT a.src AS v, min(a.dst) AS scc_id FROM tc a JOIN tc b ON b.src = a.dst AND b.dst = a.src GROUP BY 1)"
+
+
+@query("scc", f"{_SCC} SELECT v, scc_id FROM scc")
+def _scc(spark, d):
+    return closure.strong_components(_g1(spark, d, 46))
+
+
+@query("scc_relational", _SCC.replace(_edges(46), _edges(48)) + " SELECT v, scc_id FROM scc")
+def _scc_relational(spark, d):
+    return closure.strong_components(_g1(spark, d, 48), "relational")
+
+
+@query("contract_sccs", f"{_SCC} SELECT v, scc_id, count(*) OVER (PARTITION BY scc_id) AS size FROM scc")
+def _contract(spark, d):
+    return closure.contract_components(_g1(spark, d, 46))
+
+
+@query("condense_to_dag", f"{_SCC} SELECT DISTINCT a.scc_id AS src, b.scc_id AS dst FROM e JOIN scc a ON a.v = e.src JOIN scc b ON b.v = e.dst WHERE a.scc_id <> b.scc_id")
+def _condense(spark, d):
+    return closure.condense(_g1(spark, d, 46))[0].edges
+
+
+@query("intra_scc_shortcuts", f"{_SCC} SELECT a.v AS src, b.v AS dst FROM scc a JOIN scc b USING (scc_id) WHERE a.v <> b.v")
+def _cliques(spark, d):
+    return closure.intra_component_shortcuts(_g1(spark, d, 46))
+
+
+@query("topological_layers", f"WITH RECURSIVE {_edges(49)}, {_V}, h(v, l) AS (SELECT v, 0 FROM vs UNION SELECT e.dst, h.l + 1 FROM h JOIN e ON e.src = h.v) SELECT v, CAST(max(l) AS BIGINT) AS layer FROM h GROUP BY 1")
+def _topological(spark, d):
+    return closure.topological_layers(_g1(spark, d, 49))
+
+
+# --- weighted ----------------------------------------------------------------------------------------
+
+
+@query("dijkstra", f"WITH RECURSIVE {_edges(46)}, {_SOURCE}, {_sssp()} SELECT v, dist FROM d")
+def _dijkstra(spark, d):
+    g = _g1(spark, d, 46)
+    return paths.dijkstra(g, G.busiest(g))
+
+
+@query("dijkstra_relational", f"WITH RECURSIVE {_edges(49)}, {_SOURCE}, {_sssp()} SELECT v, dist FROM d")
+def _dijkstra_relational(spark, d):
+    g = _g1(spark, d, 49)
+    return paths.dijkstra(g, G.busiest(g), "relational")
+
+
+@query("shortest_path", f"WITH RECURSIVE {_edges(46)}, {_SOURCE}, {_V}, {_sssp()}, t AS (SELECT v FROM vs ORDER BY v DESC LIMIT 3) SELECT t.v, coalesce(d.dist, 4611686018427387904) AS dist FROM t LEFT JOIN d USING (v)")
+def _shortest(spark, d):
+    g = _g1(spark, d, 46)
+    dist = paths.dijkstra(g, G.busiest(g))
+    targets = g.vertices.orderBy(F.desc("id")).limit(3).select(F.col("id").alias("v"))
+    return targets.join(dist, "v", "left").select("v", F.coalesce("dist", F.lit(1 << 62)).alias("dist"))
+
+
+@query("astar", f"WITH RECURSIVE {_edges(46)}, {_SOURCE}, {_sssp()} SELECT dist FROM d ORDER BY dist DESC, v LIMIT 1")
+def _astar(spark, d):
+    g = _g1(spark, d, 46)
+    s = G.busiest(g)
+    target = paths.dijkstra(g, s).orderBy(F.desc("dist"), "v").head().v
+    # every edge weighs 46 or more, so one more edge is a bound from below for all but the target
+    found = paths.astar(g, s, target, F.when(F.col("id") == target, 0).otherwise(46))
+    return spark.createDataFrame([(found,)], "dist long")
+
+
+@query("truncated_dijkstra", f"WITH RECURSIVE {_edges(46)}, {_SOURCE}, {_sssp()} SELECT v, dist FROM d WHERE dist <= 300")
+def _truncated(spark, d):
+    g = _g1(spark, d, 46)
+    return paths.truncated_dijkstra(g, G.busiest(g), 300)
+
+
+@query("d_descendants", f"WITH RECURSIVE {_edges(46)}, {_SOURCE}, {_sssp()} SELECT v FROM d WHERE dist <= 200")
+def _d_descendants(spark, d):
+    g = _g1(spark, d, 46)
+    return paths.d_descendants(g, G.busiest(g), 200)
+
+
+@query("d_ancestors", f"WITH RECURSIVE {_edges(46)}, {_SOURCE}, f AS (SELECT dst AS src, src AS dst, w FROM e), {_sssp('f')} SELECT v FROM d WHERE dist <= 200")
+def _d_ancestors(spark, d):
+    g = _g1(spark, d, 46)
+    return paths.d_ancestors(g, G.busiest(g), 200)
+
+
+@query("truncated_apsp", f"WITH RECURSIVE {_edges(48)}, {_V}, a(src, dst, dist) USING KEY (src, dst) AS (SELECT v, v, CAST(0 AS BIGINT) FROM vs UNION SELECT x.src, x.dst, x.dist FROM (SELECT a.src, e.dst, min(a.dist + e.w) AS dist FROM a JOIN e ON e.src = a.dst GROUP BY 1, 2) x LEFT JOIN recurring.a old ON old.src = x.src AND old.dst = x.dst WHERE (old.src IS NULL OR x.dist < old.dist) AND x.dist <= 150) SELECT src, dst, dist FROM a WHERE src <> dst")
+def _apsp(spark, d):
+    g = _g1(spark, d, 48)
+    return paths.truncated_apsp(g, g.vertices.select("id"), 150)
+
+
+@query("hopbound_sssp", f"WITH RECURSIVE {_edges(46)}, {_SOURCE}, h(v, k, dist) AS (SELECT v, 0, CAST(0 AS BIGINT) FROM s0 UNION ALL SELECT e.dst, h.k + 1, min(h.dist + e.w) FROM h JOIN e ON e.src = h.v WHERE h.k < 4 GROUP BY 1, 2) SELECT v, min(dist) AS dist FROM h GROUP BY 1")
+def _hopbound(spark, d):
+    g = _g1(spark, d, 46)
+    return paths.hopbound_distances(g, G.busiest(g), 4)
+
+
+@query("shortest_path_tree", f"""WITH RECURSIVE {_edges(46)}, {_SOURCE}, {_V}, {_sssp()},
+t0(v, hop) AS (SELECT v, 0 FROM s0 UNION SELECT e.dst, t0.hop + 1 FROM t0 JOIN e ON e.src = t0.v JOIN d a ON a.v = e.src JOIN d b ON b.v = e.dst WHERE a.dist + e.w = b.dist),
+t1 AS (SELECT v, min(hop) AS hop FROM t0 GROUP BY 1),
+p AS (SELECT e.dst AS v, min(e.src) AS parent FROM e JOIN d a ON a.v = e.src JOIN d b ON b.v = e.dst JOIN t1 h ON h.v = e.src JOIN t1 i ON i.v = e.dst WHERE a.dist + e.w = b.dist AND i.hop = h.hop + 1 GROUP BY 1)
+SELECT vs.v, p.parent FROM vs LEFT JOIN p USING (v)""")
+def _tree(spark, d):
+    g = _g1(spark, d, 46)
+    return paths.shortest_path_tree(g, G.busiest(g))
+
+
+# --- shortcuts and hopsets ---------------------------------------------------------------------------
+
+
+@query("sample_pivots", f"WITH {_edges(48)}, {_V} SELECT v FROM vs WHERE CAST('0x' || substr(md5('7:0:0:' || v), 1, 8) AS BIGINT) < 429496729")
+def _sample(spark, d):
+    g = G.part_succession(spark, d, 48)
+    return g.vertices.select(F.col("id").alias("v")).where(uniform_bits(7, 0, 0, F.col("v")) < 429496729)
+
+
+@query("partition_by_labels", f"WITH RECURSIVE {_edges(48)}, {_V}, p AS (SELECT v FROM vs WHERE CAST('0x' || substr(md5('7:0:0:' || v), 1, 8) AS BIGINT) < 429496729), f(p, v) AS (SELECT v, v FROM p UNION SELECT f.p, e.dst FROM f JOIN e ON e.src = f.v), l AS (SELECT vs.v, list_sort(list(f.p) FILTER (f.p IS NOT NULL AND f.p <> vs.v)) AS label FROM vs LEFT JOIN f ON f.v = vs.v GROUP BY 1) SELECT v AS id, min(v) OVER (PARTITION BY coalesce(CAST(label AS VARCHAR), '[]')) AS part FROM l")
+def _partition(spark, d):
+    g = _g1(spark, d, 48)
+    pivots = g.vertices.where(uniform_bits(7, 0, 0, F.col("id")) < 429496729)
+    reach = traversal.pivot_reach(g, pivots).where("forward")
+    labels = reach.groupBy(F.col("v").alias("id")).agg(F.collect_set("pivot").alias("label"))
+    return partition_by_labels(g.vertices, labels)
+
+
+@query("build_labels", f"WITH RECURSIVE {_edges(48)}, {_V}, {_P5}, f(p, v) AS (SELECT v, v FROM p5 UNION SELECT f.p, e.dst FROM f JOIN e ON e.src = f.v), b(p, v) AS (SELECT v, v FROM p5 UNION SELECT b.p, e.src FROM b JOIN e ON e.dst = b.v) SELECT vs.v, (SELECT coalesce(string_agg(p, ',' ORDER BY p), '') FROM f WHERE f.v = vs.v AND p <> vs.v) AS before, (SELECT coalesce(string_agg(p, ',' ORDER BY p), '') FROM b WHERE b.v = vs.v AND p <> vs.v) AS after FROM vs")
+def _labels(spark, d):
+    g = _g1(spark, d, 48)
+    found = shortcuts.build_labels(g.vertices.select(F.col("id").alias("v")), traversal.pivot_reach(g, _five(g)))
+    return found.select("v", F.array_join("before", ",").alias("before"), F.array_join("after", ",").alias("after"))
+
+
+@query("shortcut_reach_preserved", ORACLES["bfs_reachability"])
+def _shortcut_reach(spark, d):
+    g = _g1(spark, d, 46)
+    found = shortcuts.build_shortcut_set(g, seed=7)
+    return traversal.reachable_with_shortcuts(g, G.busiest(g), found.pairs)
+
+
+@query("shortcut_subset_of_tc", "SELECT CAST(0 AS BIGINT) AS violations")
+def _shortcut_sound(spark, d):
+    g = _g1(spark, d, 48)
+    found = shortcuts.build_shortcut_set(g, seed=7).pairs
+    return checks.unsound_shortcuts(g, found).union(found.where("src = dst")).agg(F.count("*").alias("violations"))
+
+
+@query("shortcut_max_hops", "SELECT CAST(0 AS BIGINT) AS violations")
+def _shortcut_hops(spark, d):
+    g = _g1(spark, d, 48)
+    found = shortcuts.build_shortcut_set(g, seed=7)
+    return checks.hops_over(g, found.pairs, G.busiest(g), found.realised_hops).agg(F.count("*").alias("violations"))
+
+
+@query("hopset_distance_preserved", ORACLES["dijkstra"])
+def _hopset_exact(spark, d):
+    g = _g1(spark, d, 46)
+    found = hopsets.build_hopset(g, seed=7).edges
+    return paths.dijkstra(g.with_shortcuts(found), G.busiest(g))
+
+
+@query("hopset_no_underestimate", "SELECT CAST(0 AS BIGINT) AS violations")
+def _hopset_sound(spark, d):
+    g = _g1(spark, d, 48)
+    return checks.underestimates(g, hopsets.build_hopset(g, seed=7).edges).agg(F.count("*").alias("violations"))
+
+
+@query("cfr_partition", f"WITH {_edges(48)}, {_V} SELECT v AS id, (SELECT min(v) FROM vs) AS part FROM vs")
+def _unit_partition(spark, d):
+    # every weight is 48 or more, so no vertex is within distance 1 of another: all labels are empty
+    g = _g1(spark, d, 48)
+    found = hopsets.unit_partition_labels(g, _five(g)).select(F.col("v").alias("id"), F.concat("before", "after").alias("label"))
+    return partition_by_labels(g.vertices, found)
+
+
+@query("sparsify_shortcut_set", "SELECT CAST(0 AS BIGINT) AS left_over")
+def _sparsify(spark, d):
+    g = _g1(spark, d, 49)
+    return shortcuts.sparsify(g, shortcuts.build_shortcut_set(g, seed=7).pairs).agg(F.count("*").alias("left_over"))
+
+
+@query("verify_hopbound_preserved", f"WITH RECURSIVE {_edges(49)}, {_V}, {_TC}, h(s, v, k) AS (SELECT v, v, 0 FROM vs UNION SELECT h.s, e.dst, h.k + 1 FROM h JOIN e ON e.src = h.v WHERE h.k < 3) SELECT src, dst FROM tc EXCEPT SELECT s, v FROM h")
+def _hopbound_missed(spark, d):
+    g = _g1(spark, d, 49)
+    return shortcuts.hopbound_violations(g, spark.createDataFrame([], "src long, dst long"), 3)
+
+
+@query("greedy_shortcut_set")
+def _greedy(spark, d):
+    return shortcuts.greedy_shortcut_set(_kept(generators.path_graph(spark, 8)), 4, 10)
+
+
+@query("fix_resample", ORACLES["bfs_reachability"].replace(_edges(46), _edges(49)))
+def _fix_resample(spark, d):
+    g = _g1(spark, d, 49)
+    return traversal.reachable_with_shortcuts(g, G.busiest(g), _small_fix(spark, g))
+
+
+def _small_fix(spark, g: Graph) -> DataFrame:
+    """Of the part of the graph around the busiest vertex: the cover takes a round for each chosen vertex."""
+    near = traversal.bfs_hops(g, G.busiest(g), 2).select(F.col("v").alias("id"))
+    return shortcuts.fix_resample(_kept(g.induced_subgraph(near)), 7)
+
+
+@query("iterative_shortcut_set", "SELECT CAST(0 AS BIGINT) AS violations")
+def _iterative(spark, d):
+    g = _kept(generators.random_dag(spark, 40, 0.1, 7))
+    return checks.unsound_shortcuts(g, shortcuts.iterative_shortcut_set(g, 3, 7)).agg(F.count("*").alias("violations"))
+
+
+@query("adaptive_beta", "SELECT 1.5 * 29 AS beta")
+def _adaptive(spark, d):
+    g = _kept(generators.path_graph(spark, 30))
+    return spark.createDataFrame([(shortcuts.adaptive_beta(g, 30),)], "beta double").withColumn("beta", F.col("beta").cast("decimal(11,1)"))
+
+
+@query("parameters", "SELECT n, m, round((n::DOUBLE ** 3 / m) ** 0.25, 9) AS beta, CAST(floor(ln(n) / ln(greatest(2, log2(n)))) + 1 AS BIGINT) AS max_level, round(log2(n + 2) * n * 4, 6) AS size_bound FROM (VALUES (100, 300), (1000, 8000), (50000, 400000)) t(n, m)")
+def _parameters(spark, d):
+    rows = []
+    for n, m in ((100, 300), (1000, 8000), (50000, 400000)):
+        p = parameters.shortcut_parameters(n, m)
+        rows.append((n, m, round(p.beta, 9), p.max_level, round(parameters.shortcut_size_bound(n, 2.0), 6)))
+    return spark.createDataFrame(rows, "n int, m int, beta double, max_level long, size_bound double")
+
+
+# --- invariants --------------------------------------------------------------------------------------
+
+
+@query("check_reachability_preserved", f"WITH RECURSIVE {_edges(49)}, {_V}, {_TC}, g AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e WHERE src % 50 = 0), tg(src, dst) AS (SELECT v, v FROM vs UNION SELECT tg.src, g.dst FROM tg JOIN g ON g.src = tg.dst) SELECT src, dst, 'extra' AS kind FROM (SELECT * FROM tg EXCEPT SELECT * FROM tc)")
+def _reach_check(spark, d):
+    g = _g1(spark, d, 49)
+    bad = g.edges.where("src % 50 = 0").select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    return checks.reachability_differences(g, bad)
+
+
+@query("check_scc_mutual", "SELECT CAST(0 AS BIGINT) AS violations")
+def _mutual(spark, d):
+    g = _g1(spark, d, 48)
+    return checks.split_components(g, g.edges.select("src", "dst").limit(0)).agg(F.count("*").alias("violations"))
+
+
+@query("check_partition", "SELECT p_partkey AS id, CASE WHEN p_partkey % 10 = 0 THEN 'missing' ELSE 'shared' END AS kind FROM part WHERE p_partkey % 10 = 0 OR p_partkey % 10 = 1")
+def _partition_check(spark, d):
+    v = G.table(spark, d, "part").select(F.col("p_partkey").cast("long").alias("id"))
+    parts = v.where("id % 10 <> 0").select("id", F.lit(1).alias("part")).union(v.where("id % 10 = 1").select("id", F.lit(2)))
+    return checks.partition_faults(v, parts)
+
+
+@query("check_distance_approx", f"WITH RECURSIVE {_edges(46)}, {_SOURCE}, {_sssp()}, h(v, k, dist) AS (SELECT v, 0, CAST(0 AS BIGINT) FROM s0 UNION ALL SELECT e.dst, h.k + 1, min(h.dist + e.w) FROM h JOIN e ON e.src = h.v WHERE h.k < 4 GROUP BY 1, 2), b AS (SELECT v, min(dist) AS dist FROM h GROUP BY 1) SELECT d.v, coalesce(b.dist <= d.dist * 1.1 + 0.000000001, false) AS within FROM d LEFT JOIN b USING (v)")
+def _approx(spark, d):
+    g = _g1(spark, d, 46)
+    none = spark.createDataFrame([], "src long, dst long, w long")
+    return checks.distance_ratios(g, none, G.busiest(g), 4, 0.1).select("v", "within")
+
+
+# --- change ------------------------------------------------------------------------------------------
+
+
+@query("incremental_tc", ORACLES["transitive_closure"])
+def _incremental(spark, d):
+    g = _g1(spark, d, 48)
+    late = "pmod(xxhash64(src, dst), 4) = 0"
+    start = Graph(g.vertices, g.edges.where(f"not ({late})").select("src", "dst"))
+    return dynamic.DynamicClosure.of(start).insert(g.edges.where(late).select("src", "dst")).reach
+
+
+@query("dtc_delete", f"WITH RECURSIVE {_edges(48, 'e0')}, vs AS (SELECT src AS v FROM e0 UNION SELECT dst FROM e0), e AS (SELECT * FROM e0 WHERE (src + dst) % 5 <> 0), {_TC} SELECT src, dst FROM tc")
+def _delete(spark, d):
+    g = _g1(spark, d, 48)
+    return dynamic.DynamicClosure.of(g).delete(g.edges.where("(src + dst) % 5 = 0").select("src", "dst")).reach
+
+
+@query("reach_bitmaps", f"WITH RECURSIVE {_edges(48)}, {_V}, {_TC} SELECT src, count(*) AS size FROM tc GROUP BY 1")
+def _bitmaps(spark, d):
+    return bits.row_sizes(bits.reach_bitmaps(closure.transitive_closure(_g1(spark, d, 48))))
+
+
+@query("streaming_tc", ORACLES["closure_by_squaring"])
+def _streaming(spark, d):
+    state = StreamingClosure(spark)
+    state.start(_replayed(spark, d)).awaitTermination()
+    return state.reach
+
+
+def _replayed(spark: SparkSession, d: str) -> DataFrame:
+    """The edges of the acyclic graph as a stream of four files."""
+    from .plans.storage import scratch_path
+
+    folder = scratch_path(spark, "stream-source")
+    g = G.part_succession(spark, d, 49)
+    g.edges.select("src", "dst").repartition(4, F.md5(F.concat_ws(":", "src", "dst"))).write.parquet(folder)
+    return spark.readStream.schema("src long, dst long").option("maxFilesPerTrigger", 2).parquet(folder)
+
+
+@query("streaming_shortcut_set", "SELECT CAST(0 AS BIGINT) AS violations")
+def _streaming_shortcuts(spark, d):
+    state = StreamingShortcuts(spark, beta=4, seed=7)
+    state.start(_replayed(spark, d)).awaitTermination()
+    return checks.unsound_shortcuts(Graph.of(state.edges), state.shortcuts).agg(F.count("*").alias("violations"))
+
+
+@query("streaming_sketch", f"WITH {_edges(49)} SELECT src, count(*) AS estimate FROM e GROUP BY 1")
+def _streaming_sketch(spark, d):
+    # far below a sketch's size estimates are exact
+    state = StreamingDegreeSketch(spark)
+    for i, part in enumerate(("src % 2 = 0 or dst % 2 = 0", "src % 2 = 1 and dst % 2 = 1")):
+        state.process(G.part_succession(spark, d, 49).edges.where(part), i)
+    return state.estimates()
+
+
+# --- sketches, applications, generators --------------------------------------------------------------
+
+
+@query("reach_size_hll", "SELECT true AS within")
+def _hll(spark, d):
+    g = _g1(spark, d, 46)
+    start = spark.createDataFrame([(G.busiest(g),)], "id long")
+    exact = traversal.reachable_pairs(g, start).groupBy("source").agg(F.count("*").alias("n"))
+    return sketches.reach_size_estimates(g, start).join(exact, "source").select((F.abs(F.col("estimate") - F.col("n")) <= 0.05 * F.col("n")).alias("within"))
+
+
+@query("rank_by_pivot_reach", f"WITH {_edges(0)} SELECT dst AS v, count(*) AS n FROM e GROUP BY 1 ORDER BY n DESC, v LIMIT 10")
+def _rank(spark, d):
+    return applications.rank_by_shortcut_indegree(G.part_succession(spark, d, 0).edges, 10)
+
+
+@query("find_hubs", f"WITH RECURSIVE {_edges(46)}, {_SOURCE}, {_reach('s0')} SELECT v FROM r WHERE v NOT IN (SELECT v FROM s0)")
+def _hubs(spark, d):
+    g = _g1(spark, d, 46)
+    return applications.hubs(g, g.edges.select("src", "dst").limit(0), G.busiest(g))
+
+
+@query("augment_graph", f"WITH {_edges(48)} SELECT src, dst FROM e UNION SELECT dst, src FROM e")
+def _augment(spark, d):
+    g = G.part_succession(spark, d, 48)
+    return applications.augmented_edges(g, g.reverse().edges)
+
+
+def _generator(name: str, make: Callable[[SparkSession], Graph], sql: str) -> None:
+    query(f"gen_{name}", sql)(lambda spark, d: make(spark).edges)
+
+
+_generator("path", lambda s: generators.path_graph(s, 50), "SELECT i AS src, i + 1 AS dst FROM range(49) t(i)")
+_generator("cycle", lambda s: generators.cycle_graph(s, 50), "SELECT i AS src, (i + 1) % 50 AS dst FROM range(50) t(i)")
+_generator("complete_dag", lambda s: generators.complete_dag(s, 30), "SELECT a.i AS src, b.i AS dst FROM range(30) a(i), range(30) b(i) WHERE a.i < b.i")
+_generator("grid", lambda s: generators.grid_graph(s, 6, 7), "SELECT i AS src, i + 1 AS dst, CAST(1 AS BIGINT) AS w FROM range(42) t(i) WHERE i % 7 < 6 UNION ALL SELECT i, i + 7, 1 FROM range(35) t(i)")
+_generator("random_dag", lambda s: generators.random_dag(s, 60, 0.2, 7), "SELECT a.i AS src, b.i AS dst FROM range(60) a(i), range(60) b(i) WHERE a.i < b.i AND CAST('0x' || substr(md5('7:' || a.i || ':' || b.i), 1, 8) AS BIGINT) / 4294967296.0 < 0.2")
+_generator("erdos_renyi", lambda s: generators.erdos_renyi(s, 40, 0.1, 7), "SELECT a.i AS src, b.i AS dst FROM range(40) a(i), range(40) b(i) WHERE a.i <> b.i AND CAST('0x' || substr(md5('7:' || a.i || ':' || b.i), 1, 8) AS BIGINT) / 4294967296.0 < 0.1")
+_generator("dense", lambda s: generators.dense_graph(s, 30, 100, 7), "SELECT a.i AS src, b.i AS dst FROM range(30) a(i), range(30) b(i) WHERE a.i <> b.i ORDER BY CAST('0x' || substr(md5('7:' || a.i || ':' || b.i), 1, 8) AS BIGINT), 1, 2 LIMIT 100")
+_generator("weighted_random_dag", lambda s: generators.weighted_random_dag(s, 40, 0.2, 1, 10, 7), "SELECT a.i AS src, b.i AS dst, CAST('0x' || substr(md5('7:w:' || a.i || ':' || b.i), 1, 8) AS BIGINT) % 10 + 1 AS w FROM range(40) a(i), range(40) b(i) WHERE a.i < b.i AND CAST('0x' || substr(md5('7:' || a.i || ':' || b.i), 1, 8) AS BIGINT) / 4294967296.0 < 0.2")
+_generator("layered", lambda s: generators.layered_dag(s, [3, 4, 5]), "SELECT a.i AS src, b.i AS dst FROM range(12) a(i), range(12) b(i) WHERE (a.i < 3 AND b.i BETWEEN 3 AND 6) OR (a.i BETWEEN 3 AND 6 AND b.i > 6)")
+_generator("components", lambda s: generators.graph_with_components(s, [3, 1, 4], 1.0), "SELECT i AS src, CASE i WHEN 2 THEN 0 WHEN 3 THEN 3 WHEN 7 THEN 4 ELSE i + 1 END AS dst FROM range(8) t(i) UNION SELECT a.i, b.i FROM range(8) a(i), range(8) b(i) WHERE (a.i < 3 AND b.i >= 3) OR (a.i = 3 AND b.i > 3)")
+_generator("petersen", generators.petersen_graph, "WITH o AS (SELECT i AS a, (i + 1) % 5 AS b FROM range(5) t(i) UNION ALL SELECT i, i + 5 FROM range(5) t(i) UNION ALL SELECT i + 5, (i + 2) % 5 + 5 FROM range(5) t(i)) SELECT a AS src, b AS dst FROM o UNION ALL SELECT b, a FROM o")
+_generator("rook", generators.rook_graph, "SELECT a.i AS src, b.i AS dst FROM range(16) a(i), range(16) b(i) WHERE a.i <> b.i AND (a.i // 4 = b.i // 4 OR a.i % 4 = b.i % 4)")
+_generator("shrikhande", generators.shrikhande_graph, "SELECT a.i AS src, b.i AS dst FROM range(16) a(i), range(16) b(i) WHERE ((b.i // 4 - a.i // 4 + 4) % 4) * 4 + (b.i % 4 - a.i % 4 + 4) % 4 IN (4, 12, 1, 3, 5, 15)")
+_generator("paley", lambda s: generators.paley_graph(s, 13), "SELECT a.i AS src, b.i AS dst FROM range(13) a(i), range(13) b(i) WHERE (b.i - a.i + 13) % 13 IN (1, 3, 4, 9, 10, 12)")
+_generator("hamming", lambda s: generators.hamming_graph(s, 3, 3), "SELECT a.i AS src, b.i AS dst FROM range(27) a(i), range(27) b(i) WHERE (a.i % 3 <> b.i % 3)::INT + (a.i // 3 % 3 <> b.i // 3 % 3)::INT + (a.i // 9 <> b.i // 9)::INT = 1")
+_generator("binary_tree", lambda s: generators.binary_tree_dag(s, 4), "SELECT (i - 1) // 2 AS src, i AS dst FROM range(1, 31) t(i)")
+_generator("barbell", lambda s: generators.barbell_graph(s, 5), "SELECT a.i AS src, b.i AS dst FROM range(10) a(i), range(10) b(i) WHERE (a.i <> b.i AND a.i // 5 = b.i // 5) OR (a.i = 0 AND b.i = 5)")
+_generator("chain_of_stars", lambda s: generators.chain_of_stars(s, 3, 4), "SELECT i // 5 * 5 AS src, i AS dst FROM range(15) t(i) WHERE i % 5 > 0 UNION ALL SELECT i, i + 5 FROM (VALUES (0), (5)) t(i)")
+
+
+@query("verify_closed_forms", "SELECT f AS family, true AS holds FROM (VALUES ('path'), ('cycle'), ('star'), ('layered'), ('bipartite')) t(f)")
+def _closed_forms(spark, d):
+    sizes = {"path": [12], "cycle": [9], "star": [10], "layered": [3, 4, 2], "bipartite": [4, 5]}
+    return spark.createDataFrame([(f, generators.verify_closed_form(spark, f, s)) for f, s in sizes.items()], "family string, holds boolean")
