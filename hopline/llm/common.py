@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 import numpy as np
@@ -51,9 +52,27 @@ def written(df: DataFrame, label: str) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back: cuts lineage, survives lost executors."""
     path = scratch_path(df.sparkSession, label)
     df.write.option("compression", "zstd").parquet(path)
+    release(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str, label: str) -> DataFrame:
+    """Writes ``df`` dealt by ``key``, so that joins on it leave these rows where they are."""
+    spark = df.sparkSession
+    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    name = f"{label}_{uuid.uuid4().hex}"
+    # the values are compressed already
+    df.repartition(n, key).write.bucketBy(n, key).option("compression", "uncompressed").option("path", scratch_path(spark, label)).saveAsTable(name)
+    release(spark)
+    return spark.table(name)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of jobs whose results are written."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def text_bytes(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of each text; null is empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

@@ -2,18 +2,20 @@
 
 A text is a sequence of units (bytes or words).  Every window of a fixed number of units names one of
 its grams, the one of least hash (the leftmost of equals), as its anchor: equal windows name equal
-anchors at equal places.  Consecutive windows mostly share one.  So
-
-1. documents are packed into chunks, compressed, and written once (``chunk_table``);
-2. each chunk sends the hashes of its anchors, each once, to buckets of hashes; a bucket reports back
-   those that two chunks or more have (``_shared_anchors``);
-3. each chunk sends the stretch of text around every anchor that is so shared, or that it holds twice
-   itself, to the bucket of that anchor, again each distinct stretch once; all occurrences of a window
-   meet in one bucket, which a solver searches for windows that occur earlier elsewhere;
-4. the spans found come back to the chunks (``repeated_spans``).
-
-A chunk sends a passage once however many of its documents hold it, so one that is in a third of all
-documents costs a bucket one row a chunk.  Buckets grow in number with the input, not in size.
+anchors at equal places.  Consecutive windows mostly share one; the stretch of text that they cover
+around it is some 70 bytes long.  Documents are packed into chunks, written once and bucketed by chunk
+(``chunk_table``), and chunks and buckets of anchors talk three times:
+
+1. a chunk sends the hashes of its anchors, each once, and hears which of them other chunks have;
+2. for those, or such as it holds twice itself, it sends the hash of the stretch and the first document
+   that holds it, and hears which stretches an earlier document holds whole, and which must be compared
+   as the same anchor stands in another stretch too;
+3. it sends the text of the latter.  All occurrences of a window are then in one bucket, where a solver
+   searches the distinct stretches for windows that occur earlier elsewhere.
+
+Spans found come back to the chunks (``repeated_spans``).  A chunk sends a hash or a stretch once, however
+many of its documents hold it, so a passage that is in a third of all documents costs its bucket one
+row a chunk, and its text goes out once in all.  Buckets grow in number with the input, not in size.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import merge_runs, text_bytes, written
+from .common import bucketed, merge_runs, text_bytes, written
 
 #: Text bytes after which a chunk is closed.
 CHUNK_BYTES = 2 << 20
@@ -37,8 +39,14 @@ CHUNK_BYTES = 2 << 20
 BUCKET_BYTES = 6 << 20
 #: Stands for a document without an id: after all others.
 NO_ID = 2**63 - 1
+#: Window starts handled together: arrays that fit a core's cache.
+BLOCK = 1 << 15
 
 CHUNK_SCHEMA = "chunk long, ids binary, sizes binary, text binary, rest binary, n_bytes long"
+ANSWER = "chunk long, bucket int, bits binary, more binary"
+
+
+# --- chunks ------------------------------------------------------------------------------------------
 
 
 @dataclass
@@ -46,7 +54,7 @@ class Chunk:
     chunk: int
     ids: np.ndarray
     texts: list[bytes]
-    rest: pa.RecordBatch
+    rest: pa.Table | None
 
 
 def chunk_table(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
@@ -88,7 +96,7 @@ def chunk_table(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
         if held:
             yield close()
 
-    return written(docs.mapInArrow(pack, CHUNK_SCHEMA), "chunks")
+    return bucketed(docs.mapInArrow(pack, CHUNK_SCHEMA), "chunk", "chunks")
 
 
 def _chunks(batch: pa.RecordBatch, rest: bool = False) -> Iterator[Chunk]:
@@ -98,17 +106,18 @@ def _chunks(batch: pa.RecordBatch, rest: bool = False) -> Iterator[Chunk]:
         whole = loose(text)
         ends = np.cumsum(np.frombuffer(sizes, np.int64)).tolist()
         texts = [whole[a:b] for a, b in zip([0, *ends], ends)]
-        table = pa.ipc.open_stream(loose(other)).read_all() if rest else None
-        yield Chunk(chunk, np.frombuffer(ids, np.int64), texts, table)
+        yield Chunk(chunk, np.frombuffer(ids, np.int64), texts, pa.ipc.open_stream(loose(other)).read_all() if rest else None)
 
 
 @dataclass(frozen=True)
 class Bytes:
     """Units are bytes; ``sequence`` is one byte string, ``ends`` where its documents end."""
 
-    def cut(self, texts: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray]:
-        whole = b"".join(texts)
-        return whole, np.frombuffer(whole, np.uint8).astype(np.uint64), np.cumsum([len(t) for t in texts])
+    def cut(self, texts: list[bytes]) -> tuple[bytes, np.ndarray]:
+        return b"".join(texts), np.cumsum([len(t) for t in texts])
+
+    def hashes(self, sequence: bytes) -> np.ndarray:
+        return np.frombuffer(sequence, np.uint8)
 
     def stretch(self, sequence: bytes, start: int, end: int) -> bytes:
         return sequence[start:end]
@@ -118,49 +127,98 @@ class Bytes:
 class Words:
     """Units are words between ASCII white space; ``sequence`` is their list."""
 
-    def cut(self, texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    def cut(self, texts: list[bytes]) -> tuple[list[bytes], np.ndarray]:
         words = [t.split() for t in texts]
-        flat = [w for one in words for w in one]
-        return flat, np.fromiter(map(xxhash.xxh3_64_intdigest, flat), np.uint64, len(flat)), np.cumsum([len(w) for w in words])
+        return [w for one in words for w in one], np.cumsum([len(w) for w in words])
+
+    def hashes(self, sequence: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(xxhash.xxh3_64_intdigest, sequence), np.uint64, len(sequence))
 
     def stretch(self, sequence: list[bytes], start: int, end: int) -> bytes:
         return b" ".join(sequence[start:end])
 
 
-def gram_hashes(units: np.ndarray, size: int) -> np.ndarray:
-    """A 64-bit hash of each run of ``size`` units, by joining halves."""
-    h = (units + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+# --- anchors -----------------------------------------------------------------------------------------
+
+_A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
+
+
+def _joined(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    h = left * _B
+    h += right ^ (right >> np.uint64(29))
+    h *= _C
     h ^= h >> np.uint64(32)
-    done = 1
-    while done < size:
-        step = min(done, size - done)  # halves may overlap
-        h = h[:-step] * np.uint64(0xBF58476D1CE4E5B9) + (h[step:] ^ (h[step:] >> np.uint64(29)))
-        h *= np.uint64(0x94D049BB133111EB)
-        h ^= h >> np.uint64(32)
-        done += step
     return h
 
 
-def anchor_runs(units: np.ndarray, ends: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of window starts, first and last, that name the same anchor; and its hash."""
-    none = np.zeros(0, np.int64)
-    if len(units) < window:
-        return none, none, np.zeros(0, np.uint64)
-    h = gram_hashes(units, gram)
-    low = np.uint64(0xFFFFFFFF)
-    least = (h & ~low) | np.arange(len(h), dtype=np.uint64)
-    width, have = window - gram + 1, 1
-    while have < width:
-        step = min(have, width - have)
-        least = np.minimum(least[:-step], least[step:])
+def _longer(h: np.ndarray, have: int, size: int) -> np.ndarray:
+    """Hashes of ``size`` units from those of ``have``; halves may overlap."""
+    while have < size:
+        step = min(have, size - have)
+        h = _joined(h[:-step], h[step:])
         have += step
-    anchor = (least & low).astype(np.int64)
+    return h
+
+
+def _short_grams(units: np.ndarray, size: int) -> tuple[np.ndarray, int]:
+    """Hashes to start from: single units, or for bytes runs of 8, 4, 2 or 1 read as numbers."""
+    have = 1
+    if units.dtype == np.uint8:
+        for kind in (np.uint16, np.uint32, np.uint64):
+            if 2 * have > size:
+                break
+            units = units[:-have].astype(kind) | units[have:].astype(kind) << kind(8 * have)
+            have *= 2
+    h = (units.astype(np.uint64) + np.uint64(1)) * _A
+    h ^= h >> np.uint64(32)
+    return h, have
+
+
+def gram_hashes(units: np.ndarray, size: int) -> np.ndarray:
+    """A 64-bit hash of each run of ``size`` units."""
+    return _longer(*_short_grams(units, size), size) if len(units) >= size else np.zeros(0, np.uint64)
+
+
+@dataclass
+class Runs:
+    """Runs of window starts that name the same anchor: first and last start, document, anchor, stretch."""
+
+    first: np.ndarray
+    last: np.ndarray
+    doc: np.ndarray
+    anchor: np.ndarray
+    stretch: np.ndarray
+
+
+def anchor_runs(units: np.ndarray, ends: np.ndarray, window: int, gram: int) -> Runs:
+    n = len(units) - window + 1
+    if n < 1:
+        none, hashes = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return Runs(none, none, none, hashes, hashes)
+    low = np.uint64(0xFFFFFFFF)
+    anchor, key, whole = np.empty(n, np.int64), np.empty(n, np.uint64), np.empty(n, np.uint64)
+    width = window - gram + 1
+    for at in range(0, n, BLOCK):
+        stop = min(n, at + BLOCK)
+        h = _longer(*_short_grams(units[at : stop + window - 1], gram), gram)
+        least = (h & ~low) | np.arange(len(h), dtype=np.uint64)
+        done = 1
+        while done < width:
+            step = min(done, width - done)
+            least = np.minimum(least[:-step], least[step:])
+            done += step
+        place = (least & low).astype(np.int64)
+        anchor[at:stop] = place + at
+        key[at:stop] = h[place]
+        whole[at:stop] = _longer(h, gram, window)
     sizes = np.diff(np.r_[0, ends])
-    inside = np.arange(len(anchor)) + window <= np.repeat(ends, sizes)[: len(anchor)]
+    inside = np.arange(n) + window <= np.repeat(ends, sizes)[:n]
     change = anchor[1:] != anchor[:-1]
     first = np.flatnonzero(inside & np.r_[True, change | ~inside[:-1]])
     last = np.flatnonzero(inside & np.r_[change | ~inside[1:], True])
-    return first, last, h[anchor[first]]
+    # the first and the last window overlap, so they hold all units of the stretch
+    stretch = _joined(whole[first], whole[last] + (last - first).astype(np.uint64) * _A)
+    return Runs(first, last, np.searchsorted(ends, first, "right"), key[first], stretch)
 
 
 def _codes(keys: np.ndarray, buckets: int) -> np.ndarray:
@@ -168,44 +226,162 @@ def _codes(keys: np.ndarray, buckets: int) -> np.ndarray:
     return (keys % np.uint64(buckets)) << np.uint64(40) | keys >> np.uint64(24)
 
 
+def _same(values: np.ndarray) -> tuple[list[int], list[int], list[int]]:
+    """Runs of equal values: the value, begin and end."""
+    cuts = np.flatnonzero(np.r_[True, values[1:] != values[:-1]]) if len(values) else np.zeros(0, np.int64)
+    return values[cuts].tolist(), cuts.tolist(), np.r_[cuts[1:], len(values)][: len(cuts)].tolist()
+
+
+def _bucket_of(codes: np.ndarray) -> np.ndarray:
+    return (codes >> np.uint64(40)).astype(np.int64)
+
+
+def _five(codes: np.ndarray) -> np.ndarray:
+    """The low five bytes of each code; the row holds its bucket."""
+    return np.ascontiguousarray(codes).view(np.uint8).reshape(-1, 8)[:, :5]
+
+
+def _wide(low: bytes) -> np.ndarray:
+    out = np.zeros((len(low) // 5, 8), np.uint8)
+    out[:, :5] = np.frombuffer(low, np.uint8).reshape(-1, 5)
+    return out.view(np.uint64).ravel()
+
+
+# --- exchanges between chunks and buckets ------------------------------------------------------------
+
+
+def _bits(flags: np.ndarray) -> bytes:
+    return np.packbits(flags).tobytes()
+
+
+def _flags(answers: list[dict] | None, key: str, codes: np.ndarray) -> np.ndarray:
+    """The flags that buckets sent back, in the order of the codes sent to them."""
+    out = np.zeros(len(codes), bool)
+    if answers:
+        places = {bucket: (a, b) for bucket, a, b in zip(*_same(_bucket_of(codes)))}
+        for one in answers:
+            a, b = places[one["bucket"]]
+            out[a:b] = np.unpackbits(np.frombuffer(one[key], np.uint8), count=b - a)
+    return out
+
+
+def _rows(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    fields = [f.split() for f in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[kind]) for i, (_, kind) in enumerate(fields)], names=[name for name, _ in fields])
+
+
+def _by_bucket(batches: Iterator[pa.RecordBatch]) -> dict[int, list[tuple]]:
+    held: dict[int, list[tuple]] = {}
+    for batch in batches:
+        for bucket, *row in zip(*(c.to_pylist() for c in batch.columns)):
+            held.setdefault(bucket, []).append(tuple(row))
+    return held
+
+
+def _split(flags: np.ndarray, sizes: list[int]) -> list[np.ndarray]:
+    return np.split(flags, np.cumsum(sizes)[:-1])
+
+
+def _gathered(answers: DataFrame, label: str) -> DataFrame:
+    return written(answers.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "bits", "more")).alias("answers")), label)
+
+
+def _told(chunks: DataFrame, *answers: DataFrame) -> DataFrame:
+    """Chunks with the answers to each exchange; the chunks stay where they are, only answers move."""
+    out = chunks
+    for i, one in enumerate(answers):
+        out = out.join(one.withColumnRenamed("answers", f"answers{i}").hint("shuffle_hash"), "chunk", "left")
+    return out.select(*chunks.columns, *(f"answers{i}" for i in range(len(answers))))
+
+
 def _shared_anchors(chunks: DataFrame, units, window: int, gram: int, buckets: int) -> DataFrame:
-    """chunk, codes: lists of those anchor codes of a chunk that another chunk has too."""
+    """First exchange: bits for the codes of a chunk that another chunk has too."""
+    schema = "bucket int, chunk long, codes binary"
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for c in _chunks(batch):
-                _, base, ends = units.cut(c.texts)
-                codes = np.unique(_codes(anchor_runs(base, ends, window, gram)[2], buckets))
-                # five bytes of each code; its bucket is the row's
-                low = codes.view(np.uint8).reshape(-1, 8)[:, :5]
-                owner = (codes >> np.uint64(40)).astype(np.int64)
-                cuts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]]) if len(codes) else np.zeros(0, np.int64)
-                stops = np.r_[cuts[1:], len(codes)] if len(codes) else cuts
-                yield pa.RecordBatch.from_arrays([pa.array(owner[cuts].astype(np.int32)), pa.array([c.chunk] * len(cuts), pa.int64()), pa.array([low[a:b].tobytes() for a, b in zip(cuts, stops)], pa.binary())], names=["bucket", "chunk", "codes"])
+                sequence, ends = units.cut(c.texts)
+                codes = np.unique(_codes(anchor_runs(units.hashes(sequence), ends, window, gram).anchor, buckets))
+                low = _five(codes)
+                yield _rows([(bucket, c.chunk, low[a:b].tobytes()) for bucket, a, b in zip(*_same(_bucket_of(codes)))], schema)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[tuple[int, np.ndarray]]] = {}
-        for batch in batches:
-            for bucket, chunk, codes in zip(*(c.to_pylist() for c in batch.columns)):
-                held.setdefault(bucket, []).append((chunk, np.frombuffer(codes, np.uint8).reshape(-1, 5)))
-        for bucket, parts in held.items():
-            wide = np.zeros((sum(len(p) for _, p in parts), 8), np.uint8)
-            wide[:, :5] = np.concatenate([p for _, p in parts])
-            codes = wide.view(np.uint64).ravel()
+        for bucket, parts in _by_bucket(batches).items():
+            codes = _wide(b"".join(p[1] for p in parts))
             order = np.argsort(codes, kind="stable")
             same = codes[order][1:] == codes[order][:-1]
             twice = np.zeros(len(codes), bool)
             twice[order] = np.r_[same, False] | np.r_[False, same]
-            ends = np.cumsum([len(p) for _, p in parts])
-            chunk, found = [], []
-            for (one, _), a, b in zip(parts, np.r_[0, ends[:-1]], ends):
-                if twice[a:b].any():
-                    chunk.append(one)
-                    found.append((codes[a:b][twice[a:b]] | np.uint64(bucket << 40)).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(chunk, pa.int64()), pa.array(found, pa.binary())], names=["chunk", "codes"])
+            yield _rows([(p[0], bucket, _bits(own), b"") for p, own in zip(parts, _split(twice, [len(p[1]) // 5 for p in parts])) if own.any()], ANSWER)
+
+    sent = chunks.mapInArrow(send, schema)
+    return _gathered(sent.repartition(buckets, "bucket").mapInArrow(meet, ANSWER), "shared-anchors")
+
+
+@dataclass
+class Entries:
+    """The distinct shared stretches of a chunk, sorted by code and stretch, with their first owners."""
+
+    codes: np.ndarray
+    stretch: np.ndarray
+    doc: np.ndarray
+    begin: np.ndarray
+    #: all runs that hold one, in the same order: the run, its entry, and whether it is the first owner's
+    runs: np.ndarray
+    entry: np.ndarray
+    owned: np.ndarray
+
+
+def _entries(c: Chunk, r: Runs, ends: np.ndarray, buckets: int, answers: list[dict] | None, within: bool) -> Entries:
+    codes = _codes(r.anchor, buckets)
+    known, inverse, counts = np.unique(codes, return_inverse=True, return_counts=True)
+    at = np.flatnonzero((_flags(answers, "bits", known) | (counts > 1))[inverse])
+    doc, begin = c.ids[r.doc[at]], r.first[at] - np.r_[0, ends][r.doc[at]]
+    order = np.lexsort((begin, doc, r.stretch[at], codes[at]))
+    at, doc, begin = at[order], doc[order], begin[order]
+    code, stretch = codes[at], r.stretch[at]
+    fresh = np.r_[True, (code[1:] != code[:-1]) | (stretch[1:] != stretch[:-1])][: len(at)]
+    entry, first = np.cumsum(fresh) - 1, np.flatnonzero(fresh)
+    owned = doc == doc[first][entry]
+    if within:
+        owned &= begin == begin[first][entry]
+    return Entries(code[first], stretch[first], doc[first], begin[first], at, entry, owned)
+
+
+def _stretch_owners(chunks: DataFrame, shared: DataFrame, units, window: int, gram: int, buckets: int, within: bool) -> DataFrame:
+    """Second exchange: bits for entries that an earlier owner holds whole; more: for those to be compared."""
+    schema = "bucket int, chunk long, codes binary, stretch binary, docs binary, begins binary"
 
-    sent = chunks.mapInArrow(send, "bucket int, chunk long, codes binary")
-    return sent.repartition(buckets, "bucket").mapInArrow(meet, "chunk long, codes binary")
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for c, answers in zip(_chunks(batch), batch.column(6).to_pylist()):
+                sequence, ends = units.cut(c.texts)
+                e = _entries(c, anchor_runs(units.hashes(sequence), ends, window, gram), ends, buckets, answers, within)
+                low = _five(e.codes)
+                yield _rows([(bucket, c.chunk, low[a:b].tobytes(), e.stretch[a:b].tobytes(), e.doc[a:b].tobytes(), e.begin[a:b].tobytes() if within else b"") for bucket, a, b in zip(*_same(_bucket_of(e.codes)))], schema)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket, parts in _by_bucket(batches).items():
+            codes = _wide(b"".join(p[1] for p in parts))
+            stretch, doc = (np.frombuffer(b"".join(p[i] for p in parts), kind) for i, kind in ((2, np.uint64), (3, np.int64)))
+            begin = np.frombuffer(b"".join(p[4] for p in parts), np.int64) if within else np.zeros(len(doc), np.int64)
+            order = np.lexsort((begin, doc, stretch, codes))
+            code, one, doc, begin = codes[order], stretch[order], doc[order], begin[order]
+            new_code = np.r_[True, code[1:] != code[:-1]]
+            fresh = new_code | np.r_[True, one[1:] != one[:-1]]
+            group, first = np.cumsum(fresh) - 1, np.flatnonzero(fresh)
+            later = (doc != doc[first][group]) | (begin != begin[first][group])
+            anchors = np.cumsum(new_code) - 1
+            several = np.bincount(anchors[first])[anchors] > 1
+            held, compare = np.zeros(len(doc), bool), np.zeros(len(doc), bool)
+            held[order], compare[order] = later, several & ~later
+            sizes = [len(p[3]) // 8 for p in parts]
+            yield _rows([(p[0], bucket, _bits(a), _bits(b)) for p, a, b in zip(parts, _split(held, sizes), _split(compare, sizes)) if a.any() or b.any()], ANSWER)
+
+    sent = _told(chunks, shared).mapInArrow(send, schema)
+    return _gathered(sent.repartition(buckets, "bucket").mapInArrow(meet, ANSWER), "stretch-owners")
 
 
 #: An occurrence of a stretch: chunk, place there, document, place in the document; then the stretch.
@@ -221,64 +397,54 @@ def repeated_spans(chunks: DataFrame, units, window: int, gram: int, solve: Solv
     """
     total = chunks.agg(F.sum("n_bytes")).first()[0] or 0
     buckets = max(int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_BYTES))
-    back = _shared_anchors(chunks, units, window, gram, buckets).groupBy("chunk").agg(F.collect_list("codes").alias("codes"))
+    shared = _shared_anchors(chunks, units, window, gram, buckets)
+    owners = _stretch_owners(chunks, shared, units, window, gram, buckets, within)
+    schema = "bucket int, chunk long, places binary, docs binary, begins binary, sizes binary, text binary"
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
-            for c, reported in zip(_chunks(batch), batch.column(6).to_pylist()):
-                sequence, base, ends = units.cut(c.texts)
-                first, last, keys = anchor_runs(base, ends, window, gram)
-                codes = _codes(keys, buckets)
-                _, inverse, counts = np.unique(codes, return_inverse=True, return_counts=True)
-                shared = counts[inverse] > 1
-                if reported:
-                    shared |= np.isin(codes, np.frombuffer(b"".join(reported), np.uint64))
-                at = np.flatnonzero(shared)
-                doc = np.searchsorted(ends, first[at], "right")
-                begin = first[at] - np.r_[0, ends][doc]
-                order = np.lexsort((begin, c.ids[doc]))  # earlier occurrences first
-                seen: dict[bytes, tuple[int, int]] = {}
-                local: list[tuple[int, int]] = []
-                out: dict[int, list[tuple[int, int, int, bytes]]] = {}
-                for i in order.tolist():
-                    run, start, end = at[i], int(first[at[i]]), int(last[at[i]]) + window
-                    owner = (int(c.ids[doc[i]]), int(begin[i]) if within else 0)
-                    text = units.stretch(sequence, start, end)
-                    if seen.setdefault(text, owner) < owner:
-                        local.append((start, end))
-                    else:
-                        out.setdefault(int(codes[run] >> np.uint64(40)), []).append((start, owner[0], int(begin[i]), text))
-                rows = [(b, c.chunk, *(np.array([e[k] for e in found], np.int64).tobytes() for k in range(3)), np.array([len(e[3]) for e in found], np.int32).tobytes(), squeeze(b"".join(e[3] for e in found))) for b, found in out.items()]
-                if local:  # known already: passes through a bucket on its way back
-                    starts, stops = merge_runs(*(np.array([s[k] for s in local]) for k in range(2)))
+            for c, answers, verdicts in zip(_chunks(batch), batch.column(6).to_pylist(), batch.column(7).to_pylist()):
+                sequence, ends = units.cut(c.texts)
+                r = anchor_runs(units.hashes(sequence), ends, window, gram)
+                e = _entries(c, r, ends, buckets, answers, within)
+                held, compare = _flags(verdicts, "bits", e.codes), _flags(verdicts, "more", e.codes)
+                rows = []
+                asked = np.flatnonzero(compare[e.entry] & e.owned)
+                for bucket, a, b in zip(*_same(_bucket_of(e.codes[e.entry[asked]]))):
+                    run = e.runs[asked[a:b]]
+                    first, doc = r.first[run], r.doc[run]
+                    texts = [units.stretch(sequence, p, q) for p, q in zip(first.tolist(), (r.last[run] + window).tolist())]
+                    begin = first - np.r_[0, ends][doc]
+                    rows.append((bucket, c.chunk, first.tobytes(), c.ids[doc].tobytes(), begin.tobytes(), np.array([len(t) for t in texts], np.int32).tobytes(), squeeze(b"".join(texts))))
+                # known already: passes through a bucket on its way back
+                gone = e.runs[~e.owned | held[e.entry]]
+                if len(gone):
+                    starts, stops = merge_runs(r.first[gone], r.last[gone] + window)
                     rows.append((c.chunk % buckets, c.chunk, starts.tobytes(), stops.tobytes(), b"", b"", b""))
-                kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 5]
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=["bucket", "chunk", "places", "docs", "begins", "sizes", "text"])
+                yield _rows(rows, schema)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         loose = zstandard.ZstdDecompressor().decompress
-        held: dict[int, list[Stretch]] = {}
-        spans: dict[int, list[tuple[int, int]]] = {}
-        for batch in batches:
-            for bucket, chunk, places, docs, begins, sizes, text in zip(*(col.to_pylist() for col in batch.columns)):
-                places, docs = (np.frombuffer(x, np.int64).tolist() for x in (places, docs))
+        spans: dict[int, list[np.ndarray]] = {}
+        for parts in _by_bucket(batches).values():
+            found: list[Stretch] = []
+            for chunk, places, docs, begins, sizes, text in parts:
+                places, docs = (np.frombuffer(x, np.int64) for x in (places, docs))
                 if not sizes:
-                    spans.setdefault(chunk, []).extend(zip(places, docs))
+                    spans.setdefault(chunk, []).append(np.stack([places, docs]))
                     continue
                 whole, stops = loose(text), np.cumsum(np.frombuffer(sizes, np.int32)).tolist()
-                held.setdefault(bucket, []).extend((chunk, p, d, b, whole[x:y]) for p, d, b, x, y in zip(places, docs, np.frombuffer(begins, np.int64).tolist(), [0, *stops], stops))
-        for found in held.values():
+                found.extend((chunk, p, d, b, whole[x:y]) for p, d, b, x, y in zip(places.tolist(), docs.tolist(), np.frombuffer(begins, np.int64).tolist(), [0, *stops], stops))
+            new: dict[int, list[tuple[int, int]]] = {}
             for chunk, start, end in solve(found, window):
-                spans.setdefault(chunk, []).append((start, end))
-        rows = []
-        for chunk, some in spans.items():
-            starts, stops = merge_runs(*(np.array([s[k] for s in some], np.int64) for k in range(2)))
-            rows.append((chunk, starts.tobytes(), stops.tobytes()))
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.binary(), pa.binary()))], names=["chunk", "starts", "ends"])
-
-    told = chunks.join(back, "chunk", "left").select(*chunks.columns, "codes")
-    sent = told.mapInArrow(send, "bucket int, chunk long, places binary, docs binary, begins binary, sizes binary, text binary")
+                new.setdefault(chunk, []).append((start, end))
+            for chunk, some in new.items():
+                spans.setdefault(chunk, []).append(np.array(some, np.int64).T)
+        merged = ((chunk, merge_runs(*np.concatenate(some, 1))) for chunk, some in spans.items())
+        yield _rows([(chunk, a.tobytes(), b.tobytes()) for chunk, (a, b) in merged], "chunk long, starts binary, ends binary")
+
+    sent = _told(chunks, shared, owners).mapInArrow(send, schema)
     found = sent.repartition(buckets, "bucket").mapInArrow(search, "chunk long, starts binary, ends binary")
     return written(found.groupBy("chunk").agg(F.collect_list("starts").alias("starts"), F.collect_list("ends").alias("ends")), "spans")
 
@@ -289,14 +455,13 @@ def per_document(chunks: DataFrame, spans: DataFrame, units, emit: Callable, sch
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for c, starts, stops in zip(_chunks(batch, rest=True), batch.column(6).to_pylist(), batch.column(7).to_pylist()):
-                sequence, _, ends = units.cut(c.texts)
+                sequence, ends = units.cut(c.texts)
                 a, b = merge_runs(*(np.frombuffer(b"".join(x or []), np.int64) for x in (starts, stops)))
                 # a run may pass from one document into the next where both ends are covered
-                cuts = np.r_[0, ends]
-                inner = cuts[1:-1][np.searchsorted(a, cuts[1:-1], "left") != np.searchsorted(b, cuts[1:-1], "right")] if len(a) else cuts[:0]
+                cuts = np.r_[0, ends][1:-1]
+                inner = cuts[np.searchsorted(a, cuts, "left") != np.searchsorted(b, cuts, "right")] if len(a) else cuts[:0]
                 a, b = np.unique(np.r_[a, inner]), np.unique(np.r_[b, inner])
-                doc = np.searchsorted(ends, a, "right")
-                edges = np.searchsorted(doc, np.arange(len(ends) + 1))
+                edges = np.searchsorted(np.searchsorted(ends, a, "right"), np.arange(len(ends) + 1))
                 yield from emit(c, sequence, ends, [(a[x:y], b[x:y]) for x, y in zip(edges, edges[1:])])
 
-    return chunks.join(spans, "chunk", "left").select(*chunks.columns, "starts", "ends").mapInArrow(run, schema)
+    return chunks.join(spans.hint("shuffle_hash"), "chunk", "left").select(*chunks.columns, "starts", "ends").mapInArrow(run, schema)

@@ -36,7 +36,7 @@ class SuffixArray:
         owner = np.repeat(np.arange(len(sizes)), starts)
         inner = np.arange(starts.sum()) - np.repeat(np.cumsum(starts) - starts, starts)
         place = begins[owner] + inner
-        hashes = gram_hashes(text.astype(np.uint64), least)[place] if len(place) else np.zeros(0, np.uint64)
+        hashes = gram_hashes(text, least)[place] if len(place) else np.zeros(0, np.uint64)
         before = np.where(inner > 0, text[place - 1].astype(np.int64), _UNSEEN)
         order = np.argsort(hashes, kind="stable")
         cuts = np.flatnonzero(np.r_[True, hashes[order][1:] != hashes[order][:-1]]) if len(order) else np.zeros(0, np.int64)
