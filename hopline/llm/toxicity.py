@@ -40,13 +40,20 @@ class Lexicon:
     def learn(cls, texts: list[str], toxic: np.ndarray, most: int = 5000) -> Lexicon:
         """Words and stems found mostly in toxic texts, with the logarithm of their odds."""
         counts = {0: Counter(), 1: Counter()}
+        forms: dict[str, set[str]] = {}
         for text, label in zip(texts, toxic):
             words = set(_WORD.findall(text.lower()))
             counts[int(label)].update(words)
             counts[int(label)].update({f"{w[:n]}-" for w in words for n in _STEMS if len(w) >= n})
+            for w in words if label else ():
+                for n in _STEMS:
+                    if len(w) > n:
+                        forms.setdefault(f"{w[:n]}-", set()).add(w)
         n1, n0 = max(1, int(toxic.sum())), max(1, int((1 - toxic).sum()))
-        odds = {t: math.log((c + 0.1) / (n1 + 0.2)) - math.log((counts[0][t] + 0.1) / (n0 + 0.2)) for t, c in counts[1].items() if c >= max(5, 0.015 * n1)}
-        strong = sorted((t for t, o in odds.items() if o >= 3), key=lambda t: (-odds[t], t))[:most]
+        # two deviations below the count: a few toxic texts that share a rare word prove nothing
+        odds = {t: math.log((max(0.0, c - 2 * math.sqrt(c)) + 0.1) / (n1 + 0.2)) - math.log((counts[0][t] + 0.1) / (n0 + 0.2)) for t, c in counts[1].items() if c >= max(5, 0.015 * n1)}
+        # a stem of one or two words says no more than these words, but would catch others
+        strong = sorted((t for t, o in odds.items() if o >= 3 and (t[-1] != "-" or len(forms.get(t, ())) > 2)), key=lambda t: (-odds[t], t))[:most]
         return cls({t: odds[t] for t in strong if t[-1] != "-"} | {w: odds.get(w, 3.0) for w in SEED_INSULTS}, {t[:-1]: odds[t] for t in strong if t[-1] == "-"})
 
     def weight(self, word: str) -> float:
@@ -225,8 +232,8 @@ def train(docs: DataFrame, labels: DataFrame) -> ToxicityModel | float:
     return fit([rows[i].text for i in order], toxic, np.array([rows[i].fold for i in order]), weight / weight.mean())
 
 
-def score_column(docs: DataFrame, model: ToxicityModel | float) -> DataFrame:
-    """All columns of ``docs`` and ``toxicity``; a null text scores as an empty one."""
+def score_column(docs: DataFrame, model: ToxicityModel | float, name: str = "toxicity") -> DataFrame:
+    """All columns of ``docs`` and the score, as ``name``; a null text scores as an empty one."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 
@@ -234,9 +241,9 @@ def score_column(docs: DataFrame, model: ToxicityModel | float) -> DataFrame:
         for batch in batches:
             texts = [t or "" for t in batch.column(at).to_pylist()]
             found = shared.value.score(texts) if isinstance(shared.value, ToxicityModel) else np.full(len(texts), shared.value)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], names=[*batch.schema.names, "toxicity"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], names=[*batch.schema.names, name])
 
-    return docs.mapInArrow(score, T.StructType([*docs.schema.fields, T.StructField("toxicity", T.DoubleType())]))
+    return docs.mapInArrow(score, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
