@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..errors import ClosureBudgetExceeded, GraphError, InvalidValue
 from ..graph import Graph
 from ..plans.fixpoint import KERNEL_EDGES, Spread, edge_arrays, propagate
+from ..plans.shipping import ship_package
 from ..plans.storage import materialised
 from .traversal import reachable_pairs
 
@@ -128,6 +129,7 @@ def strong_components(graph: Graph, strategy: str = "auto") -> DataFrame:
     if strategy != "relational":
         arrays = edge_arrays(graph.edges, None)
         if arrays is not None:
+            ship_package(graph.spark)
             shared = graph.spark.sparkContext.broadcast(arrays)
 
             def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import InvalidValue
+from .shipping import ship_package
 from .storage import materialised
 
 #: Edges up to which the arrays are broadcast: 120 MB with weights.
@@ -122,6 +123,7 @@ def propagate(edges: DataFrame, init: DataFrame, how: Spread = Spread(), strateg
 
 def _kernel(arrays: EdgeArrays, init: DataFrame, how: Spread) -> DataFrame:
     spark = init.sparkSession
+    ship_package(spark)
     shared = spark.sparkContext.broadcast(arrays)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
