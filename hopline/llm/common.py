@@ -9,11 +9,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ..plans.shipping import ship_package
+
 #: Arrow batches are cut by rows; documents can be long, so few rows go in one batch.
 BATCH_ROWS = 512
 
 
 def small_batches(spark: SparkSession) -> None:
+    """What Python workers need: this package, and batches of few rows."""
+    ship_package(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
