@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from .common import text_bytes
-from .tokens import encoder
+from .tokens import MEMO_WORDS, encoder
 
 PIECE_SCHEMA = "doc_id long, start long, length long, ids binary, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -25,7 +25,7 @@ def piece_lengths(n: int, longest: int) -> list[int]:
     return [longest] * (n // longest) + [1 << b for b in range(rest.bit_length() - 1, -1, -1) if rest >> b & 1]
 
 
-def pack_documents(docs: DataFrame, vocabulary: str, end_id: int, longest: int = 4096) -> DataFrame:
+def pack_documents(docs: DataFrame, vocabulary: str, end_id: int, longest: int = 4096, memo_words: int = MEMO_WORDS) -> DataFrame:
     """Cuts each document's ids (with ``end_id`` after the last) into pieces of power-of-two length.
 
     Every piece is a sequence of its own: none crosses a document, none needs padding, and the sequences
@@ -33,14 +33,14 @@ def pack_documents(docs: DataFrame, vocabulary: str, end_id: int, longest: int =
     bucket in its high bits, then the input partition and the place in it, so ids are unique and sort by
     bucket without a shuffle; ``ids`` holds little-endian unsigned 32-bit ids.
 
-    ``longest`` must be a power of two.  A null or empty text is the end id alone.  Rows with equal ids
+    ``memo_words`` bounds what a worker remembers (see ``tokens``).  ``longest`` must be a power of two.  A null or empty text is the end id alone.  Rows with equal ids
     are packed each on its own; a null id stays null.  An empty table gives no pieces.
     """
     if longest < 1 or longest & (longest - 1):
         raise ValueError("longest must be a power of two")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, partition = encoder(vocabulary).encode, TaskContext.get().partitionId()
+        encode, partition = encoder(vocabulary, memo_words).encode, TaskContext.get().partitionId()
         places = [0] * 64
         for batch in batches:
             out: list[list] = [[] for _ in range(8)]

@@ -16,7 +16,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score 0.7 or more go; the model learns from the labels of ``docs``."""
     small_batches(spark)
     model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return score_column(docs, model).where("toxicity < 0.7").select(*docs.columns)
+    return score_column(docs, model, "__toxicity").where("__toxicity < 0.7").select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,6 +38,9 @@ def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of up to 4096 ids, each one piece of one document, of power-of-two length."""
+    """Sequences of up to 4096 ids, each one piece of one document, of power-of-two length.
+
+    Workers serve the other stages too, so they remember fewer words than for packing alone.
+    """
     small_batches(spark)
-    return pack_documents(docs, default_vocabulary(), end_id=2, longest=4096)
+    return pack_documents(docs, default_vocabulary(), end_id=2, longest=4096, memo_words=150_000)

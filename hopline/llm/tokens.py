@@ -22,8 +22,8 @@ _AS_CHARACTER = {b: b for b in _PRINTABLE} | {b: 256 + n for n, b in enumerate(b
 class _Words(dict):
     """Word to its place in the lists of ids; a word not met before is encoded then."""
 
-    def __init__(self, tokenizer):
-        self.tokenizer, self.one = tokenizer, tokenizer.model.tokenize
+    def __init__(self, tokenizer, most: int):
+        self.tokenizer, self.one, self.most = tokenizer, tokenizer.model.tokenize, most
         # bytes, not lists: the garbage collector would walk these again and again
         self.stems: dict[str, bytes] = {}
         self.ids, self.ends = bytearray(), array("q", [0])
@@ -44,7 +44,7 @@ class _Words(dict):
     def stem(self, text: str) -> bytes:
         found = self.stems.get(text)
         if found is None:
-            if len(self.stems) > MEMO_WORDS // 2:
+            if len(self.stems) > self.most // 2:
                 self.stems.clear()
             plain = text if text.isascii() else text.encode().decode("latin-1").translate(_AS_CHARACTER)
             found = self.stems[text] = array("I", [t.id for t in self.one(plain)]).tobytes()
@@ -59,18 +59,19 @@ class WordMemoEncoder:
     tokenizer, special tokens written in a text included.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, memo_words: int = MEMO_WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.small = self.tokenizer.get_vocab_size() <= 1 << 16
-        self.words = _Words(self.tokenizer)
+        self.memo_words = memo_words
+        self.words = _Words(self.tokenizer, memo_words)
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         """uint32 ids of each text."""
-        if len(self.words) > MEMO_WORDS:
-            self.words = _Words(self.tokenizer)
+        if len(self.words) > self.memo_words:
+            self.words = _Words(self.tokenizer, self.memo_words)
         place = self.words.__getitem__
         split = [t.split() for t in texts]
         at = [np.fromiter(map(place, words), np.int64, len(words)) for words in split]
@@ -83,11 +84,11 @@ class WordMemoEncoder:
         return np.split(whole, cuts[:-1]) if texts else []
 
 
-_encoders: dict[str, WordMemoEncoder] = {}
+_encoders: dict[tuple[str, int], WordMemoEncoder] = {}
 
 
-def encoder(path: str) -> WordMemoEncoder:
-    """One per worker process and vocabulary file."""
-    if path not in _encoders:
-        _encoders[path] = WordMemoEncoder(path)
-    return _encoders[path]
+def encoder(path: str, memo_words: int = MEMO_WORDS) -> WordMemoEncoder:
+    """One per worker process, vocabulary file and size of memo."""
+    if (path, memo_words) not in _encoders:
+        _encoders[path, memo_words] = WordMemoEncoder(path, memo_words)
+    return _encoders[path, memo_words]
