@@ -12,8 +12,8 @@ from .functions import bits, parameters
 from .functions.sampling import uniform_bits
 from .graph import Graph, partition_by_labels, vertex_attribute_index
 from .operators import applications, checks, closure, dynamic, generators, hopsets, paths, shortcuts, sketches, traversal
-from .plans.storage import materialised
-from .sources import arrays
+from .plans.storage import materialised, scratch_path
+from .sources import arrays, json_graph, text
 from .streaming.closure import StreamingClosure, StreamingDegreeSketch, StreamingShortcuts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -620,8 +620,6 @@ def _streaming(spark, d):
 
 def _replayed(spark: SparkSession, d: str) -> DataFrame:
     """The edges of the acyclic graph as a stream of four files."""
-    from .plans.storage import scratch_path
-
     folder = scratch_path(spark, "stream-source")
     g = G.part_succession(spark, d, 49)
     g.edges.select("src", "dst").repartition(4, F.md5(F.concat_ws(":", "src", "dst"))).write.parquet(folder)
@@ -700,3 +698,133 @@ _generator("chain_of_stars", lambda s: generators.chain_of_stars(s, 3, 4), "SELE
 def _closed_forms(spark, d):
     sizes = {"path": [12], "cycle": [9], "star": [10], "layered": [3, 4, 2], "bipartite": [4, 5]}
     return spark.createDataFrame([(f, generators.verify_closed_form(spark, f, s)) for f, s in sizes.items()], "family string, holds boolean")
+
+
+# --- sources and sinks, lookups, and what else the inventory names ------------------------------------
+
+
+@query("json_round_trip", f"WITH {_edges(49)} SELECT src, dst, w FROM e")
+def _json(spark, d):
+    path = scratch_path(spark, "json-graph")
+    json_graph.write_json(_g1(spark, d, 49), path)
+    g, keys = json_graph.read_json(spark, path, weighted=True)
+    ids = keys.select("id", F.col("key").cast("long").alias("key"))
+    return g.edges.join(ids.selectExpr("id as src", "key as a"), "src").join(ids.selectExpr("id as dst", "key as b"), "dst").select(F.col("a").alias("src"), F.col("b").alias("dst"), "w")
+
+
+@query("edge_list_round_trip", f"WITH {_edges(48)} SELECT src, dst FROM e")
+def _edge_list(spark, d):
+    path = scratch_path(spark, "edge-list")
+    lines = G.part_succession(spark, d, 48).edges.select(F.concat_ws("\t", "src", "dst", "w").alias("value"))
+    spark.createDataFrame([("# src dst w",), ("",)], "value string").unionAll(lines).write.option("compression", "gzip").text(path)
+    return text.read_edge_list(spark, path).edges
+
+
+@query("table_round_trip", f"WITH {_edges(46)} SELECT src, dst, w FROM e")
+def _tables(spark, d):
+    path = scratch_path(spark, "graph-tables")
+    json_graph.write_tables(G.part_succession(spark, d, 46), path)
+    return json_graph.read_tables(spark, path).edges
+
+
+@query("lookups", f"WITH {_edges(46)}, x AS (SELECT * FROM e ORDER BY src, dst LIMIT 1) SELECT true AS has_vertex, true AS has_edge, w AS weight FROM x")
+def _lookups(spark, d):
+    g = _g1(spark, d, 46)
+    first = g.edges.orderBy("src", "dst").head()
+    return spark.createDataFrame([(g.has_vertex(first.src), g.has_edge(first.src, first.dst), g.get_weight(first.src, first.dst))], "has_vertex boolean, has_edge boolean, weight long")
+
+
+@query("add_vertices", "SELECT CAST(p_partkey AS BIGINT) AS id FROM part")
+def _add_vertices(spark, d):
+    parts = G.table(spark, d, "part").select(F.col("p_partkey").cast("long").alias("id"))
+    return G.part_succession(spark, d, 49).add_vertices(parts).vertices.select("id")
+
+
+@query("tc_brute_force", ORACLES["transitive_closure"])
+def _brute(spark, d):
+    return closure.closure_by_search(_g1(spark, d, 48))
+
+
+@query("check_hopbound", f"WITH RECURSIVE {_edges(49)}, {_SOURCE}, h(v, hop) AS (SELECT v, 0 FROM s0 UNION SELECT e.dst, h.hop + 1 FROM h JOIN e ON e.src = h.v WHERE h.hop < 60) SELECT v, CAST(min(hop) AS BIGINT) AS hop FROM h GROUP BY v HAVING min(hop) > 1")
+def _hopbound_check(spark, d):
+    g = _g1(spark, d, 49)
+    return checks.hops_over(g, g.edges.select("src", "dst").limit(0), G.busiest(g), 1)
+
+
+@query("check_shortcut_size", f"WITH {_edges(48)} SELECT count(*) AS size FROM e")
+def _size_check(spark, d):
+    g = _g1(spark, d, 48)
+    return checks.shortcut_size_excess(g, g.edges, 0.1).select("size")
+
+
+@query("check_hopset_size", f"WITH {_edges(48)} SELECT count(*) AS size FROM e")
+def _hopset_size_check(spark, d):
+    g = _g1(spark, d, 48)
+    return checks.hopset_size_excess(g, g.edges, 10.0, 0.1).select("size")
+
+
+@query("check_equivalence_classes", "SELECT c AS class, 'part' AS kind FROM (VALUES ('0'), ('1'), ('2')) t(c)")
+def _classes(spark, d):
+    parts = G.table(spark, d, "part").select(F.col("p_partkey").cast("long").alias("id"))
+    return checks.mixed_classes(parts.select("id", (F.col("id") % 3).alias("part")), parts.select("id", F.array(F.col("id") % 6).alias("label")))
+
+
+@query("validate_hopset", "SELECT CAST(0 AS BIGINT) AS unreached, CAST(0 AS BIGINT) AS over_epsilon")
+def _validate(spark, d):
+    g = _kept(generators.weighted_random_dag(spark, 40, 0.1, 1, 5, 7))
+    found = hopsets.build_hopset(g, seed=7).edges
+    return checks.validate_hopset(g, found, g.vertices.select("id"), 40, 0.1).select("unreached", "over_epsilon")
+
+
+@query("jls_with_tc_pruning", "SELECT CAST(0 AS BIGINT) AS violations")
+def _pruned(spark, d):
+    g = _kept(generators.random_dag(spark, 40, 0.1, 7))
+    return checks.unsound_shortcuts(g, shortcuts.shortcuts_with_pruning(g, 4.0, 2.0, 2, 7)).agg(F.count("*").alias("violations"))
+
+
+@query("cfr_hopset", "SELECT CAST(0 AS BIGINT) AS violations")
+def _plain_hopset(spark, d):
+    g = _kept(generators.weighted_random_dag(spark, 40, 0.1, 1, 5, 7))
+    return checks.underestimates(g, hopsets.plain_hopset(g, 4.0, 0.2, 2, 7)).agg(F.count("*").alias("violations"))
+
+
+@query("cfr_with_truncsssp_pruning", "SELECT CAST(0 AS BIGINT) AS violations")
+def _pruned_hopset(spark, d):
+    g = _kept(generators.weighted_random_dag(spark, 40, 0.1, 1, 5, 7))
+    return checks.underestimates(g, hopsets.hopset_with_pruning(g, 4.0, 0.2, 2.0, 2, 7)).agg(F.count("*").alias("violations"))
+
+
+@query("sparsify_hop_bounded", "SELECT CAST(0 AS BIGINT) AS violations")
+def _sparsify_bounded(spark, d):
+    g = _kept(generators.path_graph(spark, 5))
+    everything = closure.transitive_closure(g).where("src <> dst")
+    return shortcuts.hopbound_violations(g, shortcuts.sparsify_hop_bounded(g, everything, 2), 2).agg(F.count("*").alias("violations"))
+
+
+@query("hll_merge", "SELECT true AS within")
+def _hll_merge(spark, d):
+    lines = G.table(spark, d, "lineitem").select("l_partkey", (F.col("l_linenumber") % 2).alias("half"))
+    merged = sketches.cardinality(sketches.merge(sketches.sketch(lines, "l_partkey", ["half"])))
+    exact = lines.agg(F.countDistinct("l_partkey").alias("n"))
+    return merged.crossJoin(exact).select((F.abs(F.col("estimate") - F.col("n")) <= 0.05 * F.col("n")).alias("within"))  # two single rows
+
+
+@query("streaming_tc_deletions", ORACLES["dtc_delete"].replace(_edges(48, "e0"), _edges(49, "e0")))
+def _stream_deletions(spark, d):
+    state = StreamingClosure(spark)
+    edges = _g1(spark, d, 49).edges.select("src", "dst")
+    state.process(edges.withColumn("op", F.lit("insert")), 0)
+    state.process(edges.where("(src + dst) % 5 = 0").withColumn("op", F.lit("delete")), 1)
+    return state.reach
+
+
+@query("theoretical_bounds", "SELECT round(log2(1002) * (8000 + 1000 * 2.0 ** 4), 6) AS shortcut_work, round(log2(1002) * sqrt(1000) / 2, 6) AS shortcut_depth, round(log2(1002) * (8000 / 0.01 + 1000 * 16), 6) AS hopset_work, round(log2(1002) * (1000.0 ** 3 / 8000) ** 0.25 / 2, 6) AS hopset_depth")
+def _bounds(spark, d):
+    p = parameters
+    row = (p.shortcut_work(1000, 8000, 2.0), p.shortcut_depth(1000, 2.0), p.hopset_work(1000, 8000, 2.0, 0.1), p.hopset_depth(1000, 8000, 2.0))
+    return spark.createDataFrame([tuple(round(x, 6) for x in row)], "shortcut_work double, shortcut_depth double, hopset_work double, hopset_depth double")
+
+
+_generator("star", lambda s: generators.star_graph(s, 9), "SELECT CAST(0 AS BIGINT) AS src, i AS dst FROM range(1, 10) t(i)")
+_generator("weighted_path", lambda s: generators.weighted_path_graph(s, 20, 1, 10, 7), "SELECT i AS src, i + 1 AS dst, CAST('0x' || substr(md5('7:w:' || i || ':' || (i + 1)), 1, 8) AS BIGINT) % 10 + 1 AS w FROM range(19) t(i)")
+_generator("weighted_dense", lambda s: generators.weighted_dense_graph(s, 20, 50, 1, 10, 7), "SELECT src, dst, CAST('0x' || substr(md5('7:w:' || src || ':' || dst), 1, 8) AS BIGINT) % 10 + 1 AS w FROM (SELECT a.i AS src, b.i AS dst FROM range(20) a(i), range(20) b(i) WHERE a.i <> b.i ORDER BY CAST('0x' || substr(md5('7:' || a.i || ':' || b.i), 1, 8) AS BIGINT), 1, 2 LIMIT 50)")
