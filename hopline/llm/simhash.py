@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import text_bytes, written
@@ -140,25 +140,50 @@ def simhash_components(docs: DataFrame, shingle: int = 3) -> DataFrame:
 
 # --- near copies by shingle similarity -----------------------------------------------------------
 
-LANES = 3
-#: Differing bits of 192 beyond which a pair cannot reach the similarity but by odds under one in a thousand.
-MOST_BITS = 48
+LANES, PAIRS = 4, 5
+#: Differing bits of 256 beyond which a pair cannot reach the similarity but by odds under one in a thousand.
+MOST_BITS = 64
+#: Texts this many times longer than another are never its near copies: 0.8 alike, on either side of it.
+LENGTH_CLASS = 1.25**2
 
 
-def paired_segment_keys(*lanes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, key): eight 23-bit segments of the lanes, keyed in pairs by all their nearby codewords."""
-    bits = np.unpackbits(np.stack(lanes, 1).astype(np.int64).view(np.uint8).reshape(len(lanes[0]), -1), axis=1, bitorder="little")
+def _pair_keys(n_words: np.ndarray, lanes: tuple[np.ndarray, ...]) -> Iterator[np.ndarray]:
+    """For each pair of 23-bit segments: all keys of each row, -1 where there is none.
+
+    A key is the pair, a class of lengths and a Golay codeword near each segment.  Classes begin at
+    other lengths for each pair, so lengths that a class parts for one pair it joins for the others.
+    """
+    bits = np.unpackbits(np.stack(lanes, 1).astype(np.int64).view(np.uint8).reshape(len(n_words), -1), axis=1, bitorder="little")
     weights = (1 << np.arange(LENGTH)).astype(np.int64)
-    near = [nearby_codewords(bits[:, LENGTH * s : LENGTH * (s + 1)].astype(np.int64) @ weights) for s in range(8)]
+    near = [nearby_codewords(bits[:, LENGTH * s : LENGTH * (s + 1)].astype(np.int64) @ weights) for s in range(2 * PAIRS)]
+    scale = np.log(n_words) / np.log(LENGTH_CLASS)
+    for pair in range(PAIRS):
+        a, b = near[2 * pair][:, :, None], near[2 * pair + 1][:, None, :]
+        prefix = (np.int64(pair) << 32 | np.floor(scale + pair / PAIRS).astype(np.int64) << 24)[:, None, None]
+        yield np.where((a >= 0) & (b >= 0), prefix | a << 12 | b, -1).reshape(len(n_words), -1)
+
+
+def paired_segment_keys(n_words: np.ndarray, *lanes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key): every key of every row."""
     rows, keys = [], []
-    for pair in range(4):
-        a, b = near[2 * pair], near[2 * pair + 1]
-        row, i, j = np.nonzero((a[:, :, None] >= 0) & (b[:, None, :] >= 0))
+    for found in _pair_keys(n_words, lanes):
+        row, column = np.nonzero(found >= 0)
         rows.append(row)
-        keys.append(np.int64(pair) << 24 | a[row, i] << 12 | b[row, j])
+        keys.append(found[row, column])
     return np.concatenate(rows), np.concatenate(keys)
 
 
+def first_segment_keys(n_words: np.ndarray, *lanes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key): of each pair only the key of least hash, which close fingerprints often have in common."""
+    keys = []
+    for found in _pair_keys(n_words, lanes):
+        mixed = found.astype(np.uint64) * _SEEDS[1]
+        mixed ^= mixed >> np.uint64(29)
+        least = np.where(found >= 0, mixed * _SEEDS[2], np.uint64(2**64 - 1)).argmin(1)
+        keys.append(found[np.arange(len(found)), least])
+    return np.tile(np.arange(len(n_words)), PAIRS), np.concatenate(keys)
+
+
 def few_or_shuffled(ids: DataFrame) -> DataFrame:
     """``ids`` marked for broadcast if it has few rows; else a shuffle join takes it."""
     return F.broadcast(ids) if ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else ids
@@ -191,15 +216,25 @@ def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
-def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, rounds: int = 20) -> DataFrame:
+def _verified(texts: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """doc_id of the larger document of each pair (a, b) that is as similar as asked."""
+    pairs = written(pairs.select("a", "b").distinct(), "near-copy-pairs")
+    involved = pairs.selectExpr("a as doc_id").union(pairs.selectExpr("b as doc_id")).distinct()
+    sets = written(shingle_sets(texts, involved, shingle), "shingle-sets")
+    return written(_similar(pairs, sets, similarity).selectExpr("b as doc_id").distinct(), "near-copies")
+
+
+def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """doc_ids that go when one document of each group of near copies stays.
 
-    Equal texts are one group.  Other texts become 192-bit SimHash fingerprints of their word pairs (finer
+    Equal texts are one group.  Other texts become 256-bit SimHash fingerprints of their word pairs (finer
     than the shingles compared, so near copies lie closer), cut into segments of 23 bits and keyed in
-    pairs by the Golay codewords nearby.  In each round the smallest document of a bucket is compared with
-    all others there, and those whose shingle sets are similar go; the rest forms the next round's
-    buckets without that document.  So a group of copies, however large, costs its size and not its pairs, and
-    every pair of documents that stay and share a bucket has been compared.
+    pairs by the Golay codewords nearby.  In a bucket the smallest document is compared with all others
+    there, and those whose shingle sets are similar go: a group of copies, however large, costs its size
+    and not its pairs.  This is done first with one key a pair, which is enough for large groups, then
+    with all keys for what is left.  What then is left of a bucket is dissimilar to its smallest document;
+    its next 8, 64, ... documents are compared with all after them, until every pair that shares a bucket
+    has been.
 
     Documents without words are only ever equal.  Rows without an id stay.  Of rows that share an id none
     goes for the other's sake.
@@ -209,28 +244,39 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, roun
     firsts = written(hashed.groupBy("h0", "h1", "h2").agg(F.min("doc_id").alias("first")), "distinct-texts")
     copies = hashed.join(firsts, ["h0", "h1", "h2"]).where("doc_id <> first").select("doc_id")
     lanes = [f"f{i}" for i in range(LANES)]
+    columns = ["doc_id", "n_words", *lanes]
     prints = fingerprints(texts, 2, LANES).where("n_words > 0").join(firsts.selectExpr("first as doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    prints = written(prints.select("doc_id", *lanes), "near-copy-fingerprints")
-    keyed = _keyed(prints, ["doc_id", *lanes], paired_segment_keys)
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    buckets = written(keyed.join(sizes, "key"), "near-copy-buckets")
-    gone = None
-    for _ in range(rounds):
-        centres = buckets.groupBy("key").agg(F.min("doc_id").alias("a"), F.count("*").alias("n")).where("n > 1").select("key", "a")
-        pairs = buckets.join(centres, "key").where("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct()
-        for side in "ab":
-            pairs = pairs.join(prints.select(F.col("doc_id").alias(side), *(F.col(f).alias(f + side) for f in lanes)), side)
-        bits = sum((differing_bits(f + "a", f + "b") for f in lanes[1:]), differing_bits(lanes[0] + "a", lanes[0] + "b"))
-        pairs = written(pairs.where(bits <= MOST_BITS).select("a", "b"), "near-copy-pairs")
-        involved = pairs.selectExpr("a as doc_id").union(pairs.selectExpr("b as doc_id")).distinct()
-        similar = written(_similar(pairs, written(shingle_sets(texts, involved, shingle), "shingle-sets"), similarity), "near-copies")
-        new = similar.selectExpr("b as doc_id").distinct()
-        gone = new if gone is None else gone.union(new)
-        rest = buckets.join(centres.withColumnRenamed("a", "doc_id"), ["key", "doc_id"], "left_anti").join(new, "doc_id", "left_anti")
-        large = rest.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-        buckets = written(rest.join(large, "key"), "near-copy-buckets")
-        if not buckets.head(1):
-            break
+    prints = written(prints.select(*columns), "near-copy-fingerprints")
+    near = sum((F.bit_count(F.col(f).bitwiseXOR(F.col(f"c.{f}"))) for f in lanes), F.lit(0)) <= MOST_BITS
+    one = F.struct("doc_id", *lanes).alias("c")
+
+    def crowded(left: DataFrame, keys) -> DataFrame:
+        keyed = _keyed(left, columns, keys)
+        sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+        return written(keyed.join(sizes, "key").join(left, "doc_id").select("key", "n", "doc_id", *lanes), "near-copy-buckets")
+
+    def with_smallest(buckets: DataFrame) -> DataFrame:
+        return buckets.join(buckets.groupBy("key").agg(F.min(one).alias("c")), "key").where("doc_id <> c.doc_id")
+
+    # one comparison a document: with the smallest of the smallest documents of its buckets
+    quick = with_smallest(crowded(prints, first_segment_keys)).where(near).groupBy(F.col("doc_id").alias("b")).agg(F.min("c.doc_id").alias("a"))
+    gone = _verified(texts, quick, shingle, similarity)
+    left = written(prints.join(gone, "doc_id", "left_anti").select(*columns), "near-copy-fingerprints")
+    buckets = crowded(left, paired_segment_keys)
+    pairs = with_smallest(buckets).where(near).select(F.col("c.doc_id").alias("a"), F.col("doc_id").alias("b"))
+    new = _verified(texts, pairs, shingle, similarity)
+    gone = gone.union(new)
+    rest = written(with_smallest(buckets.where("n > 2")).select("key", "doc_id", *lanes).join(new, "doc_id", "left_anti"), "near-copy-buckets")
+    many = 8
+    while rest.head(1):
+        # copies are gone: what shares a bucket now does so by chance
+        ranked = rest.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("doc_id")))
+        heads = ranked.where(F.col("rank") <= many).select("key", one)
+        pairs = rest.join(heads, "key").where("doc_id > c.doc_id").where(near).select(F.col("c.doc_id").alias("a"), F.col("doc_id").alias("b"))
+        new = _verified(texts, pairs, shingle, similarity)
+        gone = gone.union(new)
+        rest = written(ranked.where(F.col("rank") > many).drop("rank").join(new, "doc_id", "left_anti"), "near-copy-buckets")
+        many *= 8
     return copies.union(gone).distinct()
 
 
