@@ -50,18 +50,19 @@ def majority_bits(hashes: np.ndarray, lanes: int = 1) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3, lanes: int = 1) -> DataFrame:
-    """doc_id, n_words and ``lanes`` 64-bit fingerprints f0, f1, ... of every whole text.
+def fingerprints(docs: DataFrame, shingle: int = 3, lanes: int = 1, counted: int | None = None) -> DataFrame:
+    """doc_id, length and ``lanes`` 64-bit fingerprints f0, f1, ... of every whole text.
 
-    A-Z become a-z; words are cut at ASCII white space.  Null and empty texts have fingerprint zero.
+    ``length`` is the number of words or, with ``counted``, of distinct runs of so many words.  A-Z
+    become a-z; words are cut at ASCII white space.  Null and empty texts have fingerprint zero.
     """
-    names = ["doc_id", "n_words", *(f"f{i}" for i in range(lanes))]
+    names = ["doc_id", "length", *(f"f{i}" for i in range(lanes))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             words = [t.lower().split() for t in text_bytes(batch.column(1))]
             found = np.array([majority_bits(shingle_hashes(w, shingle), lanes) for w in words], np.uint64).reshape(len(words), lanes).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(w) for w in words], pa.int64()), *(pa.array(found[:, i].copy()) for i in range(lanes))], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(np.unique(shingle_hashes(w, counted))) if counted else len(w) for w in words], pa.int64()), *(pa.array(found[:, i].copy()) for i in range(lanes))], names=names)
 
     return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
@@ -143,45 +144,45 @@ def simhash_components(docs: DataFrame, shingle: int = 3) -> DataFrame:
 LANES, PAIRS = 4, 5
 #: Differing bits of 256 beyond which a pair cannot reach the similarity but by odds under one in a thousand.
 MOST_BITS = 64
-#: Texts this many times longer than another are never its near copies: 0.8 alike, on either side of it.
+#: Texts that are 0.8 alike have numbers of distinct shingles within 1.25 of each other, on either side.
 LENGTH_CLASS = 1.25**2
 
 
-def _pair_keys(n_words: np.ndarray, lanes: tuple[np.ndarray, ...]) -> Iterator[np.ndarray]:
+def _pair_keys(length: np.ndarray, lanes: tuple[np.ndarray, ...]) -> Iterator[np.ndarray]:
     """For each pair of 23-bit segments: all keys of each row, -1 where there is none.
 
     A key is the pair, a class of lengths and a Golay codeword near each segment.  Classes begin at
     other lengths for each pair, so lengths that a class parts for one pair it joins for the others.
     """
-    bits = np.unpackbits(np.stack(lanes, 1).astype(np.int64).view(np.uint8).reshape(len(n_words), -1), axis=1, bitorder="little")
+    bits = np.unpackbits(np.stack(lanes, 1).astype(np.int64).view(np.uint8).reshape(len(length), -1), axis=1, bitorder="little")
     weights = (1 << np.arange(LENGTH)).astype(np.int64)
     near = [nearby_codewords(bits[:, LENGTH * s : LENGTH * (s + 1)].astype(np.int64) @ weights) for s in range(2 * PAIRS)]
-    scale = np.log(n_words) / np.log(LENGTH_CLASS)
+    scale = np.log(length) / np.log(LENGTH_CLASS)
     for pair in range(PAIRS):
         a, b = near[2 * pair][:, :, None], near[2 * pair + 1][:, None, :]
         prefix = (np.int64(pair) << 32 | np.floor(scale + pair / PAIRS).astype(np.int64) << 24)[:, None, None]
-        yield np.where((a >= 0) & (b >= 0), prefix | a << 12 | b, -1).reshape(len(n_words), -1)
+        yield np.where((a >= 0) & (b >= 0), prefix | a << 12 | b, -1).reshape(len(length), -1)
 
 
-def paired_segment_keys(n_words: np.ndarray, *lanes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def paired_segment_keys(length: np.ndarray, *lanes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(row, key): every key of every row."""
     rows, keys = [], []
-    for found in _pair_keys(n_words, lanes):
+    for found in _pair_keys(length, lanes):
         row, column = np.nonzero(found >= 0)
         rows.append(row)
         keys.append(found[row, column])
     return np.concatenate(rows), np.concatenate(keys)
 
 
-def first_segment_keys(n_words: np.ndarray, *lanes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def first_segment_keys(length: np.ndarray, *lanes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(row, key): of each pair only the key of least hash, which close fingerprints often have in common."""
     keys = []
-    for found in _pair_keys(n_words, lanes):
+    for found in _pair_keys(length, lanes):
         mixed = found.astype(np.uint64) * _SEEDS[1]
         mixed ^= mixed >> np.uint64(29)
         least = np.where(found >= 0, mixed * _SEEDS[2], np.uint64(2**64 - 1)).argmin(1)
         keys.append(found[np.arange(len(found)), least])
-    return np.tile(np.arange(len(n_words)), PAIRS), np.concatenate(keys)
+    return np.tile(np.arange(len(length)), PAIRS), np.concatenate(keys)
 
 
 def few_or_shuffled(ids: DataFrame) -> DataFrame:
@@ -244,8 +245,8 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> D
     firsts = written(hashed.groupBy("h0", "h1", "h2").agg(F.min("doc_id").alias("first")), "distinct-texts")
     copies = hashed.join(firsts, ["h0", "h1", "h2"]).where("doc_id <> first").select("doc_id")
     lanes = [f"f{i}" for i in range(LANES)]
-    columns = ["doc_id", "n_words", *lanes]
-    prints = fingerprints(texts, 2, LANES).where("n_words > 0").join(firsts.selectExpr("first as doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    columns = ["doc_id", "length", *lanes]
+    prints = fingerprints(texts, 2, LANES, shingle).where("length > 0").join(firsts.selectExpr("first as doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     prints = written(prints.select(*columns), "near-copy-fingerprints")
     near = sum((F.bit_count(F.col(f).bitwiseXOR(F.col(f"c.{f}"))) for f in lanes), F.lit(0)) <= MOST_BITS
     one = F.struct("doc_id", *lanes).alias("c")
