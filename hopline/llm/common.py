@@ -60,15 +60,19 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def bucketed(df: DataFrame, key: str, label: str) -> DataFrame:
-    """Writes ``df`` dealt by ``key``, so that joins on it leave these rows where they are."""
+def bucketed(df: DataFrame, key: str, label: str, n: int) -> DataFrame:
+    """Writes ``df`` dealt by ``key`` into ``n`` buckets, so that joins on it leave these rows where they are.
+
+    The table goes from the catalogue at once; the DataFrame keeps reading its files.
+    """
     spark = df.sparkSession
-    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     name = f"{label}_{uuid.uuid4().hex}"
     # the values are compressed already
     df.repartition(n, key).write.bucketBy(n, key).option("compression", "uncompressed").option("path", scratch_path(spark, label)).saveAsTable(name)
     release(spark)
-    return spark.table(name)
+    out = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # external: the files stay
+    return out
 
 
 def release(spark: SparkSession) -> None:

@@ -10,7 +10,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .automaton import SuffixAutomaton
-from .passages import CHUNK_BYTES, NO_ID, Stretch, Words, chunk_table, gram_hashes, per_document, repeated_spans
+from .passages import CHUNK_BYTES, NO_ID, Bucket, Words, chunk_table, gram_hashes, per_document, repeated_spans, rows_by_key
+
+#: Words after which a reference shard is closed: some 20 MB of automaton.
+SHARD_WORDS = 20_000
 
 _NEVER = (NO_ID, NO_ID)
 
@@ -54,48 +57,60 @@ class ReferenceShard(SuffixAutomaton):
                 yield n, self.earliest[state]
 
 
-def _with_repeats(passages: dict[bytes, list[Stretch]], window: int) -> dict[bytes, list[bytes]]:
-    """Words of the passages that can hold a repeated window: the others need no automaton."""
-    words = {text: text.split(b" ") for text in passages}
-    sizes = np.array([len(w) for w in words.values()], np.int64)
+def _meeting(words: list[list[bytes]], window: int) -> np.ndarray:
+    """Passages that may have a window in common with another one or twice: equal hashes tell."""
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
     starts = sizes - window + 1
     known: dict[bytes, int] = {}
-    units = np.fromiter((known.setdefault(x, len(known)) for w in words.values() for x in w), np.uint64, int(sizes.sum()))
+    units = np.fromiter((known.setdefault(x, len(known)) for w in words for x in w), np.uint64, int(sizes.sum()))
     owner = np.repeat(np.arange(len(sizes)), starts)
     place = np.arange(starts.sum()) + np.repeat(np.cumsum(sizes) - sizes - np.cumsum(starts) + starts, starts)
     hashes = gram_hashes(units, window)[place] if len(place) else np.zeros(0, np.uint64)
     _, inverse, counts = np.unique(hashes, return_inverse=True, return_counts=True)
-    repeated = np.zeros(len(sizes), bool)
-    repeated[owner[counts[inverse] > 1]] = True
-    return {text: w for (text, w), r in zip(words.items(), repeated) if r or len(passages[text]) > 1}
+    return np.unique(owner[counts[inverse] > 1])
+
+
+def _shards(passages: np.ndarray, words: list[list[bytes]], keys: np.ndarray) -> Iterator[np.ndarray]:
+    """Passages dealt into shards of about ``SHARD_WORDS``; those of one key stay together."""
+    passages = passages[np.argsort(keys[passages], kind="stable")]
+    sizes = np.cumsum([len(words[p]) for p in passages])
+    begin = 0
+    for end in np.flatnonzero(np.r_[keys[passages][1:] != keys[passages][:-1], True][: len(passages)]) + 1:
+        if sizes[end - 1] - (sizes[begin - 1] if begin else 0) >= SHARD_WORDS or end == len(passages):
+            yield passages[begin:end]
+            begin = end
 
 
-def earlier_windows(found: list[Stretch], window: int) -> Iterator[tuple[int, int, int]]:
-    """Spans of windows that the shard holds at an earlier place.
+def earlier_windows(b: Bucket, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Spans of windows that a shard holds at an earlier place.
 
-    The shard is a bucket's distinct passages, each at its first occurrence.  Every passage is streamed
-    through the shard's automaton once; its occurrences compare the earliest end of each window found
-    with their own.
+    The reference is the bucket's distinct passages, each at its first place, in shards of those that
+    share an anchor and so can share a window.  Every passage is streamed through its shard's automaton
+    once; its first place compares the earliest end of each window with its own, and of its later places
+    the whole stream is matched further up.  A passage that shares no window with another has a shard of
+    its own, whose automaton is a chain: its later places match it from end to end, so none is built.
     """
-    passages: dict[bytes, list[Stretch]] = {}
-    for one in found:
-        passages.setdefault(one[4], []).append(one)
-    words = _with_repeats(passages, window)
-    shard = ReferenceShard([(min((s[2], s[3]) for s in passages[text]), w) for text, w in words.items()], window)
-    for text, w in words.items():
-        ends = list(shard.stream(w))
-        for chunk, place, doc, begin, _ in passages[text]:
-            last = None
-            for n, earliest in ends:
-                if earliest < (doc, begin + n):
-                    if last is not None and n == last[1] + 1:
-                        last[1] = n
-                    else:
-                        if last is not None:
-                            yield chunk, place + last[0] - window, place + last[1]
-                        last = [n, n]
-            if last is not None:
-                yield chunk, place + last[0] - window, place + last[1]
+    order = np.lexsort((b.begin, b.doc, b.text))
+    fresh = np.r_[True, np.diff(b.text[order]) != 0]
+    first = order[fresh][np.cumsum(fresh) - 1]
+    later = np.zeros(len(order), bool)
+    later[order] = (b.doc[order] != b.doc[first]) | (b.begin[order] != b.begin[first])
+    words = [t.split(b" ") for t in b.texts]
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    rows = [np.flatnonzero(later)]
+    low, high = [np.zeros(len(rows[0]), np.int64)], [sizes[b.text[rows[0]]]]
+    own = order[fresh]
+    same, x, y = rows_by_key(b.text, np.flatnonzero(~later), len(words))
+    for shard in _shards(_meeting(words, window), words, b.codes):
+        automaton = ReferenceShard([((int(b.doc[own[p]]), int(b.begin[own[p]])), words[p]) for p in shard.tolist()], window)
+        for p in shard.tolist():
+            at = (int(b.doc[own[p]]), int(b.begin[own[p]]))
+            ends = np.array([n for n, earliest in automaton.stream(words[p]) if earliest < (at[0], at[1] + n)], np.int64)
+            for row in same[x[p] : y[p]].tolist():
+                rows.append(np.full(len(ends), row))
+                low.append(ends - window)
+                high.append(ends)
+    return np.concatenate(rows), np.concatenate(low), np.concatenate(high)
 
 
 def repeated_word_runs(docs: DataFrame, window: int = 20, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
@@ -124,5 +139,5 @@ def repeated_word_runs(docs: DataFrame, window: int = 20, chunk_bytes: int = CHU
         return [pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_words", "n_removed", "kept_sha256"])]
 
     chunks = chunk_table(docs.select("doc_id", "text"), chunk_bytes)
-    spans = repeated_spans(chunks, Words(), window, max(1, min(8, window // 2)), earlier_windows, within=True)
+    spans = repeated_spans(chunks, Words(), window, max(1, min(8, window // 2)), earlier_windows)
     return per_document(chunks, spans, Words(), emit, schema)

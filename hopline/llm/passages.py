@@ -4,18 +4,21 @@ A text is a sequence of units (bytes or words).  Every window of a fixed number
 its grams, the one of least hash (the leftmost of equals), as its anchor: equal windows name equal
 anchors at equal places.  Consecutive windows mostly share one; the stretch of text that they cover
 around it is some 70 bytes long.  Documents are packed into chunks, written once and bucketed by chunk
-(``chunk_table``), and chunks and buckets of anchors talk three times:
+(``chunk_table``), and chunks and buckets of anchors talk twice:
 
 1. a chunk sends the hashes of its anchors, each once, and hears which of them other chunks have;
-2. for those, or such as it holds twice itself, it sends the hash of the stretch and the first document
-   that holds it, and hears which stretches an earlier document holds whole, and which must be compared
-   as the same anchor stands in another stretch too;
-3. it sends the text of the latter.  All occurrences of a window are then in one bucket, where a solver
-   searches the distinct stretches for windows that occur earlier elsewhere.
+2. for those, or such as two of its own places have, it sends the text of the stretch, each text once,
+   with the places that hold it.  All occurrences of a window are then in one bucket, where a solver
+   searches the stretches for windows that occur earlier elsewhere; what it does not find is not found.
+
+Hashes only decide what is sent; equal means equal text.  An anchor in very many chunks would bring all
+the different texts around it into one bucket: its windows are dealt by hashes of their own, and only
+those that occur again are sent (``HOT_CHUNKS``).
 
 Spans found come back to the chunks (``repeated_spans``).  A chunk sends a hash or a stretch once, however
 many of its documents hold it, so a passage that is in a third of all documents costs its bucket one
-row a chunk, and its text goes out once in all.  Buckets grow in number with the input, not in size.
+row a chunk.  Buckets grow in number with the input, not in size; a task works through its buckets
+one after the other.
 """
 
 from __future__ import annotations
@@ -35,8 +38,12 @@ from .common import bucketed, merge_runs, text_bytes, written
 
 #: Text bytes after which a chunk is closed.
 CHUNK_BYTES = 2 << 20
-#: Text bytes for which there is one bucket.
-BUCKET_BYTES = 6 << 20
+#: Text bytes for which there is one bucket, and one task; a task holds one bucket at a time.
+BUCKET_BYTES, TASK_BYTES = 6 << 20, 64 << 20
+#: Tasks up to which their number grows with the input.
+MOST_TASKS = 50_000
+#: Chunks that have an anchor, beyond which its windows are dealt by hashes of their own.
+HOT_CHUNKS = 4096
 #: Stands for a document without an id: after all others.
 NO_ID = 2**63 - 1
 #: Window starts handled together: arrays that fit a core's cache.
@@ -96,7 +103,17 @@ def chunk_table(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
         if held:
             yield close()
 
-    return bucketed(docs.mapInArrow(pack, CHUNK_SCHEMA), "chunk", "chunks")
+    return bucketed(docs.mapInArrow(pack, CHUNK_SCHEMA), "chunk", "chunks", _tasks(docs.sparkSession, _planned_bytes(docs)))
+
+
+def _planned_bytes(docs: DataFrame) -> int:
+    """What Spark expects ``docs`` to hold, known without a job; 0 where it can only guess."""
+    guess = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return guess if guess < 1 << 50 else 0
+
+
+def _tasks(spark, n_bytes: int) -> int:
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(MOST_TASKS, -(-n_bytes // TASK_BYTES)))
 
 
 def _chunks(batch: pa.RecordBatch, rest: bool = False) -> Iterator[Chunk]:
@@ -181,22 +198,34 @@ def gram_hashes(units: np.ndarray, size: int) -> np.ndarray:
 
 @dataclass
 class Runs:
-    """Runs of window starts that name the same anchor: first and last start, document, anchor, stretch."""
+    """Runs of window starts that name the same anchor: first and last start, document, anchor."""
 
     first: np.ndarray
     last: np.ndarray
     doc: np.ndarray
     anchor: np.ndarray
-    stretch: np.ndarray
+
+    def take(self, rows: np.ndarray) -> Runs:
+        return Runs(self.first[rows], self.last[rows], self.doc[rows], self.anchor[rows])
+
+    def windows(self, units: np.ndarray, window: int) -> Runs:
+        """Each window as a run of its own, with its own hash for an anchor."""
+        size = self.last - self.first + 1
+        start = np.arange(size.sum()) + np.repeat(self.first - np.cumsum(size) + size, size)
+        own = [gram_hashes(units[a : b + window], window) for a, b in zip(self.first.tolist(), self.last.tolist())]
+        return Runs(start, start, np.repeat(self.doc, size), np.concatenate([np.zeros(0, np.uint64), *own]) ^ _C)
+
+    def with_more(self, more: Runs) -> Runs:
+        return Runs(*(np.concatenate([getattr(self, f), getattr(more, f)]) for f in ("first", "last", "doc", "anchor")))
 
 
 def anchor_runs(units: np.ndarray, ends: np.ndarray, window: int, gram: int) -> Runs:
     n = len(units) - window + 1
     if n < 1:
-        none, hashes = np.zeros(0, np.int64), np.zeros(0, np.uint64)
-        return Runs(none, none, none, hashes, hashes)
+        none = np.zeros(0, np.int64)
+        return Runs(none, none, none, np.zeros(0, np.uint64))
     low = np.uint64(0xFFFFFFFF)
-    anchor, key, whole = np.empty(n, np.int64), np.empty(n, np.uint64), np.empty(n, np.uint64)
+    anchor, key = np.empty(n, np.int64), np.empty(n, np.uint64)
     width = window - gram + 1
     for at in range(0, n, BLOCK):
         stop = min(n, at + BLOCK)
@@ -210,20 +239,17 @@ def anchor_runs(units: np.ndarray, ends: np.ndarray, window: int, gram: int) ->
         place = (least & low).astype(np.int64)
         anchor[at:stop] = place + at
         key[at:stop] = h[place]
-        whole[at:stop] = _longer(h, gram, window)
     sizes = np.diff(np.r_[0, ends])
     inside = np.arange(n) + window <= np.repeat(ends, sizes)[:n]
     change = anchor[1:] != anchor[:-1]
     first = np.flatnonzero(inside & np.r_[True, change | ~inside[:-1]])
     last = np.flatnonzero(inside & np.r_[change | ~inside[1:], True])
-    # the first and the last window overlap, so they hold all units of the stretch
-    stretch = _joined(whole[first], whole[last] + (last - first).astype(np.uint64) * _A)
-    return Runs(first, last, np.searchsorted(ends, first, "right"), key[first], stretch)
+    return Runs(first, last, np.searchsorted(ends, first, "right"), key[first])
 
 
 def _codes(keys: np.ndarray, buckets: int) -> np.ndarray:
-    """Bucket (24 bits), then 40 bits of the hash that the bucket does not hang on."""
-    return (keys % np.uint64(buckets)) << np.uint64(40) | keys >> np.uint64(24)
+    """Bucket (28 bits), then 36 bits of the hash; chance agreement only sends a text in vain."""
+    return (keys % np.uint64(buckets)) << np.uint64(36) | keys >> np.uint64(28)
 
 
 def _same(values: np.ndarray) -> tuple[list[int], list[int], list[int]]:
@@ -233,11 +259,11 @@ def _same(values: np.ndarray) -> tuple[list[int], list[int], list[int]]:
 
 
 def _bucket_of(codes: np.ndarray) -> np.ndarray:
-    return (codes >> np.uint64(40)).astype(np.int64)
+    return (codes >> np.uint64(36)).astype(np.int64)
 
 
 def _five(codes: np.ndarray) -> np.ndarray:
-    """The low five bytes of each code; the row holds its bucket."""
+    """The low five bytes of each code, enough within a bucket."""
     return np.ascontiguousarray(codes).view(np.uint8).reshape(-1, 8)[:, :5]
 
 
@@ -271,12 +297,23 @@ def _rows(rows: list[tuple], schema: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[kind]) for i, (_, kind) in enumerate(fields)], names=[name for name, _ in fields])
 
 
-def _by_bucket(batches: Iterator[pa.RecordBatch]) -> dict[int, list[tuple]]:
-    held: dict[int, list[tuple]] = {}
+def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple]]]:
+    """Buckets of rows sorted by bucket, one at a time."""
+    now, held = -1, []
     for batch in batches:
         for bucket, *row in zip(*(c.to_pylist() for c in batch.columns)):
-            held.setdefault(bucket, []).append(tuple(row))
-    return held
+            if bucket != now:
+                if held:
+                    yield now, held
+                now, held = bucket, []
+            held.append(tuple(row))
+    if held:
+        yield now, held
+
+
+def _dealt(sent: DataFrame, tasks: int) -> DataFrame:
+    """Rows of a bucket together, buckets dealt out in turn, so no task gets more of them than another."""
+    return sent.repartitionById(tasks, F.col("bucket") % tasks).sortWithinPartitions("bucket")
 
 
 def _split(flags: np.ndarray, sizes: list[int]) -> list[np.ndarray]:
@@ -295,157 +332,164 @@ def _told(chunks: DataFrame, *answers: DataFrame) -> DataFrame:
     return out.select(*chunks.columns, *(f"answers{i}" for i in range(len(answers))))
 
 
-def _shared_anchors(chunks: DataFrame, units, window: int, gram: int, buckets: int) -> DataFrame:
-    """First exchange: bits for the codes of a chunk that another chunk has too."""
+@dataclass(frozen=True)
+class Plan:
+    """How units are cut and dealt."""
+
+    units: Bytes | Words
+    window: int
+    gram: int
+    buckets: int
+    tasks: int
+    hot_chunks: int
+
+    def runs(self, c: Chunk) -> tuple[object, np.ndarray, np.ndarray, Runs]:
+        sequence, ends = self.units.cut(c.texts)
+        hashes = self.units.hashes(sequence)
+        return sequence, ends, hashes, anchor_runs(hashes, ends, self.window, self.gram)
+
+    def hot(self, r: Runs, answers: list[dict] | None) -> np.ndarray:
+        """Runs whose anchor is in very many chunks."""
+        known, inverse = np.unique(_codes(r.anchor, self.buckets), return_inverse=True)
+        return _flags(answers, "more", known)[inverse]
+
+    def shared(self, r: Runs, answers: list[dict] | None) -> np.ndarray:
+        """Runs whose anchor occurs elsewhere, here or in another chunk."""
+        known, inverse, counts = np.unique(_codes(r.anchor, self.buckets), return_inverse=True, return_counts=True)
+        return (_flags(answers, "bits", known) | (counts > 1))[inverse]
+
+
+def _exchange(chunks: DataFrame, plan: Plan, find: Callable[[Chunk, list], Runs], label: str) -> DataFrame:
+    """Bits for the anchors of a chunk that another chunk has too; more: for those that very many have."""
     schema = "bucket int, chunk long, codes binary"
+    n = len(chunks.columns)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for c in _chunks(batch):
-                sequence, ends = units.cut(c.texts)
-                codes = np.unique(_codes(anchor_runs(units.hashes(sequence), ends, window, gram).anchor, buckets))
+            for c, *told in zip(_chunks(batch), *(x.to_pylist() for x in batch.columns[6:n])):
+                codes = np.unique(_codes(find(c, told).anchor, plan.buckets))
                 low = _five(codes)
                 yield _rows([(bucket, c.chunk, low[a:b].tobytes()) for bucket, a, b in zip(*_same(_bucket_of(codes)))], schema)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for bucket, parts in _by_bucket(batches).items():
+        for bucket, parts in _by_bucket(batches):
             codes = _wide(b"".join(p[1] for p in parts))
-            order = np.argsort(codes, kind="stable")
-            same = codes[order][1:] == codes[order][:-1]
-            twice = np.zeros(len(codes), bool)
-            twice[order] = np.r_[same, False] | np.r_[False, same]
-            yield _rows([(p[0], bucket, _bits(own), b"") for p, own in zip(parts, _split(twice, [len(p[1]) // 5 for p in parts])) if own.any()], ANSWER)
+            _, inverse, counts = np.unique(codes, return_inverse=True, return_counts=True)
+            sizes = [len(p[1]) // 5 for p in parts]
+            often = counts[inverse]
+            yield _rows([(p[0], bucket, _bits(own > 1), _bits(own > plan.hot_chunks)) for p, own in zip(parts, _split(often, sizes)) if own.max(initial=0) > 1], ANSWER)
 
-    sent = chunks.mapInArrow(send, schema)
-    return _gathered(sent.repartition(buckets, "bucket").mapInArrow(meet, ANSWER), "shared-anchors")
+    return _gathered(_dealt(chunks.mapInArrow(send, schema), plan.tasks).mapInArrow(meet, ANSWER), label)
 
 
 @dataclass
-class Entries:
-    """The distinct shared stretches of a chunk, sorted by code and stretch, with their first owners."""
+class Bucket:
+    """The distinct stretches of a bucket with their anchors' codes, and all places that hold one: stretch, chunk, place there, document, place in it."""
 
+    texts: list[bytes]
     codes: np.ndarray
-    stretch: np.ndarray
+    text: np.ndarray
+    chunk: np.ndarray
+    place: np.ndarray
     doc: np.ndarray
     begin: np.ndarray
-    #: all runs that hold one, in the same order: the run, its entry, and whether it is the first owner's
-    runs: np.ndarray
-    entry: np.ndarray
-    owned: np.ndarray
-
-
-def _entries(c: Chunk, r: Runs, ends: np.ndarray, buckets: int, answers: list[dict] | None, within: bool) -> Entries:
-    codes = _codes(r.anchor, buckets)
-    known, inverse, counts = np.unique(codes, return_inverse=True, return_counts=True)
-    at = np.flatnonzero((_flags(answers, "bits", known) | (counts > 1))[inverse])
-    doc, begin = c.ids[r.doc[at]], r.first[at] - np.r_[0, ends][r.doc[at]]
-    order = np.lexsort((begin, doc, r.stretch[at], codes[at]))
-    at, doc, begin = at[order], doc[order], begin[order]
-    code, stretch = codes[at], r.stretch[at]
-    fresh = np.r_[True, (code[1:] != code[:-1]) | (stretch[1:] != stretch[:-1])][: len(at)]
-    entry, first = np.cumsum(fresh) - 1, np.flatnonzero(fresh)
-    owned = doc == doc[first][entry]
-    if within:
-        owned &= begin == begin[first][entry]
-    return Entries(code[first], stretch[first], doc[first], begin[first], at, entry, owned)
-
-
-def _stretch_owners(chunks: DataFrame, shared: DataFrame, units, window: int, gram: int, buckets: int, within: bool) -> DataFrame:
-    """Second exchange: bits for entries that an earlier owner holds whole; more: for those to be compared."""
-    schema = "bucket int, chunk long, codes binary, stretch binary, docs binary, begins binary"
 
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for c, answers in zip(_chunks(batch), batch.column(6).to_pylist()):
-                sequence, ends = units.cut(c.texts)
-                e = _entries(c, anchor_runs(units.hashes(sequence), ends, window, gram), ends, buckets, answers, within)
-                low = _five(e.codes)
-                yield _rows([(bucket, c.chunk, low[a:b].tobytes(), e.stretch[a:b].tobytes(), e.doc[a:b].tobytes(), e.begin[a:b].tobytes() if within else b"") for bucket, a, b in zip(*_same(_bucket_of(e.codes)))], schema)
 
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for bucket, parts in _by_bucket(batches).items():
-            codes = _wide(b"".join(p[1] for p in parts))
-            stretch, doc = (np.frombuffer(b"".join(p[i] for p in parts), kind) for i, kind in ((2, np.uint64), (3, np.int64)))
-            begin = np.frombuffer(b"".join(p[4] for p in parts), np.int64) if within else np.zeros(len(doc), np.int64)
-            order = np.lexsort((begin, doc, stretch, codes))
-            code, one, doc, begin = codes[order], stretch[order], doc[order], begin[order]
-            new_code = np.r_[True, code[1:] != code[:-1]]
-            fresh = new_code | np.r_[True, one[1:] != one[:-1]]
-            group, first = np.cumsum(fresh) - 1, np.flatnonzero(fresh)
-            later = (doc != doc[first][group]) | (begin != begin[first][group])
-            anchors = np.cumsum(new_code) - 1
-            several = np.bincount(anchors[first])[anchors] > 1
-            held, compare = np.zeros(len(doc), bool), np.zeros(len(doc), bool)
-            held[order], compare[order] = later, several & ~later
-            sizes = [len(p[3]) // 8 for p in parts]
-            yield _rows([(p[0], bucket, _bits(a), _bits(b)) for p, a, b in zip(parts, _split(held, sizes), _split(compare, sizes)) if a.any() or b.any()], ANSWER)
-
-    sent = _told(chunks, shared).mapInArrow(send, schema)
-    return _gathered(sent.repartition(buckets, "bucket").mapInArrow(meet, ANSWER), "stretch-owners")
-
-
-#: An occurrence of a stretch: chunk, place there, document, place in the document; then the stretch.
-Stretch = tuple[int, int, int, int, bytes]
-#: Finds, among the stretches of a bucket, spans (chunk, from, to) of windows that occur earlier elsewhere.
-Solver = Callable[[list[Stretch], int], Iterator[tuple[int, int, int]]]
-
-
-def repeated_spans(chunks: DataFrame, units, window: int, gram: int, solve: Solver, within: bool) -> DataFrame:
-    """chunk, starts, ends: lists of spans, in units of the chunk, whose windows all occur earlier.
-
-    Earlier: in a document of smaller id or, if ``within``, at an earlier place of the same document.
-    """
+#: Finds windows that occur earlier elsewhere: places (row of the bucket) and spans there (from, to), in units.
+Solver = Callable[[Bucket, int], tuple[np.ndarray, np.ndarray, np.ndarray]]
+
+_squeeze, _loose = zstandard.ZstdCompressor(level=1).compress, zstandard.ZstdDecompressor().decompress
+
+
+def _packed(texts: list[bytes], codes: np.ndarray, place: np.ndarray, doc: np.ndarray, begin: np.ndarray) -> bytes:
+    """Distinct texts and their codes, and the places of each."""
+    known: dict[bytes, int] = {}
+    text = np.array([known.setdefault(t, len(known)) for t in texts], np.int32)
+    sizes, code = np.fromiter(map(len, known), np.int32, len(known)), np.empty(len(known), np.uint64)
+    code[text] = codes
+    head = np.array([len(known), len(texts)], np.int64)
+    return _squeeze(b"".join([x.tobytes() for x in (head, sizes, code, text, place.astype(np.int32), doc, begin.astype(np.int32))] + list(known)))
+
+
+def _unpacked(parts: list[tuple[int, bytes]]) -> Bucket:
+    known: dict[bytes, int] = {}
+    found, codes = [], []
+    for chunk, packed in parts:
+        raw = _loose(packed)
+        n, m = np.frombuffer(raw, np.int64, 2).tolist()
+        at, columns = 16, []
+        for count, kind in ((n, np.int32), (n, np.uint64), (m, np.int32), (m, np.int32), (m, np.int64), (m, np.int32)):
+            columns.append(np.frombuffer(raw, kind, count, at).astype(np.int64))
+            at += count * np.dtype(kind).itemsize
+        sizes, code, text, place, doc, begin = columns
+        stops = (at + np.cumsum(sizes)).tolist()
+        names = np.array([known.setdefault(raw[x:y], len(known)) for x, y in zip([at, *stops], stops)], np.int64)
+        found.append((names[text], np.full(m, chunk), place, doc, begin))
+        codes.append((names, code))
+    code = np.empty(len(known), np.int64)
+    for names, own in codes:
+        code[names] = own
+    return Bucket(list(known), code, *(np.concatenate(x) for x in zip(*found)))
+
+
+def rows_by_key(key: np.ndarray, rows: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``rows`` ordered by their keys below ``n``, and where each key's rows begin and end."""
+    order = np.argsort(key[rows], kind="stable")
+    edges = np.searchsorted(key[rows][order], np.arange(n + 1))
+    return rows[order], edges[:-1], edges[1:]
+
+
+def repeated_spans(chunks: DataFrame, units, window: int, gram: int, solve: Solver) -> DataFrame:
+    """chunk, starts, ends: lists of spans, in units of the chunk, that the solver finds."""
+    spark = chunks.sparkSession
     total = chunks.agg(F.sum("n_bytes")).first()[0] or 0
-    buckets = max(int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_BYTES))
-    shared = _shared_anchors(chunks, units, window, gram, buckets)
-    owners = _stretch_owners(chunks, shared, units, window, gram, buckets, within)
-    schema = "bucket int, chunk long, places binary, docs binary, begins binary, sizes binary, text binary"
+    tasks = _tasks(spark, total)
+    plan = Plan(units, window, gram, max(tasks, -(-total // BUCKET_BYTES)), tasks, HOT_CHUNKS)
+    shared = _exchange(chunks, plan, lambda c, _: plan.runs(c)[3], "shared-anchors")
+    told = [shared]
+    has_hot = F.exists("answers", lambda a: F.length(F.replace(F.hex(a["more"]), F.lit("0"), F.lit(""))) > 0)
+
+    def hot_windows(c: Chunk, answers: list) -> Runs:
+        _, _, hashes, r = plan.runs(c)
+        return r.take(np.flatnonzero(plan.hot(r, answers[0]))).windows(hashes, window)
+
+    if shared.where(has_hot).head(1):
+        told.append(_exchange(_told(chunks, shared), plan, hot_windows, "shared-windows"))
+    schema = "bucket int, chunk long, starts binary, ends binary"
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        squeeze = zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
-            for c, answers, verdicts in zip(_chunks(batch), batch.column(6).to_pylist(), batch.column(7).to_pylist()):
-                sequence, ends = units.cut(c.texts)
-                r = anchor_runs(units.hashes(sequence), ends, window, gram)
-                e = _entries(c, r, ends, buckets, answers, within)
-                held, compare = _flags(verdicts, "bits", e.codes), _flags(verdicts, "more", e.codes)
-                rows = []
-                asked = np.flatnonzero(compare[e.entry] & e.owned)
-                for bucket, a, b in zip(*_same(_bucket_of(e.codes[e.entry[asked]]))):
-                    run = e.runs[asked[a:b]]
-                    first, doc = r.first[run], r.doc[run]
-                    texts = [units.stretch(sequence, p, q) for p, q in zip(first.tolist(), (r.last[run] + window).tolist())]
-                    begin = first - np.r_[0, ends][doc]
-                    rows.append((bucket, c.chunk, first.tobytes(), c.ids[doc].tobytes(), begin.tobytes(), np.array([len(t) for t in texts], np.int32).tobytes(), squeeze(b"".join(texts))))
-                # known already: passes through a bucket on its way back
-                gone = e.runs[~e.owned | held[e.entry]]
-                if len(gone):
-                    starts, stops = merge_runs(r.first[gone], r.last[gone] + window)
-                    rows.append((c.chunk % buckets, c.chunk, starts.tobytes(), stops.tobytes(), b"", b"", b""))
-                yield _rows(rows, schema)
+            for c, *answers in zip(_chunks(batch), *(x.to_pylist() for x in batch.columns[6:])):
+                sequence, ends, hashes, r = plan.runs(c)
+                keep = plan.shared(r, answers[0])
+                if len(answers) > 1:
+                    hot = plan.hot(r, answers[0])
+                    single = r.take(np.flatnonzero(hot)).windows(hashes, window)
+                    r = r.take(np.flatnonzero(keep & ~hot)).with_more(single.take(np.flatnonzero(plan.shared(single, answers[1]))))
+                else:
+                    r = r.take(np.flatnonzero(keep))
+                codes = _codes(r.anchor, plan.buckets)
+                order = np.argsort(codes, kind="stable")
+                codes, r = codes[order], r.take(order)
+                begin, doc = r.first - np.r_[0, ends][r.doc], c.ids[r.doc]
+                texts = [units.stretch(sequence, x, y) for x, y in zip(r.first.tolist(), (r.last + window).tolist())]
+                yield _rows([(bucket, c.chunk, _packed(texts[a:b], codes[a:b], r.first[a:b], doc[a:b], begin[a:b]), b"") for bucket, a, b in zip(*_same(_bucket_of(codes)))], schema)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        loose = zstandard.ZstdDecompressor().decompress
-        spans: dict[int, list[np.ndarray]] = {}
-        for parts in _by_bucket(batches).values():
-            found: list[Stretch] = []
-            for chunk, places, docs, begins, sizes, text in parts:
-                places, docs = (np.frombuffer(x, np.int64) for x in (places, docs))
-                if not sizes:
-                    spans.setdefault(chunk, []).append(np.stack([places, docs]))
-                    continue
-                whole, stops = loose(text), np.cumsum(np.frombuffer(sizes, np.int32)).tolist()
-                found.extend((chunk, p, d, b, whole[x:y]) for p, d, b, x, y in zip(places.tolist(), docs.tolist(), np.frombuffer(begins, np.int64).tolist(), [0, *stops], stops))
-            new: dict[int, list[tuple[int, int]]] = {}
-            for chunk, start, end in solve(found, window):
-                new.setdefault(chunk, []).append((start, end))
-            for chunk, some in new.items():
-                spans.setdefault(chunk, []).append(np.array(some, np.int64).T)
-        merged = ((chunk, merge_runs(*np.concatenate(some, 1))) for chunk, some in spans.items())
-        yield _rows([(chunk, a.tobytes(), b.tobytes()) for chunk, (a, b) in merged], "chunk long, starts binary, ends binary")
-
-    sent = _told(chunks, shared, owners).mapInArrow(send, schema)
-    found = sent.repartition(buckets, "bucket").mapInArrow(search, "chunk long, starts binary, ends binary")
+        for _, parts in _by_bucket(batches):
+            b = _unpacked([p[:2] for p in parts])
+            place, low, high = solve(b, window)
+            order = np.argsort(b.chunk[place], kind="stable")
+            place, low, high = place[order], low[order], high[order]
+            out = []
+            for chunk, x, y in zip(*_same(b.chunk[place])):
+                starts = b.place[place[x:y]]
+                starts, stops = merge_runs(starts + low[x:y], starts + high[x:y])
+                out.append((chunk, starts.tobytes(), stops.tobytes()))
+            yield _rows(out, "chunk long, starts binary, ends binary")
+
+    sent = _told(chunks, *told).mapInArrow(send, schema)
+    found = _dealt(sent, plan.tasks).mapInArrow(search, "chunk long, starts binary, ends binary")
     return written(found.groupBy("chunk").agg(F.collect_list("starts").alias("starts"), F.collect_list("ends").alias("ends")), "spans")
 
 

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .passages import CHUNK_BYTES, NO_ID, Bytes, Stretch, chunk_table, gram_hashes, per_document, repeated_spans
+from .passages import CHUNK_BYTES, NO_ID, Bucket, Bytes, chunk_table, gram_hashes, per_document, repeated_spans, rows_by_key
 
 #: Stands for the byte before a stretch, which its bucket does not see.
 _UNSEEN = 256
@@ -26,9 +26,13 @@ class SuffixArray:
     A suffix counts if its first ``least`` bytes occur elsewhere and what stands before differs among
     those occurrences (before a stretch's first byte anything may stand).  All others extend to the left
     with every occurrence, so their repeats are part of a longer one.
+
+    ``twice`` lists the stretches that occur again as a whole.  The second occurrence stands for all
+    further ones; its owner is numbered on from the stretches, and it adds the suffix at its first byte,
+    the only one that the first occurrence does not have at the same place with the same byte before.
     """
 
-    def __init__(self, stretches: list[bytes], least: int):
+    def __init__(self, stretches: list[bytes], least: int, twice: np.ndarray | None = None):
         sizes = np.array([len(s) for s in stretches], np.int64)
         text = np.frombuffer(b"".join(stretches), np.uint8)
         begins = np.cumsum(sizes) - sizes
@@ -36,6 +40,11 @@ class SuffixArray:
         owner = np.repeat(np.arange(len(sizes)), starts)
         inner = np.arange(starts.sum()) - np.repeat(np.cumsum(starts) - starts, starts)
         place = begins[owner] + inner
+        stands_for = owner
+        if twice is not None and len(twice):
+            whole = twice[sizes[twice] >= least]
+            owner = np.r_[owner, len(sizes) + np.flatnonzero(sizes[twice] >= least)]
+            stands_for, inner, place = np.r_[stands_for, whole], np.r_[inner, np.zeros(len(whole), np.int64)], np.r_[place, begins[whole]]
         hashes = gram_hashes(text, least)[place] if len(place) else np.zeros(0, np.uint64)
         before = np.where(inner > 0, text[place - 1].astype(np.int64), _UNSEEN)
         order = np.argsort(hashes, kind="stable")
@@ -46,7 +55,7 @@ class SuffixArray:
             wanted = (count > 1) & ((low != high) | (high == _UNSEEN))
             order = np.sort(order[np.repeat(wanted, count)])
         self.owner, self.inner, self.before = owner[order], inner[order], before[order]
-        self._sort(text, place[order], (begins + sizes)[self.owner] - place[order], least)
+        self._sort(text, place[order], (begins + sizes)[stands_for[order]] - place[order], least)
 
     def _sort(self, text: np.ndarray, place: np.ndarray, left: np.ndarray, least: int) -> None:
         """Puts the suffixes in order and finds the common prefix of each with the one before."""
@@ -90,22 +99,33 @@ class SuffixArray:
                 stack.append([common, *open_[1:]])
 
 
-def earlier_repeats(found: list[Stretch], window: int) -> Iterator[tuple[int, int, int]]:
-    """Spans of maximal repeats in stretches whose document is not the first that holds the repeat."""
-    array = SuffixArray([s[4] for s in found], window)
-    docs = np.array([s[2] for s in found], np.int64)[array.owner]
+def earlier_repeats(b: Bucket, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Spans of maximal repeats in places whose document is not the first that holds the repeat."""
+    n = len(b.texts)
+    first = np.full(n, NO_ID)
+    np.minimum.at(first, b.text, b.doc)
+    later = b.doc > first[b.text]
+    twice = np.unique(b.text[later])
+    array = SuffixArray(b.texts, window, twice)
+    docs = np.concatenate([first, first[twice] + 1])[array.owner]
     groups = np.array(list(array.repeats(window, docs)), np.int64).reshape(-1, 4)
     longest = np.zeros(len(array.owner), np.int64)
     # blocks: nested groups list an occurrence once for each depth
     for block in np.array_split(groups, max(1, len(groups) // 4096)):
         size = block[:, 1] - block[:, 0] + 1
         at = array.order[np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(block[:, 0], size)]
-        later = docs[at] > np.repeat(block[:, 3], size)
-        np.maximum.at(longest, at[later], np.repeat(block[:, 2], size)[later])
-    for i in np.flatnonzero(longest).tolist():
-        chunk, place, *_ = found[array.owner[i]]
-        start = place + int(array.inner[i])
-        yield chunk, start, start + int(longest[i])
+        after = docs[at] > np.repeat(block[:, 3], size)
+        np.maximum.at(longest, at[after], np.repeat(block[:, 2], size)[after])
+    found = np.flatnonzero(longest)
+    # an owner up to n is the first document with that text, one beyond stands for all others
+    first_rows, a0, a1 = rows_by_key(b.text, np.flatnonzero(~later), n)
+    other_rows, b0, b1 = rows_by_key(b.text, np.flatnonzero(later), n)
+    rows = np.r_[first_rows, other_rows]
+    low = np.r_[a0, len(first_rows) + b0[twice]][array.owner[found]]
+    size = np.r_[a1, len(first_rows) + b1[twice]][array.owner[found]] - low
+    places = rows[np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(low, size)]
+    start, length = (np.repeat(x, size) for x in (array.inner[found], longest[found]))
+    return places, start, start + length
 
 
 def _cut(text: bytes, spans: tuple[np.ndarray, np.ndarray], begin: int) -> bytes:
@@ -138,7 +158,7 @@ def repeated_substrings(docs: DataFrame, least: int = 50, chunk_bytes: int = CHU
         return [pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])]
 
     chunks = chunk_table(docs.select("doc_id", "text"), chunk_bytes)
-    spans = repeated_spans(chunks, Bytes(), least, _gram(least), earlier_repeats, within=False)
+    spans = repeated_spans(chunks, Bytes(), least, _gram(least), earlier_repeats)
     return per_document(chunks, spans, Bytes(), emit, schema)
 
 
@@ -160,5 +180,5 @@ def without_repeated_substrings(docs: DataFrame, least: int = 100, chunk_bytes:
         return pa.Table.from_arrays(columns, names=names).filter(pa.array(keep, pa.bool_())).combine_chunks().to_batches()
 
     chunks = chunk_table(docs.selectExpr("*", "text is null as __null_text"), chunk_bytes)
-    spans = repeated_spans(chunks, Bytes(), least, _gram(least), earlier_repeats, within=False)
+    spans = repeated_spans(chunks, Bytes(), least, _gram(least), earlier_repeats)
     return per_document(chunks, spans, Bytes(), emit, docs.schema)

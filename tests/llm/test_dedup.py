@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from hopline.llm import simhash
+from hopline.llm import matching, passages, simhash, suffixes
 from hopline.llm.components import connected_components
 from hopline.llm.golay import nearby_codewords
 from hopline.llm.matching import repeated_word_runs
@@ -222,6 +222,23 @@ def test_word_runs_of_few_words(make, seed):
     assert sorted((tuple(x) for x in got), key=lambda x: (order(x[0]), x[1:])) == brute_words(rows, 6)
 
 
+def test_hot_anchors_are_dealt_by_windows(make, copies, monkeypatch):
+    monkeypatch.setattr(passages, "HOT_CHUNKS", 1)
+    rows = small(copies)
+    got = repeated_substrings(make(rows, True).repartition(3), 50, 600).collect()
+    assert sorted((tuple(r) for r in got), key=lambda r: (order(r[0]), r[1:])) == brute_bytes(rows, 50)
+    got = repeated_word_runs(make(rows, True).repartition(3), 20, 600).collect()
+    assert sorted((tuple(r) for r in got), key=lambda r: (order(r[0]), r[1:])) == brute_words(rows, 20)
+
+
+def test_what_the_solver_does_not_find_stays(make, copies, monkeypatch):
+    none = np.zeros(0, np.int64)
+    monkeypatch.setattr(suffixes, "earlier_repeats", lambda b, window: (none, none, none))
+    monkeypatch.setattr(matching, "earlier_windows", lambda b, window: (none, none, none))
+    assert not repeated_substrings(make(copies)).where("n_removed > 0").head(1)
+    assert not repeated_word_runs(make(copies)).where("n_removed > 0").head(1)
+
+
 def test_nothing_in_nothing_out(make):
     assert repeated_substrings(make([])).count() == 0 and repeated_word_runs(make([])).count() == 0
     assert simhash.simhash_components(make([])).count() == 0 and simhash.drop_near_copies(make([])).count() == 0
