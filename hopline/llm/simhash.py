@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import text_bytes, written
@@ -50,21 +50,18 @@ def majority_bits(hashes: np.ndarray, lanes: int = 1) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3, lanes: int = 1, counted: int | None = None) -> DataFrame:
-    """doc_id, length and ``lanes`` 64-bit fingerprints f0, f1, ... of every whole text.
+def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
+    """doc_id and the 64-bit fingerprint f0 of every whole text.
 
-    ``length`` is the number of words or, with ``counted``, of distinct runs of so many words.  A-Z
-    become a-z; words are cut at ASCII white space.  Null and empty texts have fingerprint zero.
+    A-Z become a-z; words are cut at ASCII white space.  Null and empty texts have fingerprint zero.
     """
-    names = ["doc_id", "length", *(f"f{i}" for i in range(lanes))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words = [t.lower().split() for t in text_bytes(batch.column(1))]
-            found = np.array([majority_bits(shingle_hashes(w, shingle), lanes) for w in words], np.uint64).reshape(len(words), lanes).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(np.unique(shingle_hashes(w, counted))) if counted else len(w) for w in words], pa.int64()), *(pa.array(found[:, i].copy()) for i in range(lanes))], names=names)
+            found = np.array([majority_bits(shingle_hashes(t.lower().split(), shingle))[0] for t in text_bytes(batch.column(1))], np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["doc_id", "f0"])
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, ", ".join(f"{n} long" for n in names))
+    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, "doc_id long, f0 long")
 
 
 def segment_keys(fingerprint: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -128,7 +125,7 @@ def simhash_components(docs: DataFrame, shingle: int = 3) -> DataFrame:
     and empty texts have fingerprint zero and link like any other; rows without an id get a component
     and name none unless all its rows lack one; repeated rows are each returned.
     """
-    rows = written(fingerprints(docs, shingle).select("doc_id", "f0"), "fingerprints")
+    rows = written(fingerprints(docs, shingle), "fingerprints")
     least = rows.groupBy("f0").agg(F.min("doc_id").alias("least_id"))
     prints = written(least, "distinct-fingerprints")
     roots = connected_components(near_fingerprints(prints)).selectExpr("id as f0", "root")
@@ -142,47 +139,106 @@ def simhash_components(docs: DataFrame, shingle: int = 3) -> DataFrame:
 # --- near copies by shingle similarity -----------------------------------------------------------
 
 LANES, PAIRS = 4, 5
-#: Differing bits of 256 beyond which a pair cannot reach the similarity but by odds under one in a thousand.
-MOST_BITS = 64
-#: Texts that are 0.8 alike have numbers of distinct shingles within 1.25 of each other, on either side.
-LENGTH_CLASS = 1.25**2
+#: Hash classes of shingles that a document's counts are kept for.
+CLASSES = 256
+#: Documents of a bucket up to which its pairs are listed; in larger ones blocks of so many are compared in memory.
+LISTED, BLOCK = 16, 128
 
+_PRINT = ["doc_id", "length", *(f"f{i}" for i in range(LANES)), *(f"s{i}" for i in range(PAIRS)), "counts"]
+_PRINT_TYPES = ", ".join(f"{n} binary" if n == "counts" else f"{n} long" for n in _PRINT)
 
-def _pair_keys(length: np.ndarray, lanes: tuple[np.ndarray, ...]) -> Iterator[np.ndarray]:
-    """For each pair of 23-bit segments: all keys of each row, -1 where there is none.
 
-    A key is the pair, a class of lengths and a Golay codeword near each segment.  Classes begin at
-    other lengths for each pair, so lengths that a class parts for one pair it joins for the others.
+def _mixed(h: np.ndarray, seed: int) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(31)) ^ np.uint64(seed + 1)) * _SEEDS[1 + seed % 3]
+    h ^= h >> np.uint64(29)
+    h *= _SEEDS[1 + (seed + 1) % 3]
+    return h ^ (h >> np.uint64(32))
+
+
+def near_copy_prints(docs: DataFrame, shingle: int) -> DataFrame:
+    """doc_id, length, f0-f3, s0-s4 and counts of every text.
+
+    ``length`` is the number of distinct shingles and ``counts`` how many are in each of 256 classes of
+    their hashes (one byte, 255 for more).  f0-f3 are a 256-bit fingerprint of the word pairs, finer than
+    the shingles compared, so near copies lie closer; s0-s4 are the least hashes of the word pairs.
     """
-    bits = np.unpackbits(np.stack(lanes, 1).astype(np.int64).view(np.uint8).reshape(len(length), -1), axis=1, bitorder="little")
+
+    def one(words: list[bytes]) -> tuple:
+        whole, pairs = np.unique(shingle_hashes(words, shingle)), shingle_hashes(words, 2)
+        counts = np.minimum(np.bincount((whole & np.uint64(CLASSES - 1)).astype(np.int64), minlength=CLASSES), 255).astype(np.uint8)
+        least = np.array([_mixed(pairs, p).min() if len(pairs) else 0 for p in range(PAIRS)], np.uint64)
+        return (len(whole), *majority_bits(pairs, LANES).view(np.int64).tolist(), *least.view(np.int64).tolist(), counts.tobytes())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = list(zip(*(one(t.lower().split()) for t in text_bytes(batch.column(1))))) or [[]] * (len(_PRINT) - 1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.binary() if n == "counts" else pa.int64()) for n, c in zip(_PRINT[1:], found))], names=_PRINT)
+
+    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, _PRINT_TYPES)
+
+
+def _codewords(lanes: list[np.ndarray]) -> list[np.ndarray]:
+    """Of each of ten 23-bit segments the Golay codewords nearby, up to six, -1 for none."""
+    bits = np.unpackbits(np.stack(lanes, 1).astype(np.int64).view(np.uint8).reshape(len(lanes[0]), -1), axis=1, bitorder="little")
     weights = (1 << np.arange(LENGTH)).astype(np.int64)
-    near = [nearby_codewords(bits[:, LENGTH * s : LENGTH * (s + 1)].astype(np.int64) @ weights) for s in range(2 * PAIRS)]
-    scale = np.log(length) / np.log(LENGTH_CLASS)
-    for pair in range(PAIRS):
-        a, b = near[2 * pair][:, :, None], near[2 * pair + 1][:, None, :]
-        prefix = (np.int64(pair) << 32 | np.floor(scale + pair / PAIRS).astype(np.int64) << 24)[:, None, None]
-        yield np.where((a >= 0) & (b >= 0), prefix | a << 12 | b, -1).reshape(len(length), -1)
+    return [nearby_codewords(bits[:, LENGTH * s : LENGTH * (s + 1)].astype(np.int64) @ weights) for s in range(2 * PAIRS)]
 
 
-def paired_segment_keys(length: np.ndarray, *lanes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, key): every key of every row."""
-    rows, keys = [], []
-    for found in _pair_keys(length, lanes):
-        row, column = np.nonzero(found >= 0)
+def _key(pair: int, a: np.ndarray, b: np.ndarray, salt: np.ndarray) -> np.ndarray:
+    return (_mixed((np.int64(pair) << 24 | a << 12 | b).astype(np.uint64), pair) ^ _mixed(salt.astype(np.int64).view(np.uint64), pair + 1)).view(np.int64)
+
+
+def paired_segment_keys(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key): of each pair of segments, every two codewords near them, with the pair's least hash.
+
+    Texts that are 0.8 alike agree in a least hash of word pairs with odds of nine in ten, chance ones
+    hardly ever: buckets stay small however many documents there are.
+    """
+    lanes, salts = list(columns[:LANES]), columns[LANES:]
+    near, rows, keys = _codewords(lanes), [], []
+    for p in range(PAIRS):
+        a, b = near[2 * p][:, :, None], near[2 * p + 1][:, None, :]
+        row, i, j = np.nonzero((a >= 0) & (b >= 0))
         rows.append(row)
-        keys.append(found[row, column])
+        keys.append(_key(p, near[2 * p][row, i], near[2 * p + 1][row, j], salts[p][row]))
     return np.concatenate(rows), np.concatenate(keys)
 
 
-def first_segment_keys(length: np.ndarray, *lanes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, key): of each pair only the key of least hash, which close fingerprints often have in common."""
-    keys = []
-    for found in _pair_keys(length, lanes):
-        mixed = found.astype(np.uint64) * _SEEDS[1]
-        mixed ^= mixed >> np.uint64(29)
-        least = np.where(found >= 0, mixed * _SEEDS[2], np.uint64(2**64 - 1)).argmin(1)
-        keys.append(found[np.arange(len(found)), least])
-    return np.tile(np.arange(len(length)), PAIRS), np.concatenate(keys)
+def _meet(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether row i of ``x`` and row j of ``y`` have a codeword in common."""
+    out = np.zeros((len(x), len(y)), bool)
+    for c in x.T:
+        for d in y.T:
+            out |= (c[:, None] == d) & (d >= 0)
+    return out
+
+
+def first_common_pair(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """The first pair of segments for which documents i of ``x`` and j of ``y`` have a key in common; -1 for none."""
+    near_x, near_y = _codewords(x[:LANES]), _codewords(y[:LANES])
+    first = np.full((len(x[0]), len(y[0])), -1)
+    for p in range(PAIRS):
+        same = (x[LANES + p][:, None] == y[LANES + p]) & (first < 0)
+        for segment in (2 * p, 2 * p + 1):
+            if same.any():
+                same &= _meet(near_x[segment], near_y[segment])
+        first[same] = p
+    return first
+
+
+def may_reach(similarity: float, length_x: np.ndarray, counts_x: np.ndarray, length_y: np.ndarray, counts_y: np.ndarray) -> np.ndarray:
+    """Whether documents i and j can be that similar: they have no more in common than class by class.
+
+    A bound, not an estimate: a pair that it rules out is less similar.  Counts of 255 may be more, so
+    they bound nothing.
+    """
+    common = np.zeros((len(length_x), len(length_y)), np.int64)
+    for begin in range(0, CLASSES, 64):
+        common += np.minimum(counts_x[:, None, begin : begin + 64], counts_y[None, :, begin : begin + 64]).sum(2, dtype=np.int64)
+    full = (counts_x == 255).any(1)[:, None] | (counts_y == 255).any(1)
+    least = np.minimum(length_x[:, None], length_y)
+    common = np.where(full, least, np.minimum(common, least))
+    return common >= similarity * (length_x[:, None] + length_y - common)
 
 
 def few_or_shuffled(ids: DataFrame) -> DataFrame:
@@ -198,7 +254,7 @@ def shingle_sets(docs: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
             sets = [np.unique(shingle_hashes(t.lower().split(), shingle)).tobytes() for t in text_bytes(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["doc_id", "hashes"])
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").join(few_or_shuffled(ids), "doc_id", "left_semi").mapInArrow(run, "doc_id long, hashes binary").dropDuplicates(["doc_id"])
+    return docs.selectExpr("cast(doc_id as long) doc_id", "text").join(few_or_shuffled(ids), "doc_id", "left_semi").mapInArrow(run, "doc_id long, hashes binary").groupBy("doc_id").agg(F.min("hashes").alias("hashes"))
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -218,71 +274,108 @@ def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 
 
 def _verified(texts: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """doc_id of the larger document of each pair (a, b) that is as similar as asked."""
+    """The pairs (a, b) that are as similar as asked."""
     pairs = written(pairs.select("a", "b").distinct(), "near-copy-pairs")
     involved = pairs.selectExpr("a as doc_id").union(pairs.selectExpr("b as doc_id")).distinct()
     sets = written(shingle_sets(texts, involved, shingle), "shingle-sets")
-    return written(_similar(pairs, sets, similarity).selectExpr("b as doc_id").distinct(), "near-copies")
+    return written(_similar(pairs, sets, similarity), "near-copy-links")
+
+
+def _listed_pairs(buckets: DataFrame) -> DataFrame:
+    """Pairs of different components in small buckets; a bucket's smallest document has been compared."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = [], []
+            for docs in batch.column(0).to_pylist():
+                docs = sorted((d["doc_id"], d["comp"]) for d in docs)[1:]
+                for i, (x, own) in enumerate(docs):
+                    others = [y for y, comp in docs[i + 1 :] if comp != own]
+                    a += [x] * len(others)
+                    b += others
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
+    groups = buckets.groupBy("key").agg(F.collect_list(F.struct("doc_id", "comp")).alias("docs"))
+    return groups.select("docs").mapInArrow(run, "a long, b long")
 
-def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """doc_ids that go when one document of each group of near copies stays.
 
-    Equal texts are one group.  Other texts become 256-bit SimHash fingerprints of their word pairs (finer
-    than the shingles compared, so near copies lie closer), cut into segments of 23 bits and keyed in
-    pairs by the Golay codewords nearby.  In a bucket the smallest document is compared with all others
-    there, and those whose shingle sets are similar go: a group of copies, however large, costs its size
-    and not its pairs.  This is done first with one key a pair, which is enough for large groups, then
-    with all keys for what is left.  What then is left of a bucket is dissimilar to its smallest document;
-    its next 8, 64, ... documents are compared with all after them, until every pair that shares a bucket
-    has been.
+def _block_pairs(prints: DataFrame, similarity: float) -> DataFrame:
+    """Pairs of different components (``comp``) that have a key in common and may be similar.
+
+    Documents meet by the least hash of each pair of segments, five rows a document.  Those outside the
+    largest component there are compared with all that meet, block by block in memory: a pair becomes a
+    row only if it has its first common key there and can reach the similarity.
+    """
+    fields = [c for c in _PRINT if c != "doc_id"]
+    salts = F.explode(F.array(*(F.struct(F.lit(p).alias("pair"), F.col(f"s{p}").alias("salt")) for p in range(PAIRS)))).alias("g")
+    met = prints.select("doc_id", "comp", *fields, salts).select("g.*", "doc_id", "comp", *fields)
+    shares = met.groupBy("pair", "salt", "comp").agg(F.count("*").alias("m"))
+    mixed = shares.groupBy("pair", "salt").agg(F.max(F.struct("m", "comp")).alias("most"), F.sum("m").alias("n"), F.count("*").alias("comps")).where("comps > 1")
+    whole = met.join(mixed.select("pair", "salt", "n", F.col("most.comp").alias("largest")), ["pair", "salt"])
+    whole = whole.select("pair", "salt", F.expr(f"pmod(xxhash64(doc_id), cast(ceil(n / {BLOCK}) as int))").alias("block"), F.struct("doc_id", "comp", (F.col("comp") != F.col("largest")).alias("odd"), *fields).alias("d"))
+    blocks = whole.groupBy("pair", "salt", "block").agg(F.collect_list("d").alias("ys"))
+    odd = whole.where("d.odd").groupBy("pair", "salt", F.col("block").alias("odd_block")).agg(F.collect_list("d").alias("xs"))
+    numbers = ["doc_id", "comp", *fields[:-1]]
+
+    def columns(docs: list[dict]) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
+        got = {f: np.array([d[f] for d in docs], np.int64) for f in numbers}
+        return got, np.frombuffer(b"".join(d["counts"] for d in docs), np.uint8).reshape(-1, CLASSES), np.array([d["odd"] for d in docs])
 
-    Documents without words are only ever equal.  Rows without an id stay.  Of rows that share an id none
-    goes for the other's sake.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                (x, x_counts, _), (y, y_counts, y_odd) = columns(batch.column(1)[row].as_py()), columns(batch.column(2)[row].as_py())
+                keep = (x["comp"][:, None] != y["comp"]) & ((x["doc_id"][:, None] < y["doc_id"]) | ~y_odd)
+                if keep.any():
+                    keep &= may_reach(similarity, x["length"], x_counts, y["length"], y_counts)
+                if keep.any():
+                    keep &= first_common_pair(*([d[f] for f in numbers[3:]] for d in (x, y))) == batch.column(0)[row].as_py()
+                i, j = np.nonzero(keep)
+                p, q = x["doc_id"][i], y["doc_id"][j]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))], names=["a", "b"])
+
+    return odd.join(blocks, ["pair", "salt"]).select("pair", "xs", "ys").mapInArrow(run, "a long, b long")
+
+
+def near_copy_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """doc_id and group, the smallest doc_id that links reach, of every document that is linked to another one.
+
+    Equal texts link.  Different ones link if their sets of ``shingle``-word shingles have at least the
+    Jaccard ``similarity`` and their SimHash fingerprints a key in common (``paired_segment_keys``); keys
+    are a filter, which misses few pairs at the threshold (see README).  Groups are the components of all
+    links, so they hang on the texts and ids alone.
+
+    First every document of a bucket is compared with its smallest one.  What is then connected needs no
+    further comparison: of a group of copies, however large, each is compared with a few.  Then pairs of
+    a bucket that are not connected yet are compared: listed in small buckets; in large ones block by
+    block in memory, where a bound on what two documents can have in common leaves few to be listed.
+
+    Null texts link to nothing, texts without words to equal ones.  Rows without an id are left out; rows
+    that share an id are one document, with the text of least hash or set.  An empty table has no groups.
     """
     texts = docs.selectExpr("cast(doc_id as long) doc_id", "text").where("doc_id is not null and text is not null")
     hashed = texts.select("doc_id", F.xxhash64("text").alias("h0"), F.crc32("text").alias("h1"), F.length("text").alias("h2"))
     firsts = written(hashed.groupBy("h0", "h1", "h2").agg(F.min("doc_id").alias("first")), "distinct-texts")
-    copies = hashed.join(firsts, ["h0", "h1", "h2"]).where("doc_id <> first").select("doc_id")
-    lanes = [f"f{i}" for i in range(LANES)]
-    columns = ["doc_id", "length", *lanes]
-    prints = fingerprints(texts, 2, LANES, shingle).where("length > 0").join(firsts.selectExpr("first as doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    prints = written(prints.select(*columns), "near-copy-fingerprints")
-    near = sum((F.bit_count(F.col(f).bitwiseXOR(F.col(f"c.{f}"))) for f in lanes), F.lit(0)) <= MOST_BITS
-    one = F.struct("doc_id", *lanes).alias("c")
-
-    def crowded(left: DataFrame, keys) -> DataFrame:
-        keyed = _keyed(left, columns, keys)
-        sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-        return written(keyed.join(sizes, "key").join(left, "doc_id").select("key", "n", "doc_id", *lanes), "near-copy-buckets")
-
-    def with_smallest(buckets: DataFrame) -> DataFrame:
-        return buckets.join(buckets.groupBy("key").agg(F.min(one).alias("c")), "key").where("doc_id <> c.doc_id")
-
-    # one comparison a document: with the smallest of the smallest documents of its buckets
-    quick = with_smallest(crowded(prints, first_segment_keys)).where(near).groupBy(F.col("doc_id").alias("b")).agg(F.min("c.doc_id").alias("a"))
-    gone = _verified(texts, quick, shingle, similarity)
-    left = written(prints.join(gone, "doc_id", "left_anti").select(*columns), "near-copy-fingerprints")
-    buckets = crowded(left, paired_segment_keys)
-    pairs = with_smallest(buckets).where(near).select(F.col("c.doc_id").alias("a"), F.col("doc_id").alias("b"))
-    new = _verified(texts, pairs, shingle, similarity)
-    gone = gone.union(new)
-    rest = written(with_smallest(buckets.where("n > 2")).select("key", "doc_id", *lanes).join(new, "doc_id", "left_anti"), "near-copy-buckets")
-    many = 8
-    while rest.head(1):
-        # copies are gone: what shares a bucket now does so by chance
-        ranked = rest.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("doc_id")))
-        heads = ranked.where(F.col("rank") <= many).select("key", one)
-        pairs = rest.join(heads, "key").where("doc_id > c.doc_id").where(near).select(F.col("c.doc_id").alias("a"), F.col("doc_id").alias("b"))
-        new = _verified(texts, pairs, shingle, similarity)
-        gone = gone.union(new)
-        rest = written(ranked.where(F.col("rank") > many).drop("rank").join(new, "doc_id", "left_anti"), "near-copy-buckets")
-        many *= 8
-    return copies.union(gone).distinct()
+    copies = written(hashed.join(firsts, ["h0", "h1", "h2"]).where("doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b")), "exact-copies")
+    prints = near_copy_prints(texts, shingle).where("length > 0").join(firsts.selectExpr("first as doc_id").distinct(), "doc_id", "left_semi")
+    prints = written(prints.groupBy("doc_id").agg(F.min(F.struct(*_PRINT[1:])).alias("p")).select("doc_id", "p.*"), "near-copy-prints")
+    keyed = _keyed(prints, [c for c in _PRINT if c not in ("length", "counts")], paired_segment_keys)
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("least")).where("n > 1")
+    buckets = written(keyed.join(sizes, "key"), "near-copy-buckets")
+    links = _verified(texts, buckets.where("doc_id <> least").select(F.col("least").alias("a"), F.col("doc_id").alias("b")), shingle, similarity)
+    known = connected_components(links).select(F.col("id").alias("doc_id"), "root")
+    small = buckets.where(F.col("n").between(3, LISTED)).join(known, "doc_id", "left").select("key", "doc_id", F.coalesce("root", "doc_id").alias("comp"))
+    crowded = buckets.where(F.col("n") > LISTED).select("doc_id").distinct()
+    large = written(prints.join(crowded, "doc_id", "left_semi").join(known, "doc_id", "left").select(*_PRINT, F.coalesce("root", "doc_id").alias("comp")), "near-copy-crowds")
+    pairs = _listed_pairs(small).unionByName(_block_pairs(large, similarity))
+    more = _verified(texts, pairs, shingle, similarity)
+    return connected_components(copies.unionByName(links).unionByName(more)).select(F.col("id").alias("doc_id"), F.col("root").alias("group"))
 
 
 def drop_near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """All columns of the documents that stay; see ``near_copies``."""
-    gone = written(near_copies(docs, shingle, similarity), "near-copies-gone")
-    marked = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
-    return marked.join(few_or_shuffled(gone), "doc_id", "left_anti").select(*docs.columns)
+    """All columns of the documents that stay: of each group the one with the smallest id (see ``near_copy_groups``).
+
+    Rows without an id and null texts stay; rows that share an id go or stay together.
+    """
+    gone = written(near_copy_groups(docs, shingle, similarity).where("doc_id <> group").select("doc_id"), "near-copies-gone")
+    return docs.join(few_or_shuffled(gone.select(F.col("doc_id").alias("__gone"))), F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")

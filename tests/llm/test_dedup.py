@@ -100,29 +100,68 @@ def test_crowded_buckets_lose_no_link(spark):
     assert {p: got.get(p, p) for p in signed} == label
 
 
+def shingle_set(t):
+    w = (t or "").encode().lower().split()
+    return {b" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def brute_groups(rows):
+    """Least id of each document's component of texts that are equal or 0.8 alike; rows have one text an id."""
+    texts = {i: t for i, t in rows if i is not None and t is not None}
+    sets = {i: shingle_set(t) for i, t in texts.items()}
+    group = {i: i for i in texts}
+    links = [(i, j) for i in texts for j in texts if i < j and (texts[i] == texts[j] or sets[i] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]))]
+    changed = True
+    while changed:
+        changed = False
+        for i, j in links:
+            if group[i] != group[j]:
+                group[i] = group[j] = min(group[i], group[j])
+                changed = True
+    return group
+
+
 def test_one_of_each_group_of_near_copies_stays(make, copies):
     docs = make(copies, True)
     kept = simhash.drop_near_copies(docs)
     assert kept.columns == docs.columns
     left = [r.doc_id for r in kept.collect()]
+    group = brute_groups(copies)
+    assert {i for i in left if i is not None} == {i for i, g in group.items() if i == g} | {1}
+    assert left.count(None) == 2 and left.count(5) == 2
 
-    def shingles(t):
-        w = (t or "").encode().lower().split()
-        return {b" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
-
-    sets = {i: shingles(t) for i, t in copies if i is not None}
-    texts = {i: t for i, t in copies if i is not None}
-
-    def alike(i, j):
-        if texts[i] is None or texts[j] is None or not sets[i] or not sets[j]:
-            return texts[i] is not None and texts[i] == texts[j]
-        return len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])
 
-    known = [i for i in left if i is not None]
-    assert not [(i, j) for i in known for j in known if i < j and alike(i, j)]
-    gone = set(sets) - set(known)
-    assert all(any(alike(i, j) for j in sets if j < i) for i in gone)
-    assert left.count(None) == 2 and left.count(5) == 2
+def edited(text, seed, share):
+    r = random.Random(seed)
+    return " ".join(f"new{r.randint(0, 10**9)}" if r.random() < share else w for w in text.split())
+
+
+@pytest.mark.parametrize("listed, block", [(16, 128), (2, 4)])
+def test_groups_are_the_components_of_all_links(make, prose, monkeypatch, listed, block):
+    """A chain, a star of near copies with many pairs below the threshold, and pairs just above and below."""
+    monkeypatch.setattr(simhash, "LISTED", listed)
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    base = [prose(4000 + i, 150) for i in range(6)]
+    chain = [base[0]]
+    for i in range(5):
+        chain.append(chain[-1].replace(base[0].split()[20 * i + 10], f"new{i} word", 1).replace(base[0].split()[20 * i + 20], f"other{i} word", 1))
+    rows = list(enumerate(chain)) + [(100 + i, edited(base[1], i, 0.03)) for i in range(60)]
+    rows += [(300 + i, edited(base[2 + i % 4], 50 + i, 0.01 + 0.002 * (i % 6))) for i in range(40)]
+    got = dict(tuple(r) for r in simhash.near_copy_groups(make(rows)).collect())
+    want = brute_groups(rows)
+    assert {i: got.get(i, i) for i, _ in rows} == want
+    assert 1 < len({want[100 + i] for i in range(60)}) and want[5] == 0 and len(shingle_set(chain[0]) & shingle_set(chain[5])) < 0.8 * len(shingle_set(chain[0]) | shingle_set(chain[5]))
+
+
+def test_the_bound_rules_out_only_what_is_less_similar():
+    r = np.random.default_rng(4)
+    sets = [np.unique(r.integers(0, 400, n)) for n in (1, 30, 200, 300, 390, 5000)] + [np.arange(256 * 300)]
+    counts = np.stack([np.minimum(np.bincount(x % 256, minlength=256), 255).astype(np.uint8) for x in sets])
+    length = np.array([len(x) for x in sets])
+    for similarity in (0.1, 0.5, 0.8):
+        may = simhash.may_reach(similarity, length, counts, length, counts)
+        alike = [[len(np.intersect1d(x, y)) >= similarity * len(np.union1d(x, y)) for y in sets] for x in sets]
+        assert not (np.array(alike) & ~may).any()
 
 
 def brute_bytes(rows, least):
