@@ -16,6 +16,7 @@ the width that the footer names.
 from __future__ import annotations
 
 import bisect
+import re
 import struct
 import uuid
 import zlib
@@ -35,6 +36,8 @@ MAGIC = b"HOPSST01"
 FOOTER = struct.Struct("<8Q")  # Bloom offset, Bloom size, index offset, index size, entries, ids, id width, blocks
 HASHES, BITS_PER_KEY = 7, 10
 BLOCK_BYTES = 1 << 16
+#: Text bytes of a shard at most, but for what documents that share an id have.
+SHARD_BYTES = 64 << 20
 
 
 def key_of(doc_id: int | None) -> bytes:
@@ -170,6 +173,8 @@ class Table:
 
 
 def _filesystem(uri: str) -> tuple[fs.FileSystem, str]:
+    """Arrow's file system for a folder that Spark names; it knows file, hdfs, s3 (s3a), gs and abfs."""
+    uri = re.sub("^s3[an]:", "s3:", uri)
     return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else "file://" + uri)
 
 
@@ -179,9 +184,30 @@ def open_table(uri: str) -> Table:
 
 
 def key_ranges(docs: DataFrame, shards: int) -> list[int]:
-    """At most ``shards`` - 1 ids that cut the table into ranges of nearly equal row counts."""
-    found = docs.select(F.percentile_approx("doc_id", [i / shards for i in range(1, shards)], 100 * shards).alias("cuts")).first()["cuts"] if shards > 1 else None
-    return sorted(set(found or []))
+    """At most ``shards`` - 1 ids that cut the table into ranges of nearly equal text bytes.
+
+    Eight times as many ranges of nearly equal row counts are weighed, and neighbours put together.
+    """
+    if shards < 2:
+        return []
+    fine = 8 * shards
+    found = docs.select(F.percentile_approx("doc_id", [i / fine for i in range(1, fine)], 20 * fine).alias("cuts")).first()["cuts"]
+    cuts = np.array(sorted(set(found or [])), np.int64)
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(cuts) + 1)
+        for batch in batches:
+            place = np.searchsorted(cuts, np.array(batch.column(0).fill_null(-(1 << 63)), np.int64), "right")
+            total += np.bincount(place, np.array(batch.column(1), np.int64), len(total))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total.astype(np.int64))], names=["range", "size"])
+
+    sizes = docs.selectExpr("doc_id", "cast(coalesce(octet_length(text), 0) + 16 as long) size").mapInArrow(weigh, "range long, size long")
+    weight = np.zeros(len(cuts) + 1)
+    for r in sizes.groupBy("range").agg(F.sum("size").alias("size")).collect():
+        weight[r.range] = r.size
+    upto = np.cumsum(weight)
+    ends = np.searchsorted(upto, upto[-1] * np.arange(1, shards) / shards)
+    return cuts[np.unique(ends[ends < len(cuts)])].tolist()
 
 
 def write_token_tables(docs: DataFrame, vocabulary: str, end_id: int, shards: int | None = None) -> list[tuple[int, str, int, int]]:
@@ -196,7 +222,8 @@ def write_token_tables(docs: DataFrame, vocabulary: str, end_id: int, shards: in
     spark = docs.sparkSession
     rows = docs.selectExpr("cast(doc_id as long) doc_id", "text")
     if shards is None:
-        shards = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        shards = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // SHARD_BYTES))
     cuts = key_ranges(rows, shards)
     folder = scratch_path(spark, "token-tables")
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
@@ -236,7 +263,7 @@ def write_token_tables(docs: DataFrame, vocabulary: str, end_id: int, shards: in
         yield pa.RecordBatch.from_arrays([pa.array([d[i] for d in done], k) for i, k in enumerate((pa.int32(), pa.string(), pa.int64(), pa.int64()))], names=["shard", "uri", "entries", "ids"])
 
     encoded = rows.mapInArrow(encode, "shard int, doc_id long, ids binary, tie long, width int")
-    dealt = encoded.repartition(len(cuts) + 1, "shard").sortWithinPartitions("shard", "doc_id", "tie")
+    dealt = encoded.repartitionById(len(cuts) + 1, F.col("shard")).sortWithinPartitions("shard", "doc_id", "tie")
     return sorted(tuple(r) for r in dealt.mapInArrow(write, "shard int, uri string, entries long, ids long").collect())
 
 

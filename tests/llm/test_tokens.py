@@ -111,3 +111,14 @@ def test_token_tables_round_trip(spark, make, odd, prose):
     shard = next(open_table(f[1]) for f in files if any(i == 50 for i, _ in open_table(f[1]).scan()))
     assert shard.lookup(50)[0].tolist() == ids_of(prose(50, 30)) + [1]
     assert read_token_tables(spark, write_token_tables(make([]), default_vocabulary(), 1, 4)).count() == 0
+
+
+def test_shards_are_cut_by_bytes(spark, make, prose):
+    rows = [(i, prose(i, 400 if i < 40 else 10)) for i in range(400)]
+    size = {i: len(t) + 16 for i, t in rows}
+    cuts = tables.key_ranges(make(rows), 5)
+    assert cuts == sorted(cuts) and len(cuts) == 4
+    shares = np.bincount(np.searchsorted(cuts, list(size), "right"), list(size.values()), 5)
+    assert shares.max() < 2 * shares.mean()  # one in eight of the rows are one range at least
+    assert len({f[0] for f in write_token_tables(make(rows), default_vocabulary(), 1, 5)}) == 5
+    assert tables.key_ranges(make([(3, "x"), (3, "y")]), 4) in ([], [3]) and tables.key_ranges(make([]), 4) == []
