@@ -7,6 +7,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import written
+
 #: The most labelled rows of either class that the model is fitted on.
 SAMPLE_TOXIC, SAMPLE_CLEAN = 3000, 6000
 
@@ -25,35 +28,66 @@ SECOND_PERSON = frozenset("you your yours yourself u ur tu te ti vos vous votre
 _WORD = re.compile(r"[^\W\d_]+")
 _MASKED = re.compile(r"[^\W\d_]+[0-9@$*#!|]+[^\W\d_]+")
 _UNMASK = str.maketrans("013457@$!|", "oieastasil")
-_STRETCH = re.compile(r"([^\W\d_])\1\1")
+_MASK = re.compile(r"[^\W\d_][0-9@$*#!|]")
 _STEMS = (4, 5, 6)
 
 FEATURES = ("insult share", "insults", "strongest insult", "insult weight a word", "seed insult share", "near second person", "second-person share", "capital share", "exclamation share", "punctuation share", "masked insults", "masked share", "stretched share", "words")
 
 
+#: Marks counted as punctuation.
+MARKS = b".,;:!?*#$%&|\"'"
+
+_MARK = np.zeros(256, bool)
+_MARK[list(MARKS)] = True
+
+
+@cache
+def _cased() -> tuple[np.ndarray, np.ndarray]:
+    """For each code point: upper case, letter (a word character, but no digit or underscore)."""
+    points = range(0x110000)
+    return np.fromiter((chr(i).isupper() for i in points), bool, len(points)), np.fromiter((chr(i).isalnum() and _WORD.fullmatch(chr(i)) is not None for i in points), bool, len(points))
+
+
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def _stretched(points: np.ndarray) -> int:
+    """Letters that stand three times in a row; six in a row count twice."""
+    if len(points) < 3:
+        return 0
+    third = np.flatnonzero((points[2:] == points[1:-1]) & (points[1:-1] == points[:-2]))
+    if not len(third):
+        return 0
+    third = third[_cased()[1][points[third]]]
+    cuts = np.flatnonzero(np.r_[True, np.diff(third) > 1])
+    return int(((np.diff(np.r_[cuts, len(third)]) + 2) // 3).sum()) if len(third) else 0
+
+
+def terms(text: str) -> tuple[set[str], set[str]]:
+    """Distinct words of a text, and their stems, each marked by a dash."""
+    words = set(_WORD.findall(text.lower()))
+    return words, {f"{w[:n]}-" for w in words for n in _STEMS if len(w) >= n}
+
+
 @dataclass
 class Lexicon:
     words: dict[str, float] = field(default_factory=dict)
     stems: dict[str, float] = field(default_factory=dict)
 
     @classmethod
-    def learn(cls, texts: list[str], toxic: np.ndarray, most: int = 5000) -> Lexicon:
-        """Words and stems found mostly in toxic texts, with the logarithm of their odds."""
-        counts = {0: Counter(), 1: Counter()}
-        forms: dict[str, set[str]] = {}
-        for text, label in zip(texts, toxic):
-            words = set(_WORD.findall(text.lower()))
-            counts[int(label)].update(words)
-            counts[int(label)].update({f"{w[:n]}-" for w in words for n in _STEMS if len(w) >= n})
-            for w in words if label else ():
-                for n in _STEMS:
-                    if len(w) > n:
-                        forms.setdefault(f"{w[:n]}-", set()).add(w)
-        n1, n0 = max(1, int(toxic.sum())), max(1, int((1 - toxic).sum()))
+    def of(cls, counts: list[tuple[str, int, int, int]], toxic: int, clean: int, most: int = 5000) -> Lexicon:
+        """Words and stems found mostly in toxic texts, with the logarithm of their odds.
+
+        ``counts``: each term with the toxic and the clean texts that have it and, for a stem, the longer
+        words of toxic texts that begin so; ``toxic`` and ``clean``: all such texts.
+        """
+        n1, n0 = max(1, toxic), max(1, clean)
         # two deviations below the count: a few toxic texts that share a rare word prove nothing
-        odds = {t: math.log((max(0.0, c - 2 * math.sqrt(c)) + 0.1) / (n1 + 0.2)) - math.log((counts[0][t] + 0.1) / (n0 + 0.2)) for t, c in counts[1].items() if c >= max(5, 0.015 * n1)}
+        odds = {t: math.log((max(0.0, c - 2 * math.sqrt(c)) + 0.1) / (n1 + 0.2)) - math.log((d + 0.1) / (n0 + 0.2)) for t, c, d, _ in counts if c >= max(5, 0.015 * n1)}
+        forms = {t: f for t, _, _, f in counts}
         # a stem of one or two words says no more than these words, but would catch others
-        strong = sorted((t for t, o in odds.items() if o >= 3 and (t[-1] != "-" or len(forms.get(t, ())) > 2)), key=lambda t: (-odds[t], t))[:most]
+        strong = sorted((t for t, o in odds.items() if o >= 3 and (t[-1] != "-" or forms[t] > 2)), key=lambda t: (-odds[t], t))[:most]
         return cls({t: odds[t] for t in strong if t[-1] != "-"} | {w: odds.get(w, 3.0) for w in SEED_INSULTS}, {t[:-1]: odds[t] for t in strong if t[-1] == "-"})
 
     def weight(self, word: str) -> float:
@@ -67,17 +101,21 @@ class Lexicon:
         low = text.lower()
         words = _WORD.findall(low)
         n = len(words) or 1
-        hits = []
+        hits, second = [], 0
         for at, word in enumerate(words):
             weight = memo.get(word)
             if weight is None:
                 if len(memo) > 200_000:
                     memo.clear()
-                weight = memo[word] = self.weight(word)
-            if weight:
+                # the sign tells second-person words, which are no insults
+                weight = memo[word] = -1.0 if word in SECOND_PERSON and not self.weight(word) else self.weight(word)
+            if weight > 0:
                 hits.append((at, weight))
+                second += word in SECOND_PERSON
+            elif weight:
+                second += 1
         near = sum(1 for at, _ in hits if not SECOND_PERSON.isdisjoint(words[max(0, at - 4) : at + 5]))
-        masked = _MASKED.findall(low)
+        masked = _MASKED.findall(low) if _MASK.search(low) else []
         weights = [w for _, w in hits]
         chars = len(text) or 1
         return [
@@ -87,13 +125,13 @@ class Lexicon:
             sum(weights) / n,
             sum(1 for at, _ in hits if words[at] in SEED_INSULTS) / n,
             near / n,
-            sum(map(words.count, SECOND_PERSON)) / n if n < 50 else sum(c for w, c in Counter(words).items() if w in SECOND_PERSON) / n,
-            sum(map(str.isupper, text)) / chars,
+            second / n,
+            int(_cased()[0][_points(text)].sum()) / chars,
             text.count("!") / chars,
-            sum(map(text.count, ".,;:!?*#$%&|\"'")) / chars,
-            sum(1 for m in masked if self.weight(m.translate(_UNMASK))),
+            int(_MARK[np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)].sum()) / chars,
+            sum(1 for m in masked if self.weight(m.translate(_UNMASK)) > 0),
             len(masked) / n,
-            len(_STRETCH.findall(low)) / n,
+            _stretched(_points(low)) / n,
             math.log1p(len(words)),
         ]
 
@@ -189,21 +227,69 @@ class ToxicityModel:
 FOLDS = 5
 
 
-def fit(texts: list[str], toxic: np.ndarray, fold: np.ndarray, weight: np.ndarray) -> ToxicityModel:
-    """Every row serves the lexicon, the trees and the calibration, but never describes itself.
+def term_counts(sample: DataFrame, least: int) -> list:
+    """term, forms and, by label and fold, the texts of ``sample`` (text, toxic, fold) that have each term.
+
+    Counted by the tasks; terms in fewer than ``least`` toxic texts stay there.  ``forms``: the distinct
+    longer words of toxic texts with a stem, and how many of them only one fold has.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held: Counter = Counter()
+            for text, toxic, fold in zip(*(c.to_pylist() for c in batch.columns)):
+                words, stems = terms(text)
+                held.update((t, toxic, fold) for t in words | stems)
+            yield pa.RecordBatch.from_arrays([pa.array([k[i] for k in held], kind) for i, kind in enumerate((pa.string(), pa.int32(), pa.int32()))] + [pa.array(held.values(), pa.int64())], names=["term", "toxic", "fold", "n"])
+
+    counts = written(sample.select("text", "toxic", "fold").mapInArrow(count, "term string, toxic int, fold int, n long"), "term-counts")
+    pick = lambda toxic, fold: F.sum(F.when((F.col("toxic") == toxic) & (F.col("fold") == fold), F.col("n")).otherwise(0))
+    by_term = counts.groupBy("term").agg(F.array(*(pick(1, f) for f in range(FOLDS))).alias("bad"), F.array(*(pick(0, f) for f in range(FOLDS))).alias("good"), F.sum(F.when(F.col("toxic") == 1, F.col("n"))).alias("total")).where(F.col("total") >= least)
+    words = counts.where("toxic = 1 and not endswith(term, '-')").groupBy("term").agg(F.min("fold").alias("low"), F.max("fold").alias("high"))
+    stems = words.select(F.explode(F.array(*(F.when(F.length("term") > n, F.concat(F.left("term", F.lit(n)), F.lit("-"))) for n in _STEMS))).alias("stem"), "low", "high").where("stem is not null")
+    forms = stems.groupBy(F.col("stem").alias("term")).agg(F.count("*").alias("forms"), F.array(*(F.sum(((F.col("low") == f) & (F.col("high") == f)).cast("long")) for f in range(FOLDS))).alias("only"))
+    return by_term.join(forms, "term", "left").select("term", "bad", "good", F.coalesce("forms", F.lit(0)).alias("forms"), F.coalesce("only", F.array(*[F.lit(0).cast("long")] * FOLDS)).alias("only")).collect()
+
+
+def lexicon(counts: list, sizes: dict[tuple[int, int], int], without: int | None = None) -> Lexicon:
+    """From ``term_counts`` and the number of texts by (label, fold), leaving one fold out."""
+    folds = [f for f in range(FOLDS) if f != without]
+    listed = [(r.term, sum(r.bad[f] for f in folds), sum(r.good[f] for f in folds), r.forms - (r.only[without] if without is not None else 0)) for r in counts]
+    return Lexicon.of(listed, *(sum(sizes.get((label, f), 0) for f in folds) for label in (1, 0)))
+
+
+def fit(sample: DataFrame, totals: dict[int, int]) -> ToxicityModel | None:
+    """Every row of ``sample`` (text, toxic, fold) serves the lexicon, the trees and the calibration, but never describes itself.
 
     A row's features come from a lexicon of the other folds, and its margin for the calibration from
-    trees of the other folds; the model that is kept has the lexicon and the trees of all rows.
+    trees of the other folds; the model that is kept has the lexicon and the trees of all rows.  Texts
+    stay on the executors: the driver sees counts of frequent terms and one row of numbers a text.
     """
-    x, margin = np.zeros((len(texts), len(FEATURES))), np.zeros(len(texts))
-    for one in range(FOLDS):
-        own = np.flatnonzero(fold == one)
-        rest = np.flatnonzero(fold != one)
-        x[own] = Lexicon.learn([texts[i] for i in rest], toxic[rest]).matrix([texts[i] for i in own])
+    sizes = {(r.toxic, r.fold): r["count"] for r in sample.groupBy("toxic", "fold").count().collect()}
+    bad = {f: sizes.get((1, f), 0) for f in range(FOLDS)}
+    if not sum(bad.values()) or sum(bad.values()) == sum(sizes.values()):
+        return None
+    least = sum(bad.values()) - max(bad.values())
+    counts = term_counts(sample, max(5, math.ceil(0.015 * least)))
+    shared = sample.sparkSession.sparkContext.broadcast([lexicon(counts, sizes, f) for f in range(FOLDS)])
+
+    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, toxic, fold = (c.to_pylist() for c in batch.columns)
+            memos: list[dict[str, float]] = [{} for _ in range(FOLDS)]
+            rows = [shared.value[f].features(t, memos[f]) for t, f in zip(texts, fold)]
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(rows, pa.list_(pa.float64()))], names=["toxic", "fold", "x"])
+
+    # sorted: sums of floats must not hang on the order in which tasks end
+    rows = sorted(sample.select("text", "toxic", "fold").mapInArrow(describe, "toxic int, fold int, x array<double>").collect(), key=lambda r: (r.fold, r.toxic, r.x))
+    x, toxic, fold = np.array([r.x for r in rows]), np.array([r.toxic for r in rows], float), np.array([r.fold for r in rows])
+    weight = np.array([totals[r.toxic] / sum(n for (label, _), n in sizes.items() if label == r.toxic) for r in rows])
+    weight /= weight.mean()
+    margin = np.zeros(len(rows))
     for one in range(FOLDS):
         own, rest = fold == one, fold != one
         margin[own] = BoostedTrees().fit(x[rest], toxic[rest], weight[rest]).margin(x[own]) if rest.any() else 0.0
-    return ToxicityModel(Lexicon.learn(texts, toxic), BoostedTrees().fit(x, toxic, weight), isotonic(margin, toxic, weight))
+    return ToxicityModel(lexicon(counts, sizes), BoostedTrees().fit(x, toxic, weight), isotonic(margin, toxic, weight))
 
 
 def held_out_column(key: str = "doc_id"):
@@ -221,15 +307,8 @@ def train(docs: DataFrame, labels: DataFrame) -> ToxicityModel | float:
     totals = {r.toxic: r["count"] for r in known.groupBy("toxic").count().collect()}
     texts = docs.selectExpr("cast(doc_id as long) doc_id", "text").where("text is not null")
     # the sample is bounded, so its ids are broadcast
-    rows = texts.join(F.broadcast(picked), "doc_id").select("text", "toxic", F.expr(f"pmod(xxhash64(doc_id, 'fold'), {FOLDS})").alias("fold")).collect()
-    toxic = np.array([r.toxic for r in rows], float)
-    if not len(rows) or toxic.min() == toxic.max():
-        return totals.get(1, 0) / max(1, sum(totals.values()))
-    order = sorted(range(len(rows)), key=lambda i: (rows[i].fold, rows[i].text, rows[i].toxic))
-    toxic = toxic[order]
-    sampled = {k: (toxic == k).sum() for k in (0, 1)}
-    weight = np.array([totals[int(t)] / sampled[int(t)] for t in toxic])
-    return fit([rows[i].text for i in order], toxic, np.array([rows[i].fold for i in order]), weight / weight.mean())
+    sample = written(texts.join(F.broadcast(picked), "doc_id").select("text", "toxic", F.expr(f"cast(pmod(xxhash64(doc_id, 'fold'), {FOLDS}) as int)").alias("fold")), "labelled-texts")
+    return fit(sample, totals) or totals.get(1, 0) / max(1, sum(totals.values()))
 
 
 def score_column(docs: DataFrame, model: ToxicityModel | float, name: str = "toxicity") -> DataFrame:
@@ -249,8 +328,9 @@ def score_column(docs: DataFrame, model: ToxicityModel | float, name: str = "tox
 def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
     """doc_id, held_out, score and predicted of every document.
 
-    Only text enters a score.  Rows without an id are scored and count as not held out; repeated rows
-    score alike; extra columns are not read.
+    Only text enters a score; a null text scores as an empty one.  Rows without an id are scored and count
+    as not held out; repeated rows score alike; extra columns are not read.  An empty table gives an empty
+    result; without labels of both classes every text scores their share of toxic ones, or 0.
     """
     narrow = docs.selectExpr("cast(doc_id as long) doc_id", "text")
     scored = score_column(narrow, train(narrow, labels))

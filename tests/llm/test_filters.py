@@ -10,7 +10,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from hopline.llm import licences, quality, toxicity
+from hopline.llm import decontamination, licences, quality, toxicity
 from hopline.llm.decontamination import contamination_report, remove_benchmark_spans
 
 SF = "/root/testdata/sf0.01"
@@ -28,7 +28,7 @@ def brute_counts(text):
 
 def test_base_counts(make, odd, prose):
     rows = odd + [(30, "é ü ñ\nline\nline \nline\n\n \nline"), (31, (prose(9, 7) + "\n") * 3), (32, "#a *b* |c| <d> 100%"), (33, prose(1, 12))]
-    rows = [(i, t) for i, t in rows if not t or len(t) < 20_000]
+    rows += [(34, f"{prose(92, 4000)} {prose(93, 9)} {prose(93, 9)} {prose(94, 4000)}")]
     got = quality.quality_report(make(rows, True)).collect()
     want = sorted(((i is None, i or 0), *brute_counts(t)) for i, t in rows)
     assert sorted(((r.doc_id is None, r.doc_id or 0), r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in got) == want
@@ -84,7 +84,7 @@ def brute_contamination(rows, items, window=10):
 def leaks(spark, prose, odd):
     items = [(1, prose(50, 25)), (2, prose(51, 12)), (10, "only three words"), (3, prose(50, 25) + " tail"), (4, None), (5, ""), (None, prose(52, 15)), (6, "a b a b a b a b a b a b"), (7, "b a b")]
     shout = prose(51, 12).upper().replace(" ", ", ")
-    rows = [r for r in odd if not r[1] or len(r[1]) < 9000] + [(20, f"x {prose(50, 25)} y"), (21, f"start. {shout}! end"), (22, "here: Only THREE\nwords; there"), (23, prose(52, 15)), (24, " ".join(prose(50, 25).split()[:9])), (25, "a b a b a b a b a b a b a b a"), (26, prose(77, 30)), (27, f"{prose(80, 50)} {' '.join(prose(50, 25).split()[3:20])} {prose(81, 50)}")]
+    rows = odd + [(28, f"{prose(90, 8000)} {prose(50, 25)} {prose(91, 8000)}")] + [(20, f"x {prose(50, 25)} y"), (21, f"start. {shout}! end"), (22, "here: Only THREE\nwords; there"), (23, prose(52, 15)), (24, " ".join(prose(50, 25).split()[:9])), (25, "a b a b a b a b a b a b a b a"), (26, prose(77, 30)), (27, f"{prose(80, 50)} {' '.join(prose(50, 25).split()[3:20])} {prose(81, 50)}")]
     return rows, items, spark.createDataFrame(items, "item_id long, text string")
 
 
@@ -95,8 +95,6 @@ def test_contamination(make, leaks):
 
 
 def test_contamination_block_by_block(make, leaks, monkeypatch):
-    from hopline.llm import decontamination
-
     monkeypatch.setattr(decontamination, "BLOCK_BYTES", 100)
     rows, items, bench = leaks
     got = contamination_report(make(rows), bench).collect()
@@ -110,9 +108,12 @@ def test_no_benchmark_and_no_documents(spark, make, leaks):
     assert contamination_report(make([]), bench).count() == 0
 
 
-def test_spans_are_removed_and_the_rest_stays(make, leaks, prose):
+@pytest.mark.parametrize("block_bytes", [None, 100])
+def test_spans_are_removed_and_the_rest_stays(make, leaks, prose, monkeypatch, block_bytes):
     rows, _, bench = leaks
-    docs = make(rows, True)
+    if block_bytes:
+        monkeypatch.setattr(decontamination, "BLOCK_BYTES", block_bytes)
+    docs = make(rows, True).selectExpr("*", "'x' as found", "'y' as row")
     got = remove_benchmark_spans(docs, bench)
     assert got.columns == docs.columns
     text = {r.doc_id: r.text for r in got.collect()}
@@ -168,3 +169,69 @@ def test_every_rule_matches_its_own_sentences_and_needs_their_order():
             apart = [(n * (licences.GAP + 2), name) for n, name in enumerate(rule)]
             assert licences.match_rules(apart).count(licence) <= licences.match_rules(list(enumerate(rule))).count(licence)
     assert all(licences.normalised(text) == text for text in licences.SENTENCES.values())
+
+
+def plain_features(text, lexicon):
+    """The features again, one character and word at a time."""
+    low = text.lower()
+    words = re.findall(r"[^\W\d_]+", low)
+    n, chars = max(1, len(words)), max(1, len(text))
+    weights = [lexicon.weight(w) for w in words]
+    near = sum(1 for i, w in enumerate(weights) if w and any(x in toxicity.SECOND_PERSON for x in words[max(0, i - 4) : i + 5]))
+    masked = re.findall(r"[^\W\d_]+[0-9@$*#!|]+[^\W\d_]+", low)
+    bare = [m.translate(str.maketrans("013457@$!|", "oieastasil")) for m in masked]
+    stretched, i = 0, 0
+    while i < len(low) - 2:
+        if low[i] == low[i + 1] == low[i + 2] and re.fullmatch(r"[^\W\d_]", low[i]):
+            stretched += 1
+            i += 3
+        else:
+            i += 1
+    return [
+        sum(w > 0 for w in weights) / n, sum(w > 0 for w in weights), max(weights, default=0.0), sum(weights) / n,
+        sum(w > 0 and x in toxicity.SEED_INSULTS for w, x in zip(weights, words)) / n, near / n,
+        sum(w in toxicity.SECOND_PERSON for w in words) / n, sum(c.isupper() for c in text) / chars, sum(c == "!" for c in text) / chars,
+        sum(c in ".,;:!?*#$%&|\"'" for c in text) / chars, sum(lexicon.weight(m) > 0 for m in bare), len(masked) / n, stretched / n, np.log1p(len(words)),
+    ]
+
+
+def test_features_against_plain_ones(odd):
+    lexicon = toxicity.Lexicon({"idiot": 3.0, "you": 4.0, "rotten": 3.5}, {"rott": 2.0, "stupi": 5.0})
+    texts = [t or "" for _, t in odd] + ["You IDIOT!!! your sooooooo stupidly rott3n, id1ot $$", "ÄÖÜ éééé ßßß 111 ___ ''\"", "a!b you you idiot", "zzz zz z"]
+    got = lexicon.matrix(texts)
+    assert np.allclose(got, [plain_features(t, lexicon) for t in texts])
+
+
+def test_lexicon_counts_against_plain_ones(spark, prose):
+    rows = [(f"{prose(i % 7, 12)} {'idiot rotters' if i % 3 == 0 else 'fine rotting'} {'rotted rotten' if i % 2 else ''}", int(i % 3 == 0), i % toxicity.FOLDS) for i in range(60)]
+    sizes = {}
+    for _, label, f in rows:
+        sizes[label, f] = sizes.get((label, f), 0) + 1
+    found = toxicity.term_counts(spark.createDataFrame(rows, "text string, toxic int, fold int"), 5)
+    for without in (None, 0, 3):
+        left = [(*toxicity.terms(t), label) for t, label, f in rows if f != without]
+        bad, good = (Counter(x for words, stems, label in left for x in words | stems if label == want) for want in (1, 0))
+        known = {w for words, _, label in left if label for w in words}
+        counts = [(t, c, good[t], sum(w != t[:-1] and w.startswith(t[:-1]) for w in known) if t[-1] == "-" else 0) for t, c in bad.items()]
+        want = toxicity.Lexicon.of(counts, sum(label for *_, label in left), sum(1 - label for *_, label in left))
+        got = toxicity.lexicon(found, sizes, without)
+        assert got.words == want.words and got.stems == want.stems and "idiot" in got.words
+
+
+def test_posterior_against_plain_bayes(make, odd, prose):
+    rows = odd + [(50 + i, prose(300 + i, 5 + 9 * i) + (". " if i % 2 else "!!! ") * (i % 5) + "\n" * (i % 3) + "# $ " * (i % 4)) for i in range(40)]
+    counts = quality.count_table(make(rows))
+    rules = quality.votes()
+    voted = [(r, [r[k] for k in rules]) for r in counts.select("*", *(v.alias(k) for k, v in rules.items())).collect()]
+    share, chances = quality.estimate(sorted(Counter(tuple(v) for _, v in voted).items(), key=lambda x: str(x[0])))
+    want = []
+    for r, v in voted:
+        good, bad = share, 1 - share
+        for x, (right_good, right_bad) in zip(v, chances):
+            if x is not None:
+                good *= right_good if x else 1 - right_good
+                bad *= 1 - right_bad if x else right_bad
+        failed = r.n_words < 10 or 100 * r.n_repeat_words > 20 * r.n_words
+        want.append((r.doc_id is None, r.doc_id or 0, round(good / (good + bad), 9), not failed and good >= bad))
+    got = quality.quality_report(make(rows)).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0, round(r.quality, 9), r.kept) for r in got) == sorted(want)
