@@ -9,12 +9,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .automaton import SuffixAutomaton
-from .common import merge_runs, text_bytes
+from .common import free_name, merge_runs, text_bytes, written
 
-#: Bytes of item texts in one automaton; more items are matched block by block.
-BLOCK_BYTES = 32 << 20
+#: Bytes of item texts in one automaton, which then takes some 200 MB; more items are matched block by block.
+BLOCK_BYTES = 2 << 20
 
 #: Fixed by contract: what a word is made of (after A-Z became a-z): digits, a-z and all beyond ASCII.
 WORD_BYTES = bytes(b for b in range(256) if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A)
@@ -98,13 +99,75 @@ class ItemAutomaton(SuffixAutomaton):
                     names.add(name)
 
 
-def _automata(benchmark: DataFrame, window: int) -> Iterator[ItemAutomaton]:
-    items = benchmark.selectExpr("cast(item_id as string) item_id", "text")
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = -(-total // BLOCK_BYTES)
-    for block in range(blocks):
-        part = items if blocks == 1 else items.where(F.expr(f"pmod(xxhash64(text), {blocks}) = {block}"))
-        yield ItemAutomaton([(r.item_id, plain((r.text or "").encode()).split()) for r in part.collect()], window)
+def _blocks(benchmark: DataFrame) -> list[DataFrame]:
+    """Items with words, dealt into blocks of about ``BLOCK_BYTES`` of text; one block where they fit."""
+    items = benchmark.selectExpr("cast(item_id as string) item_id", "text").where("length(text) > 0")
+    blocks = -(-(items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BLOCK_BYTES)
+    if blocks < 2:
+        return [items]
+    return [items.where(F.expr(f"pmod(xxhash64(text), {blocks}) = {block}")) for block in range(blocks)]
+
+
+def _automaton(items: DataFrame, window: int) -> ItemAutomaton:
+    return ItemAutomaton([(r.item_id, plain(r.text.encode()).split()) for r in items.toLocalIterator()], window)
+
+
+_SPANS = T.ArrayType(T.StructType([T.StructField("from", T.LongType()), T.StructField("to", T.LongType())]))
+_FOUND = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("spans", _SPANS), T.StructField("items", T.ArrayType(T.StringType()))])
+_ARROW_FOUND = pa.struct([("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))), ("items", pa.list_(pa.string()))])
+
+
+def _found(text: bytes, automaton: ItemAutomaton) -> dict:
+    words = plain(text).split()
+    starts, ends, names = automaton.match(words)
+    return {"n_words": len(words), "spans": [{"from": a, "to": b} for a, b in zip(starts.tolist(), ends.tolist())], "items": sorted(x for x in names if x is not None)}
+
+
+def with_contamination(docs: DataFrame, benchmark: DataFrame, window: int, name: str) -> DataFrame:
+    """All columns of ``docs`` and, as ``name``, a struct of n_words, spans and items (see ``contaminated_spans``)."""
+    names = [*docs.columns, name]
+    context, at, out_type = docs.sparkSession.sparkContext, docs.columns.index("text"), T.StructType([*docs.schema.fields, T.StructField(name, _FOUND)])
+    blocks = _blocks(benchmark)
+    if len(blocks) == 1:
+        shared = context.broadcast(_automaton(blocks[0], window))
+
+        def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                found = [_found(t, shared.value) for t in text_bytes(batch.column(at))]
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, _ARROW_FOUND)], names=names)
+
+        return docs.mapInArrow(match, out_type)
+
+    # rows are numbered and written, so each block's hits, which are written too, find their rows again
+    row = free_name(docs, "row")
+    numbered = written(docs.withColumn(row, F.monotonically_increasing_id()), "numbered-documents")
+    hits = []
+    for block in blocks:
+        shared = context.broadcast(_automaton(block, window))
+
+        def match_block(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                found = [_found(t, shared.value) for t in text_bytes(batch.column(1))]
+                hit = pa.array([bool(f["spans"]) for f in found], pa.bool_())
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, _ARROW_FOUND)], names=["row", "found"]).filter(hit)
+
+        hits.append(written(numbered.select(F.col(row).alias("row"), "text").mapInArrow(match_block, T.StructType([T.StructField("row", T.LongType()), T.StructField("found", _FOUND)])), "benchmark-hits"))
+        shared.destroy()
+    every = hits[0]
+    for more in hits[1:]:
+        every = every.unionByName(more)
+    merged = every.groupBy(F.col("row").alias(row)).agg(F.flatten(F.collect_list("found.spans")).alias(name), F.flatten(F.collect_list("found.items")).alias(f"{name}_items"))
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            *columns, spans, items = batch.columns
+            found = []
+            for text, some, own in zip(text_bytes(batch.column(at)), spans.to_pylist(), items.to_pylist()):
+                starts, ends = merge_runs(*(np.array([x[k] for x in some or ()], np.int64) for k in ("from", "to")))
+                found.append({"n_words": len(plain(text).split()), "spans": [{"from": a, "to": b} for a, b in zip(starts.tolist(), ends.tolist())], "items": sorted(set(own or ()))})
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(found, _ARROW_FOUND)], names=names)
+
+    return numbered.join(merged, row, "left").select(*docs.columns, name, f"{name}_items").mapInArrow(merge, out_type)
 
 
 def contaminated_spans(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
@@ -115,36 +178,19 @@ def contaminated_spans(docs: DataFrame, benchmark: DataFrame, window: int = 10)
     each document word is tracked; where it covers a window, the window's words are hit.
 
     Item texts up to ``BLOCK_BYTES`` make one broadcast automaton; beyond, the items are dealt into
-    blocks and each block adds its spans to the rows in turn.  Null texts have no words; an item without
-    an id counts towards hits and is not listed.  Repeated documents are judged each on its own; an empty
-    benchmark hits nothing.
+    blocks, one automaton exists at a time, and its hits are written before the next one.  Null texts
+    have no words; an item without an id counts towards hits and is not listed.  Repeated documents are
+    judged each on its own; an empty benchmark hits nothing, and an empty table gives an empty result.
+    Other columns are not read.
 
     Returns doc_id, text, n_words, spans (maximal runs of hit words, [from, to)), items (sorted ids).
     """
-    span_type = pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))
-    schema = "doc_id long, text string, n_words long, spans array<struct<from:long,to:long>>, items array<string>"
-    out = docs.selectExpr("cast(doc_id as long) doc_id", "text", "cast(null as long) n_words", "cast(array() as array<struct<from:long,to:long>>) spans", "cast(array() as array<string>) items")
-    for automaton in _automata(benchmark, window) if benchmark.head(1) else [ItemAutomaton([], window)]:
-        shared = docs.sparkSession.sparkContext.broadcast(automaton)
-
-        def match(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                counts, spans, items = [], [], []
-                for text, old, names in zip(text_bytes(batch.column(1)), batch.column(3).to_pylist(), batch.column(4).to_pylist()):
-                    words = plain(text).split()
-                    starts, ends, found = shared.value.match(words)
-                    if old:
-                        starts, ends = merge_runs(np.r_[starts, [s["from"] for s in old]], np.r_[ends, [s["to"] for s in old]])
-                    counts.append(len(words))
-                    spans.append([{"from": a, "to": b} for a, b in zip(starts.tolist(), ends.tolist())])
-                    items.append(sorted({*names, *(x for x in found if x is not None)}))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts, pa.int64()), pa.array(spans, span_type), pa.array(items, pa.list_(pa.string()))], names=["doc_id", "text", "n_words", "spans", "items"])
-
-        out = out.mapInArrow(match, schema)
-    return out
+    narrow = docs.selectExpr("cast(doc_id as long) doc_id", "text")
+    return with_contamination(narrow, benchmark, window, "found").select("doc_id", "text", "found.*")
 
 
 def contamination_report(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated of every document; see ``contaminated_spans``."""
     found = contaminated_spans(docs, benchmark, window)
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda total, s: total + s["to"] - s["from"])
     return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256")).withColumn("contaminated", F.col("n_hit") > 0)
@@ -163,24 +209,22 @@ def without_spans(text: bytes, spans: list[tuple[int, int]]) -> bytes:
 def remove_benchmark_spans(docs: DataFrame, benchmark: DataFrame, window: int = 10, most_covered: float = 0.8) -> DataFrame:
     """All columns of ``docs``; texts lose their hit spans, and documents go whose words are hit beyond ``most_covered``.
 
-    Documents without hits keep their texts byte for byte, null texts included.
+    Documents without hits keep their texts byte for byte, null and empty texts included.  Repeated rows
+    are treated alike; an empty benchmark changes nothing, an empty table stays empty.
     """
-    names = docs.columns
-    at = next(i for i, n in enumerate(names) if n == "text")
-    automata = list(_automata(benchmark, window)) if benchmark.head(1) else []
-    shared = [docs.sparkSession.sparkContext.broadcast(a) for a in automata]
+    names, name = docs.columns, free_name(docs, "found")
+    at = names.index("text")
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column, keep, texts = batch.column(at), [], []
-            for text, raw in zip(column, text_bytes(column)):
-                words = plain(raw).split()
-                runs = [a.value.match(words)[:2] for a in shared]
-                starts, ends = merge_runs(np.concatenate([r[0] for r in runs] or [[]]), np.concatenate([r[1] for r in runs] or [[]]))
-                hit = int((ends - starts).sum()) if len(starts) else 0
-                keep.append(hit <= most_covered * len(words))
-                texts.append(without_spans(raw, list(zip(starts.tolist(), ends.tolist()))).decode() if hit else text.as_py())
-            columns = [pa.array(texts, batch.schema.field(at).type) if i == at else c for i, c in enumerate(batch.columns)]
-            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema).filter(pa.array(keep, pa.bool_()))
-
-    return docs.mapInArrow(clean, docs.schema)
+            *columns, found = batch.columns
+            keep, texts = [], []
+            for text, raw, one in zip(columns[at], text_bytes(columns[at]), found.to_pylist()):
+                spans = [(s["from"], s["to"]) for s in one["spans"]]
+                hit = sum(b - a for a, b in spans)
+                keep.append(hit <= most_covered * one["n_words"])
+                texts.append(without_spans(raw, spans).decode() if hit else text.as_py())
+            columns[at] = pa.array(texts, batch.schema.field(at).type)
+            yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(keep, pa.bool_()))
+
+    return with_contamination(docs, benchmark, window, name).mapInArrow(clean, docs.schema)

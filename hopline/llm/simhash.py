@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_bytes, written
+from .common import free_name, text_bytes, written
 from .components import connected_components
 from .golay import LENGTH, nearby_codewords
 
@@ -378,4 +378,5 @@ def drop_near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8)
     Rows without an id and null texts stay; rows that share an id go or stay together.
     """
     gone = written(near_copy_groups(docs, shingle, similarity).where("doc_id <> group").select("doc_id"), "near-copies-gone")
-    return docs.join(few_or_shuffled(gone.select(F.col("doc_id").alias("__gone"))), F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
+    ids = few_or_shuffled(gone.select(F.col("doc_id").alias(free_name(docs, "gone"))))
+    return docs.join(ids, docs["doc_id"].cast("long") == ids[ids.columns[0]], "left_anti")

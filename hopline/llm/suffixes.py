@@ -8,7 +8,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from .common import free_name
 from .passages import CHUNK_BYTES, NO_ID, Bucket, Bytes, chunk_table, gram_hashes, per_document, repeated_spans, rows_by_key
 
 #: Stands for the byte before a stretch, which its bucket does not see.
@@ -166,19 +168,20 @@ def without_repeated_substrings(docs: DataFrame, least: int = 100, chunk_bytes:
     """All columns of ``docs``; texts lose what ``repeated_substrings`` marks.
 
     A character that is cut in two goes as a whole.  Documents of which nothing but white space is left
-    go; those without marks keep their texts, null texts included.
+    go; those without marks keep their texts, null and empty texts included.  Repeated rows and rows
+    without an id count as in ``repeated_substrings``; an empty table stays empty.
     """
-    names = docs.columns
+    names, was_null = docs.columns, free_name(docs, "null_text")
 
     def emit(c, whole, ends, spans) -> list[pa.RecordBatch]:
         begins = np.r_[0, ends[:-1]].tolist()
         texts = [_cut(t, s, b).decode(errors="ignore") for t, s, b in zip(c.texts, spans, begins)]
         keep = [not len(s[0]) or bool(t.strip()) for t, s in zip(texts, spans)]
         rest = c.rest.combine_chunks()
-        null = rest.column("__null_text").to_pylist()
+        null = rest.column(was_null).to_pylist()
         columns = [pa.array([None if n else t for n, t in zip(null, texts)], pa.string()) if name == "text" else rest.column(name).combine_chunks() for name in names]
         return pa.Table.from_arrays(columns, names=names).filter(pa.array(keep, pa.bool_())).combine_chunks().to_batches()
 
-    chunks = chunk_table(docs.selectExpr("*", "text is null as __null_text"), chunk_bytes)
+    chunks = chunk_table(docs.withColumn(was_null, F.col("text").isNull()), chunk_bytes)
     spans = repeated_spans(chunks, Bytes(), least, _gram(least), earlier_repeats)
     return per_document(chunks, spans, Bytes(), emit, docs.schema)
