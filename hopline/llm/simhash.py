@@ -281,21 +281,50 @@ def _verified(texts: DataFrame, pairs: DataFrame, shingle: int, similarity: floa
     return written(_similar(pairs, sets, similarity), "near-copy-links")
 
 
-def _listed_pairs(buckets: DataFrame) -> DataFrame:
-    """Pairs of different components in small buckets; a bucket's smallest document has been compared."""
+def _counts(docs: list[dict]) -> tuple[np.ndarray, np.ndarray]:
+    """length and counts of each document, for ``may_reach``."""
+    return np.array([d["length"] for d in docs], np.int64), np.frombuffer(b"".join(d["counts"] for d in docs), np.uint8).reshape(-1, CLASSES)
+
+
+def _star_pairs(buckets: DataFrame, prints: DataFrame, similarity: float) -> DataFrame:
+    """Each document with the smallest ones (``least``) of its buckets, where the two may be similar.
+
+    Those that a smallest document leads are looked at in blocks of bounded size.
+    """
+    led = buckets.where("doc_id <> least").groupBy(F.col("least").alias("a"), "doc_id").agg(F.ceil(F.max("n") / BLOCK).cast("int").alias("blocks"))
+    met = led.join(prints.select("doc_id", "length", "counts"), "doc_id").select("a", "blocks", F.expr("pmod(xxhash64(doc_id), blocks)").alias("block"), F.struct("doc_id", "length", "counts").alias("d"))
+    blocks = met.groupBy("a", "blocks", "block").agg(F.collect_list("d").alias("docs"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = [], []
+            for first, docs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                keep = may_reach(similarity, *_counts([first]), *_counts(docs))[0]
+                b += [d["doc_id"] for d, k in zip(docs, keep) if k]
+                a += [first["doc_id"]] * int(keep.sum())
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    leaders = prints.select(F.col("doc_id").alias("a"), F.struct("doc_id", "length", "counts").alias("first"))
+    return blocks.join(leaders, "a").select("first", "docs").mapInArrow(run, "a long, b long")
+
+
+def _listed_pairs(buckets: DataFrame, similarity: float) -> DataFrame:
+    """Pairs of different components in small buckets that may be similar; a bucket's smallest document has been compared."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = [], []
             for docs in batch.column(0).to_pylist():
-                docs = sorted((d["doc_id"], d["comp"]) for d in docs)[1:]
-                for i, (x, own) in enumerate(docs):
-                    others = [y for y, comp in docs[i + 1 :] if comp != own]
-                    a += [x] * len(others)
-                    b += others
+                docs = sorted(docs, key=lambda d: d["doc_id"])[1:]
+                comp, ids = (np.array([d[f] for d in docs], np.int64) for f in ("comp", "doc_id"))
+                keep = np.triu(comp[:, None] != comp, 1)
+                if keep.any():
+                    i, j = np.nonzero(keep & may_reach(similarity, *_counts(docs), *_counts(docs)))
+                    a += ids[i].tolist()
+                    b += ids[j].tolist()
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    groups = buckets.groupBy("key").agg(F.collect_list(F.struct("doc_id", "comp")).alias("docs"))
+    groups = buckets.groupBy("key").agg(F.collect_list(F.struct("doc_id", "comp", "length", "counts")).alias("docs"))
     return groups.select("docs").mapInArrow(run, "a long, b long")
 
 
@@ -347,8 +376,9 @@ def near_copy_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8)
 
     First every document of a bucket is compared with its smallest one.  What is then connected needs no
     further comparison: of a group of copies, however large, each is compared with a few.  Then pairs of
-    a bucket that are not connected yet are compared: listed in small buckets; in large ones block by
-    block in memory, where a bound on what two documents can have in common leaves few to be listed.
+    a bucket that are not connected yet are compared, in small buckets at once, in large ones block by
+    block.  A bound on what two documents can have in common goes first, in memory; only pairs that it
+    does not rule out become rows, and only their texts' shingles are fetched.
 
     Null texts link to nothing, texts without words to equal ones.  Rows without an id are left out; rows
     that share an id are one document, with the text of least hash or set.  An empty table has no groups.
@@ -362,12 +392,13 @@ def near_copy_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8)
     keyed = _keyed(prints, [c for c in _PRINT if c not in ("length", "counts")], paired_segment_keys)
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("least")).where("n > 1")
     buckets = written(keyed.join(sizes, "key"), "near-copy-buckets")
-    links = _verified(texts, buckets.where("doc_id <> least").select(F.col("least").alias("a"), F.col("doc_id").alias("b")), shingle, similarity)
+    links = _verified(texts, _star_pairs(buckets, prints, similarity), shingle, similarity)
     known = connected_components(links).select(F.col("id").alias("doc_id"), "root")
-    small = buckets.where(F.col("n").between(3, LISTED)).join(known, "doc_id", "left").select("key", "doc_id", F.coalesce("root", "doc_id").alias("comp"))
-    crowded = buckets.where(F.col("n") > LISTED).select("doc_id").distinct()
-    large = written(prints.join(crowded, "doc_id", "left_semi").join(known, "doc_id", "left").select(*_PRINT, F.coalesce("root", "doc_id").alias("comp")), "near-copy-crowds")
-    pairs = _listed_pairs(small).unionByName(_block_pairs(large, similarity))
+    met = prints.join(buckets.where("n > 2").select("doc_id").distinct(), "doc_id", "left_semi").join(known, "doc_id", "left")
+    met = written(met.select(*_PRINT, F.coalesce("root", "doc_id").alias("comp")), "near-copy-met")
+    small = buckets.where(F.col("n").between(3, LISTED)).select("key", "doc_id").join(met.select("doc_id", "comp", "length", "counts"), "doc_id")
+    large = met.join(buckets.where(F.col("n") > LISTED).select("doc_id").distinct(), "doc_id", "left_semi")
+    pairs = _listed_pairs(small, similarity).unionByName(_block_pairs(large, similarity))
     more = _verified(texts, pairs, shingle, similarity)
     return connected_components(copies.unionByName(links).unionByName(more)).select(F.col("id").alias("doc_id"), F.col("root").alias("group"))
 
