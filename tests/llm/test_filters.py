@@ -158,7 +158,7 @@ def test_licences(make, odd):
     ]
     got = {r.doc_id: r for r in licences.licence_scan(make(rows, True)).collect()}
     assert got[20].licences == "Apache-2.0" and got[21].licences == "MIT" and got[22].licences == "CC-BY-NC-4.0,all-rights-reserved"
-    assert got[23].licences == "" and got[24].licences == "" and got[24].n_sentences == 2 and got[1].n_sentences == 0
+    assert got[23].licences == "" and got[24].licences == "" and got[24].n_sentences == 2 and got[25].licences == "MIT" and got[1].n_sentences == 0
     assert licences.licence_scan(make([])).count() == 0
 
 
@@ -235,3 +235,95 @@ def test_posterior_against_plain_bayes(make, odd, prose):
         want.append((r.doc_id is None, r.doc_id or 0, round(good / (good + bad), 9), not failed and good >= bad))
     got = quality.quality_report(make(rows)).collect()
     assert sorted((r.doc_id is None, r.doc_id or 0, round(r.quality, 9), r.kept) for r in got) == sorted(want)
+
+
+APACHE = """Copyright 2020 Someone
+
+Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License."""
+GPL = """This {what} is free software{colon} you can redistribute it and/or modify
+it under the terms of the GNU {kind} as published by
+the Free Software Foundation{tail}
+
+This {what} is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details."""
+LATER = """, either version {v} of the License, or
+(at your option) any later version."""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at http://mozilla.org/MPL/2.0/."""
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE"""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+BSD_3 = """
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+NOTICES = [
+    (APACHE, "Apache-2.0"),
+    (GPL.format(what="program", colon=":", kind="General Public License", tail=LATER.format(v=3)), "GPL-3.0-or-later"),
+    (GPL.format(what="program", colon=";", kind="General Public License", tail=LATER.format(v=2)), "GPL-2.0-or-later"),
+    (GPL.format(what="program", colon=";", kind="General Public License", tail=" version 2."), "GPL-2.0-only"),
+    (GPL.format(what="library", colon=";", kind="Lesser General Public License", tail=LATER.format(v="2.1")), "LGPL-2.1-or-later"),
+    (GPL.format(what="program", colon=":", kind="Affero General Public License", tail=LATER.format(v=3)), "AGPL-3.0-or-later"),
+    (MPL, "MPL-2.0"),
+    (MIT, "MIT"),
+    (BSD, "BSD-2-Clause"),
+    (BSD + BSD_3, "BSD-3-Clause"),
+    ("/* SPDX-License-Identifier: (GPL-2.0-only WITH Linux-syscall-note) OR BSD-3-Clause */", "GPL-2.0-only,BSD-3-Clause"),
+    ("# SPDX-License-Identifier: Apache-2.0+ AND MIT and more", "Apache-2.0+,MIT"),
+    ("All rights\nreserved.", "all-rights-reserved"),
+]
+
+
+def commented(text, lead):
+    return "\n".join(f"{lead}{line}".rstrip() for line in text.split("\n"))
+
+
+@pytest.mark.parametrize("notice, licence", NOTICES)
+def test_public_notices_as_they_stand(notice, licence):
+    for text in (notice, f"Some prose. More\n\n{notice}\n\nAnd the end.", commented(notice, " * ") if "SPDX" not in notice else notice, commented(notice, "# ")):
+        assert ",".join(dict.fromkeys(licences.match_rules(licences.sentence_ids(text)))) == licence
+
+
+def test_known_sentences_against_a_plain_search(prose):
+    """Every known sentence that stands between two breaks of a text is found, whatever its line breaks."""
+    r = np.random.default_rng(5)
+    for name, sentence in licences.SENTENCES.items():
+        words = sentence.split()
+        wrapped = "".join(w + ("\n" if r.random() < 0.2 else " ") for w in words).strip()
+        for text in (f"{prose(1, 8)}.\n{wrapped}. {prose(2, 5)}", f"{prose(3, 4)}\n\n{wrapped.upper() if name != 'x' else wrapped}\n\n{prose(4, 4)}", wrapped):
+            assert [n for _, n in licences.sentence_ids(text)] == [name]
+        assert licences.sentence_ids(f"{prose(5, 6)} {' '.join(words)} {prose(6, 6)}") == []
