@@ -28,23 +28,23 @@ class Graph:
     def of(cls, edges: DataFrame, vertices: DataFrame | None = None) -> Graph:
         """From edges (src, dst[, w]) and, for isolated or ordered vertices, a DataFrame (id[, ord]).
 
-        Without ``ord`` vertices are in the order of their ids.  Rows without an endpoint are dropped.
+        Without ``ord`` vertices are in the order of their ids; vertices that only edges name come after
+        those listed, in the order of their ids.  Rows without an endpoint are dropped.  A weight that is
+        missing or negative fails the first job that reads weights.
         """
         weighted = "w" in edges.columns
         if weighted:
             kind = dict(edges.dtypes)["w"]
             if kind not in ("tinyint", "smallint", "int", "bigint"):
                 raise InvalidType(f"weights must be integers, not {kind}")
-        ends = edges.selectExpr("cast(src as bigint) src", "cast(dst as bigint) dst", *(["cast(w as bigint) w"] if weighted else [])).where("src is not null and dst is not null")
+        ends = edges.selectExpr("cast(src as bigint) src", "cast(dst as bigint) dst", *(["if(w >= 0, cast(w as bigint), raise_error('weights must not be negative or missing')) w"] if weighted else [])).where("src is not null and dst is not null")
         unique = ends.groupBy("src", "dst").agg(F.min("w").alias("w")) if weighted else ends.distinct()
         touched = unique.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
         if vertices is None:
             known = touched.withColumn("ord", F.col("id"))
         elif "ord" in vertices.columns:
             known = vertices.selectExpr("cast(id as bigint) id", "cast(ord as bigint) ord").groupBy("id").agg(F.min("ord").alias("ord"))
-            last = known.agg(F.coalesce(F.max("ord"), F.lit(-1)).alias("last"))
-            rest = touched.join(known, "id", "left_anti").crossJoin(F.broadcast(last))  # one row
-            known = known.unionByName(rest.select("id", (F.col("last") + 1 + F.col("id") - F.lit(0)).alias("ord")))
+            known = known.unionByName(_after(known, touched.join(known, "id", "left_anti")))
         else:
             known = vertices.selectExpr("cast(id as bigint) id").union(touched).distinct().withColumn("ord", F.col("id"))
         return cls(known, unique)
@@ -137,11 +137,8 @@ class Graph:
 
     def add_vertices(self, ids: DataFrame) -> Graph:
         """With more vertices (id), after those there are."""
-        return Graph.of(self.edges, self.vertices.unionByName(ids.select("id").distinct().join(self.vertices, "id", "left_anti").select("id", (F.col("id") + self._next_ord()).alias("ord"))))
-
-    def _next_ord(self) -> Column:
-        last = self.vertices.agg(F.max("ord")).first()[0]
-        return F.lit(0 if last is None else last + 1)
+        new = ids.selectExpr("cast(id as bigint) id").distinct().join(self.vertices, "id", "left_anti")
+        return Graph.of(self.edges, self.vertices.unionByName(_after(self.vertices, new)))
 
     def add_edges(self, edges: DataFrame) -> Graph:
         """With more edges; of a repeated weighted edge the lightest stays."""
@@ -176,6 +173,14 @@ class Graph:
         return Graph(self.vertices, both.groupBy("src", "dst").agg(F.min("w").alias("w")) if self.weighted else both.distinct())
 
 
+def _after(known: DataFrame, new: DataFrame) -> DataFrame:
+    """``new`` (id) with places after all of ``known`` (id, ord), in the order of their ids."""
+    last = known.agg(F.coalesce(F.max("ord"), F.lit(-1)).alias("last"))
+    least = new.agg(F.min("id").alias("least"))
+    both = new.crossJoin(F.broadcast(last)).crossJoin(F.broadcast(least))  # one row each
+    return both.select("id", (F.col("last") + 1 + (F.col("id") - F.col("least"))).alias("ord"))
+
+
 def validate_weights(edges: DataFrame) -> None:
     """One job: weights must be there and not negative."""
     if edges.where("w is null or w < 0").head(1):

@@ -44,32 +44,44 @@ def transitive_closure(graph: Graph, max_pairs: int | None = None, budget_strict
     """src, dst: all pairs with a path, each vertex with itself.
 
     With ``max_pairs``, a closure of more pairs raises ``ClosureBudgetExceeded`` if ``budget_strict``; else
-    the first ``max_pairs`` in the order of (src, dst) are returned.  ``strategy``: ``kernel`` searches
-    from every vertex over broadcast edges, ``relational`` squares, ``auto`` takes the first for graphs
-    of up to ``KERNEL_EDGES`` edges.
+    the first ``max_pairs`` in the order of (src, dst) are returned.  Then vertices are searched from in
+    their order, eight times as many a turn, and no more once there are too many pairs.  ``strategy``:
+    ``kernel`` searches from every vertex over broadcast edges, ``relational`` squares, ``auto`` takes the
+    first for graphs of up to ``KERNEL_EDGES`` edges.
     """
     if max_pairs is not None and max_pairs < 0:
         raise InvalidValue("max_pairs must not be negative")
-    small = strategy != "relational" and (strategy == "kernel" or graph.edges.limit(KERNEL_EDGES + 1).count() <= KERNEL_EDGES)
-    if small:
-        pairs, whole = closure_by_search(graph, "kernel"), True
-    else:
-        found, whole = closure_by_squaring(graph.edges, max_pairs)
-        pairs = found.union(graph.vertices.selectExpr("id as src", "id as dst")).distinct()
-    if max_pairs is None:
-        return pairs
-    pairs = materialised(pairs, "closure-pairs")
-    if not whole or pairs.limit(max_pairs + 1).count() > max_pairs:
+    if max_pairs is not None:
+        pairs, whole = _closure_within(graph, max_pairs, strategy)
+        if whole:
+            return pairs
         first = pairs.orderBy("src", "dst").limit(max_pairs)
         if budget_strict:
             raise ClosureBudgetExceeded(max_pairs, first)
         return first
-    return pairs
+    if strategy != "relational" and (strategy == "kernel" or graph.edges.limit(KERNEL_EDGES + 1).count() <= KERNEL_EDGES):
+        return closure_by_search(graph, "kernel")
+    found, _ = closure_by_squaring(graph.edges)
+    return found.union(graph.vertices.selectExpr("id as src", "id as dst")).distinct()
+
+
+def _closure_within(graph: Graph, max_pairs: int, strategy: str) -> tuple[DataFrame, bool]:
+    """Pairs of the first vertices, as many as it takes for more than ``max_pairs``; whether they are all."""
+    total, some = graph.num_vertices(), 64
+    while True:
+        first = graph.vertices.orderBy("id").limit(some).select("id")
+        pairs = reachable_pairs(graph, first, strategy).select(F.col("source").alias("src"), F.col("v").alias("dst"))
+        # a task ends once it has that many rows
+        if pairs.limit(max_pairs + 1).count() > max_pairs:
+            return pairs, False
+        if some >= total:
+            return pairs, True
+        some *= 8
 
 
-def closure_on_subset(graph: Graph, ids: DataFrame, strategy: str = "auto") -> DataFrame:
-    """The closure of the subgraph on ``ids`` (id)."""
-    return transitive_closure(graph.induced_subgraph(ids), strategy=strategy)
+def closure_on_subset(graph: Graph, ids: DataFrame, max_pairs: int | None = None, budget_strict: bool = True, strategy: str = "auto") -> DataFrame:
+    """The closure of the subgraph on ``ids`` (id), with the budget of ``transitive_closure``."""
+    return transitive_closure(graph.induced_subgraph(ids), max_pairs, budget_strict, strategy)
 
 
 # --- strong components -----------------------------------------------------------------------------

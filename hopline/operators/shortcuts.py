@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -166,16 +167,16 @@ def _hops(graph: Graph, shortcuts: DataFrame, beta: int | None) -> DataFrame:
     return propagate(graph.to_unweighted().with_shortcuts(shortcuts).edges, each(graph.vertices.select("id")), Spread("hop", beta))
 
 
-def greedy_shortcut_set(graph: Graph, beta: int, max_iterations: int = 1000) -> DataFrame:
+def greedy_shortcut_set(graph: Graph, beta: int, max_iterations: int | None = None) -> DataFrame:
     """Adds, until none is left, the first pair (by canonical order) at hop distance ``beta`` - 1 or more within ``beta``.
 
-    A pair's benefit is ``beta`` less its distance; only distance ``beta`` - 1 has any and is no edge.
+    With ``max_iterations`` only the first so many pairs are wanted.  A pair's benefit is ``beta`` less its distance; only distance ``beta`` - 1 has any and is no edge.
     """
     if beta < 1:
         raise InvalidValue("beta must be 1 or more")
     pairs = graph.spark.createDataFrame([], "src long, dst long")
     order = graph.vertices.select(F.col("id"), F.col("ord"))
-    for _ in range(max_iterations):
+    for _ in count() if max_iterations is None else range(max_iterations):
         far = _hops(graph, pairs, beta).where((F.col("val") == beta - 1) & (F.col("source") != F.col("v")))
         fresh = far.select(F.col("source").alias("src"), F.col("v").alias("dst")).join(pairs, ["src", "dst"], "left_anti").join(graph.edges.select("src", "dst"), ["src", "dst"], "left_anti")
         best = fresh.join(order.selectExpr("id as src", "ord as i"), "src").join(order.selectExpr("id as dst", "ord as j"), "dst").orderBy("i", "j", "src", "dst").select("src", "dst").limit(1)
@@ -211,7 +212,8 @@ def fix_resample(graph: Graph, seed: int = 0) -> DataFrame:
 def sparsify(graph: Graph, shortcuts: DataFrame) -> DataFrame:
     """Drops pairs whose ends stay connected without them.
 
-    Pairs inside the graph's own closure all go at once; the rest is tried one by one in order.
+    Pairs inside the graph's own closure all go at once; the rest, none in a sound set, is tried one by
+    one in order, a search each.
     """
     left = materialised(shortcuts.join(transitive_closure(graph.to_unweighted()), ["src", "dst"], "left_anti"), "unsound")
     base, kept = graph.to_unweighted(), left

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..errors import InvalidValue
 from ..graph import Graph
 from ..plans.fixpoint import Spread, propagate
+from ..plans.storage import materialised
 
 
 def single(graph: Graph, vertex: int) -> DataFrame:
@@ -164,15 +165,20 @@ def hyper_to_graph(hyperedges: DataFrame, vertex_predicate: Column | None = None
 def hyper_reachable(hyperedges: DataFrame, source: int, strategy: str = "auto") -> DataFrame:
     """v: reached from ``source`` when a hyperedge fires as soon as one of its tail vertices is reached.
 
-    Hyperedges are vertices of their own here (negative ids), tails lead to them and they lead to heads:
-    the edges number the sum of the sides' sizes, not their product.  An unknown source reaches nothing.
+    Hyperedges are vertices of their own here, numbered beyond all vertices, tails lead to them and they
+    lead to heads: the edges number the sum of the sides' sizes, not their product.  An unknown source
+    reaches nothing.  Vertices may be any numbers below 2^62; eids are not read.
     """
-    node = -1 - F.pmod(F.col("eid"), F.lit(1 << 62))  # eid must be unique and below 2^62
-    legs = hyperedges.select(node.alias("node"), "tail", "head")
+    top = hyperedges.agg(F.max(F.greatest(F.array_max("tail"), F.array_max("head")))).first()[0]
+    top = 0 if top is None else top
+    if top >= 1 << 62:
+        raise InvalidValue("vertices must be below 2^62")
+    # written: a hyperedge must keep its number
+    legs = materialised(hyperedges.select((F.monotonically_increasing_id() + F.lit(top + 1)).alias("node"), "tail", "head"), "hyperedges")
     edges = legs.select(F.explode("tail").alias("src"), F.col("node").alias("dst")).unionByName(legs.select(F.col("node").alias("src"), F.explode("head").alias("dst")))
     known = hyperedges.where(F.array_contains("tail", F.lit(source).cast("long")) | F.array_contains("head", F.lit(source).cast("long"))).limit(1)
     start = known.select(F.lit(source).cast("long").alias("source"), F.lit(source).cast("long").alias("v"), F.lit(0).cast("long").alias("val"))
-    return propagate(edges, start, Spread(), strategy).where("v >= 0").select("v")
+    return propagate(edges, start, Spread(), strategy).where(F.col("v") <= top).select("v")
 
 
 # --- temporal graphs -------------------------------------------------------------------------------

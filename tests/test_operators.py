@@ -205,3 +205,37 @@ def test_parameters_stay_in_their_ranges():
     assert 0 < parameters.pivot_probability(4, 0, 100, 10) <= 1
     with pytest.raises(InvalidValue):
         Refinement.from_dict({"nonsense": True})
+
+
+def test_hyperedges_of_negative_vertices_and_wide_ids(spark):
+    h = spark.createDataFrame([(2**63 - 1, [-5], [-6, 7]), (-1, [7], [9]), (2**62, [100], [101])], "eid long, tail array<long>, head array<long>")
+    for strategy in ("kernel", "relational"):
+        assert sorted(r.v for r in traversal.hyper_reachable(h, -5, strategy).collect()) == [-6, -5, 7, 9]
+    g = Graph.of(spark.createDataFrame([(1, 2), (2, 3)], "src long, dst long"))
+    made = traversal.hypergraph_from_graph(g)
+    assert sorted(r.v for r in traversal.hyper_reachable(made, 1).collect()) == [1, 2, 3]
+
+
+def test_new_vertices_come_last(spark):
+    g = Graph.of(spark.createDataFrame([(5, 6)], "src long, dst long"), spark.createDataFrame([(5, 0), (6, 1)], "id long, ord long"))
+    more = g.add_vertices(spark.createDataFrame([(4,), (-3,)], "id long"))
+    assert [r.id for r in more.ordered_vertices().collect()] == [5, 6, -3, 4]
+    named = Graph.of(spark.createDataFrame([(-9, 6), (5, 2)], "src long, dst long"), spark.createDataFrame([(5, 0), (6, 1)], "id long, ord long"))
+    assert [r.id for r in named.ordered_vertices().collect()] == [5, 6, -9, 2]
+
+
+@pytest.mark.parametrize("weight", [-4, None])
+def test_bad_weights_fail(spark, weight):
+    g = Graph.of(spark.createDataFrame([(0, 1, 2), (1, 0, weight)], "src long, dst long, w long"))
+    with pytest.raises(Exception, match="weights must not be negative or missing"):
+        paths.dijkstra(g, 0).collect()
+
+
+def test_budget_of_a_part(spark):
+    g = Graph.of(spark.createDataFrame([(i, i + 1) for i in range(200)], "src long, dst long"))
+    ids = spark.createDataFrame([(i,) for i in range(100)], "id long")
+    assert closure.closure_on_subset(g, ids).count() == closure.closure_on_subset(g, ids, 5050).count() == 5050
+    with pytest.raises(ClosureBudgetExceeded):
+        closure.closure_on_subset(g, ids, 5049)
+    first = closure.closure_on_subset(g, ids, 150, budget_strict=False).collect()
+    assert sorted(map(tuple, first)) == [(0, i) for i in range(100)] + [(1, i) for i in range(1, 51)]
