@@ -12,13 +12,14 @@ from pyspark.sql import DataFrame, SparkSession
 from ..plans.shipping import ship_package
 from ..plans.storage import scratch_path
 
-#: Arrow batches are cut by rows; documents can be long, so few rows go in one batch.
-BATCH_ROWS = 512
+#: Arrow batches are cut by rows and by bytes, as documents can be long.
+BATCH_ROWS, BATCH_BYTES = 512, 4 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
-    """What Python workers need: this package, and batches of few rows."""
+    """What Python workers need: this package, and batches of few rows and bytes."""
     ship_package(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 

@@ -18,6 +18,8 @@ from .golay import LENGTH, nearby_codewords
 PAIRS_UP_TO = 24
 #: Rows up to which a table of ids is broadcast (8 MB); beyond, the join shuffles.
 BROADCAST_ROWS = 1_000_000
+#: Fingerprints that one task expands into keys, some 130 rows each, and tasks up to which it holds.
+KEYED_ROWS, KEYED_TASKS = 8192, 20_000
 
 _SEEDS = np.array([1, 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
@@ -82,15 +84,19 @@ def segment_keys(fingerprint: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _keyed(table: DataFrame, columns: list[str], keys) -> DataFrame:
-    """Rows (key, first column) of the keys that ``keys`` gives for the other columns."""
+    """Rows (key, first column) of the keys that ``keys`` gives for the other columns.
+
+    ``table`` is a written one; its few bytes would be read by few tasks, each making very many keys.
+    """
     first = columns[0]
+    tasks = min(KEYED_TASKS, max(1, -(-table.count() // KEYED_ROWS)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             row, key = keys(*(np.array(c, np.int64) for c in batch.columns[1:]))
             yield pa.RecordBatch.from_arrays([pa.array(key), batch.column(0).take(pa.array(row))], names=["key", first])
 
-    return table.select(*columns).mapInArrow(run, f"key long, {first} long")
+    return table.select(*columns).repartition(tasks, first).mapInArrow(run, f"key long, {first} long")
 
 
 def differing_bits(a: str, b: str):
@@ -263,8 +269,9 @@ def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            # one pair at a time: sets of long texts are large
+            for x, y in zip(batch.column(2), batch.column(3)):
+                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(both >= similarity * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
