@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .automaton import SuffixAutomaton
-from .common import free_name, merge_runs, text_bytes, written
+from .common import free_name, giving_back, merge_runs, text_bytes, written
 
 #: Bytes of item texts in one automaton, which then takes some 200 MB; more items are matched block by block.
 BLOCK_BYTES = 2 << 20
@@ -136,7 +136,7 @@ def with_contamination(docs: DataFrame, benchmark: DataFrame, window: int, name:
                 found = [_found(t, shared.value) for t in text_bytes(batch.column(at))]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, _ARROW_FOUND)], names=names)
 
-        return docs.mapInArrow(match, out_type)
+        return docs.mapInArrow(giving_back(match), out_type)
 
     # rows are numbered and written, so each block's hits, which are written too, find their rows again
     row = free_name(docs, "row")
@@ -151,7 +151,7 @@ def with_contamination(docs: DataFrame, benchmark: DataFrame, window: int, name:
                 hit = pa.array([bool(f["spans"]) for f in found], pa.bool_())
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, _ARROW_FOUND)], names=["row", "found"]).filter(hit)
 
-        hits.append(written(numbered.select(F.col(row).alias("row"), "text").mapInArrow(match_block, T.StructType([T.StructField("row", T.LongType()), T.StructField("found", _FOUND)])), "benchmark-hits"))
+        hits.append(written(numbered.select(F.col(row).alias("row"), "text").mapInArrow(giving_back(match_block), T.StructType([T.StructField("row", T.LongType()), T.StructField("found", _FOUND)])), "benchmark-hits"))
         shared.destroy()
     every = hits[0]
     for more in hits[1:]:
@@ -167,7 +167,7 @@ def with_contamination(docs: DataFrame, benchmark: DataFrame, window: int, name:
                 found.append({"n_words": len(plain(text).split()), "spans": [{"from": a, "to": b} for a, b in zip(starts.tolist(), ends.tolist())], "items": sorted(set(own or ()))})
             yield pa.RecordBatch.from_arrays([*columns, pa.array(found, _ARROW_FOUND)], names=names)
 
-    return numbered.join(merged, row, "left").select(*docs.columns, name, f"{name}_items").mapInArrow(merge, out_type)
+    return numbered.join(merged, row, "left").select(*docs.columns, name, f"{name}_items").mapInArrow(giving_back(merge), out_type)
 
 
 def contaminated_spans(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
@@ -227,4 +227,4 @@ def remove_benchmark_spans(docs: DataFrame, benchmark: DataFrame, window: int =
             columns[at] = pa.array(texts, batch.schema.field(at).type)
             yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(keep, pa.bool_()))
 
-    return with_contamination(docs, benchmark, window, name).mapInArrow(clean, docs.schema)
+    return with_contamination(docs, benchmark, window, name).mapInArrow(giving_back(clean), docs.schema)

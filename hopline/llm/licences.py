@@ -8,6 +8,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import giving_back
+
 # Normalised sentences of public licence texts and notices, by identifier.  A sentence is
 # lower-cased, has one space between words and no other marks than those inside words; asides that only
 # give a term its name, as (the "License"), are left out.
@@ -219,4 +221,4 @@ def licence_scan(docs: DataFrame) -> DataFrame:
             licences = [",".join(dict.fromkeys(match_rules(f))) for f in found]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(f) for f in found], pa.int64()), pa.array([",".join(i for _, i in f) for f in found], pa.string()), pa.array(licences, pa.string())], names=["doc_id", "n_sentences", "sentence_ids", "licences"])
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(scan, "doc_id long, n_sentences long, sentence_ids string, licences string")
+    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(giving_back(scan), "doc_id long, n_sentences long, sentence_ids string, licences string")

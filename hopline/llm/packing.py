@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import text_bytes
+from .common import giving_back, text_bytes
 from .tokens import MEMO_WORDS, encoder
 
 PIECE_SCHEMA = "doc_id long, start long, length long, ids binary, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -56,4 +56,4 @@ def pack_documents(docs: DataFrame, vocabulary: str, end_id: int, longest: int =
             kinds = [pa.int64()] * 3 + [pa.binary()] + [pa.int64()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=[f.split()[0] for f in PIECE_SCHEMA.split(", ")])
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(pack, PIECE_SCHEMA)
+    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(giving_back(pack), PIECE_SCHEMA)

@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucketed, merge_runs, text_bytes, written
+from .common import bucketed, giving_back, merge_runs, text_bytes, written
 
 #: Text bytes after which a chunk is closed.
 CHUNK_BYTES = 2 << 20
@@ -103,7 +103,7 @@ def chunk_table(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
         if held:
             yield close()
 
-    return bucketed(docs.mapInArrow(pack, CHUNK_SCHEMA), "chunk", "chunks", _tasks(docs.sparkSession, _planned_bytes(docs)))
+    return bucketed(docs.mapInArrow(giving_back(pack), CHUNK_SCHEMA), "chunk", "chunks", _tasks(docs.sparkSession, _planned_bytes(docs)))
 
 
 def _planned_bytes(docs: DataFrame) -> int:
@@ -379,7 +379,7 @@ def _exchange(chunks: DataFrame, plan: Plan, find: Callable[[Chunk, list], Runs]
             often = counts[inverse]
             yield _rows([(p[0], bucket, _bits(own > 1), _bits(own > plan.hot_chunks)) for p, own in zip(parts, _split(often, sizes)) if own.max(initial=0) > 1], ANSWER)
 
-    return _gathered(_dealt(chunks.mapInArrow(send, schema), plan.tasks).mapInArrow(meet, ANSWER), label)
+    return _gathered(_dealt(chunks.mapInArrow(giving_back(send), schema), plan.tasks).mapInArrow(giving_back(meet), ANSWER), label)
 
 
 @dataclass
@@ -488,8 +488,8 @@ def repeated_spans(chunks: DataFrame, units, window: int, gram: int, solve: Solv
                 out.append((chunk, starts.tobytes(), stops.tobytes()))
             yield _rows(out, "chunk long, starts binary, ends binary")
 
-    sent = _told(chunks, *told).mapInArrow(send, schema)
-    found = _dealt(sent, plan.tasks).mapInArrow(search, "chunk long, starts binary, ends binary")
+    sent = _told(chunks, *told).mapInArrow(giving_back(send), schema)
+    found = _dealt(sent, plan.tasks).mapInArrow(giving_back(search), "chunk long, starts binary, ends binary")
     return written(found.groupBy("chunk").agg(F.collect_list("starts").alias("starts"), F.collect_list("ends").alias("ends")), "spans")
 
 
@@ -508,4 +508,4 @@ def per_document(chunks: DataFrame, spans: DataFrame, units, emit: Callable, sch
                 edges = np.searchsorted(np.searchsorted(ends, a, "right"), np.arange(len(ends) + 1))
                 yield from emit(c, sequence, ends, [(a[x:y], b[x:y]) for x, y in zip(edges, edges[1:])])
 
-    return chunks.join(spans.hint("shuffle_hash"), "chunk", "left").select(*chunks.columns, "starts", "ends").mapInArrow(run, schema)
+    return chunks.join(spans.hint("shuffle_hash"), "chunk", "left").select(*chunks.columns, "starts", "ends").mapInArrow(giving_back(run), schema)

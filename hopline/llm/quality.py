@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_bytes, written
+from .common import giving_back, text_bytes, written
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters", "n_exclaims", "n_ends", "n_stutters")
 
@@ -85,7 +85,7 @@ def count_table(docs: DataFrame) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, text_counts(text_bytes(batch.column(1))))], names=["doc_id", *COUNTS])
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(count, "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS))
+    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(giving_back(count), "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS))
 
 
 def votes() -> dict[str, Column]:

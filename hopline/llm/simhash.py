@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, text_bytes, written
+from .common import free_name, giving_back, text_bytes, written
 from .components import connected_components
 from .golay import LENGTH, nearby_codewords
 
@@ -63,7 +63,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
             found = np.array([majority_bits(shingle_hashes(t.lower().split(), shingle))[0] for t in text_bytes(batch.column(1))], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["doc_id", "f0"])
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, "doc_id long, f0 long")
+    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(giving_back(run), "doc_id long, f0 long")
 
 
 def segment_keys(fingerprint: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -96,7 +96,7 @@ def _keyed(table: DataFrame, columns: list[str], keys) -> DataFrame:
             row, key = keys(*(np.array(c, np.int64) for c in batch.columns[1:]))
             yield pa.RecordBatch.from_arrays([pa.array(key), batch.column(0).take(pa.array(row))], names=["key", first])
 
-    return table.select(*columns).repartition(tasks, first).mapInArrow(run, f"key long, {first} long")
+    return table.select(*columns).repartition(tasks, first).mapInArrow(giving_back(run), f"key long, {first} long")
 
 
 def differing_bits(a: str, b: str):
@@ -180,7 +180,7 @@ def near_copy_prints(docs: DataFrame, shingle: int) -> DataFrame:
             found = list(zip(*(one(t.lower().split()) for t in text_bytes(batch.column(1))))) or [[]] * (len(_PRINT) - 1)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.binary() if n == "counts" else pa.int64()) for n, c in zip(_PRINT[1:], found))], names=_PRINT)
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, _PRINT_TYPES)
+    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(giving_back(run), _PRINT_TYPES)
 
 
 def _codewords(lanes: list[np.ndarray]) -> list[np.ndarray]:
@@ -260,7 +260,7 @@ def shingle_sets(docs: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
             sets = [np.unique(shingle_hashes(t.lower().split(), shingle)).tobytes() for t in text_bytes(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["doc_id", "hashes"])
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").join(few_or_shuffled(ids), "doc_id", "left_semi").mapInArrow(run, "doc_id long, hashes binary").groupBy("doc_id").agg(F.min("hashes").alias("hashes"))
+    return docs.selectExpr("cast(doc_id as long) doc_id", "text").join(few_or_shuffled(ids), "doc_id", "left_semi").mapInArrow(giving_back(run), "doc_id long, hashes binary").groupBy("doc_id").agg(F.min("hashes").alias("hashes"))
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -277,7 +277,7 @@ def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     both = pairs.join(sets.selectExpr("doc_id as a", "hashes as x"), "a").join(sets.selectExpr("doc_id as b", "hashes as y"), "b").select("a", "b", "x", "y")
-    return both.mapInArrow(run, "a long, b long")
+    return both.mapInArrow(giving_back(run), "a long, b long")
 
 
 def _verified(texts: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
@@ -312,7 +312,7 @@ def _star_pairs(buckets: DataFrame, prints: DataFrame, similarity: float) -> Dat
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     leaders = prints.select(F.col("doc_id").alias("a"), F.struct("doc_id", "length", "counts").alias("first"))
-    return blocks.join(leaders, "a").select("first", "docs").mapInArrow(run, "a long, b long")
+    return blocks.join(leaders, "a").select("first", "docs").mapInArrow(giving_back(run), "a long, b long")
 
 
 def _listed_pairs(buckets: DataFrame, similarity: float) -> DataFrame:
@@ -332,7 +332,7 @@ def _listed_pairs(buckets: DataFrame, similarity: float) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     groups = buckets.groupBy("key").agg(F.collect_list(F.struct("doc_id", "comp", "length", "counts")).alias("docs"))
-    return groups.select("docs").mapInArrow(run, "a long, b long")
+    return groups.select("docs").mapInArrow(giving_back(run), "a long, b long")
 
 
 def _block_pairs(prints: DataFrame, similarity: float) -> DataFrame:
@@ -370,7 +370,7 @@ def _block_pairs(prints: DataFrame, similarity: float) -> DataFrame:
                 p, q = x["doc_id"][i], y["doc_id"][j]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))], names=["a", "b"])
 
-    return odd.join(blocks, ["pair", "salt"]).select("pair", "xs", "ys").mapInArrow(run, "a long, b long")
+    return odd.join(blocks, ["pair", "salt"]).select("pair", "xs", "ys").mapInArrow(giving_back(run), "a long, b long")
 
 
 def near_copy_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:

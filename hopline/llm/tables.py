@@ -29,7 +29,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch_path, text_bytes
+from .common import giving_back, scratch_path, text_bytes
 from .tokens import encoder
 
 MAGIC = b"HOPSST01"
@@ -201,7 +201,7 @@ def key_ranges(docs: DataFrame, shards: int) -> list[int]:
             total += np.bincount(place, np.array(batch.column(1), np.int64), len(total))
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total.astype(np.int64))], names=["range", "size"])
 
-    sizes = docs.selectExpr("doc_id", "cast(coalesce(octet_length(text), 0) + 16 as long) size").mapInArrow(weigh, "range long, size long")
+    sizes = docs.selectExpr("doc_id", "cast(coalesce(octet_length(text), 0) + 16 as long) size").mapInArrow(giving_back(weigh), "range long, size long")
     weight = np.zeros(len(cuts) + 1)
     for r in sizes.groupBy("range").agg(F.sum("size").alias("size")).collect():
         weight[r.range] = r.size
@@ -262,9 +262,9 @@ def write_token_tables(docs: DataFrame, vocabulary: str, end_id: int, shards: in
                 done.append((shard, f"{folder}/{name}", *write_table(sink, run(), width)))
         yield pa.RecordBatch.from_arrays([pa.array([d[i] for d in done], k) for i, k in enumerate((pa.int32(), pa.string(), pa.int64(), pa.int64()))], names=["shard", "uri", "entries", "ids"])
 
-    encoded = rows.mapInArrow(encode, "shard int, doc_id long, ids binary, tie long, width int")
+    encoded = rows.mapInArrow(giving_back(encode), "shard int, doc_id long, ids binary, tie long, width int")
     dealt = encoded.repartitionById(len(cuts) + 1, F.col("shard")).sortWithinPartitions("shard", "doc_id", "tie")
-    return sorted(tuple(r) for r in dealt.mapInArrow(write, "shard int, uri string, entries long, ids long").collect())
+    return sorted(tuple(r) for r in dealt.mapInArrow(giving_back(write), "shard int, uri string, entries long, ids long").collect())
 
 
 def read_token_tables(spark, files: list[tuple[int, str, int, int]]) -> DataFrame:
@@ -295,4 +295,4 @@ def read_token_tables(spark, files: list[tuple[int, str, int, int]]) -> DataFram
 
     if not listing:
         return spark.createDataFrame([], schema)
-    return spark.createDataFrame(listing, "uri string, start long").repartition(len(listing)).mapInArrow(read, schema)
+    return spark.createDataFrame(listing, "uri string, start long").repartition(len(listing)).mapInArrow(giving_back(read), schema)

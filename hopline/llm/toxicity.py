@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import written
+from .common import giving_back, written
 
 #: The most labelled rows of either class that the model is fitted on.
 SAMPLE_TOXIC, SAMPLE_CLEAN = 3000, 6000
@@ -242,7 +242,7 @@ def term_counts(sample: DataFrame, least: int) -> list:
                 held.update((t, toxic, fold) for t in words | stems)
             yield pa.RecordBatch.from_arrays([pa.array([k[i] for k in held], kind) for i, kind in enumerate((pa.string(), pa.int32(), pa.int32()))] + [pa.array(held.values(), pa.int64())], names=["term", "toxic", "fold", "n"])
 
-    counts = written(sample.select("text", "toxic", "fold").mapInArrow(count, "term string, toxic int, fold int, n long"), "term-counts")
+    counts = written(sample.select("text", "toxic", "fold").mapInArrow(giving_back(count), "term string, toxic int, fold int, n long"), "term-counts")
     pick = lambda toxic, fold: F.sum(F.when((F.col("toxic") == toxic) & (F.col("fold") == fold), F.col("n")).otherwise(0))
     by_term = counts.groupBy("term").agg(F.array(*(pick(1, f) for f in range(FOLDS))).alias("bad"), F.array(*(pick(0, f) for f in range(FOLDS))).alias("good"), F.sum(F.when(F.col("toxic") == 1, F.col("n"))).alias("total")).where(F.col("total") >= least)
     words = counts.where("toxic = 1 and not endswith(term, '-')").groupBy("term").agg(F.min("fold").alias("low"), F.max("fold").alias("high"))
@@ -281,7 +281,7 @@ def fit(sample: DataFrame, totals: dict[int, int]) -> ToxicityModel | None:
             yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(rows, pa.list_(pa.float64()))], names=["toxic", "fold", "x"])
 
     # sorted: sums of floats must not hang on the order in which tasks end
-    rows = sorted(sample.select("text", "toxic", "fold").mapInArrow(describe, "toxic int, fold int, x array<double>").collect(), key=lambda r: (r.fold, r.toxic, r.x))
+    rows = sorted(sample.select("text", "toxic", "fold").mapInArrow(giving_back(describe), "toxic int, fold int, x array<double>").collect(), key=lambda r: (r.fold, r.toxic, r.x))
     x, toxic, fold = np.array([r.x for r in rows]), np.array([r.toxic for r in rows], float), np.array([r.fold for r in rows])
     weight = np.array([totals[r.toxic] / sum(n for (label, _), n in sizes.items() if label == r.toxic) for r in rows])
     weight /= weight.mean()
@@ -322,7 +322,7 @@ def score_column(docs: DataFrame, model: ToxicityModel | float, name: str = "tox
             found = shared.value.score(texts) if isinstance(shared.value, ToxicityModel) else np.full(len(texts), shared.value)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], names=[*batch.schema.names, name])
 
-    return docs.mapInArrow(score, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
+    return docs.mapInArrow(giving_back(score), T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
