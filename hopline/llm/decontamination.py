@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -123,10 +123,18 @@ def _found(text: bytes, automaton: ItemAutomaton) -> dict:
     return {"n_words": len(words), "spans": [{"from": a, "to": b} for a, b in zip(starts.tolist(), ends.tolist())], "items": sorted(x for x in names if x is not None)}
 
 
-def with_contamination(docs: DataFrame, benchmark: DataFrame, window: int, name: str) -> DataFrame:
-    """All columns of ``docs`` and, as ``name``, a struct of n_words, spans and items (see ``contaminated_spans``)."""
+def with_contamination(docs: DataFrame, benchmark: DataFrame, window: int, name: str, then: Callable | None = None) -> DataFrame:
+    """All columns of ``docs`` and, as ``name``, a struct of n_words, spans and items (see ``contaminated_spans``).
+
+    ``then`` takes these batches and gives rows with the columns of ``docs``, in the same worker: a second
+    Python operator would need workers of its own.
+    """
     names = [*docs.columns, name]
     context, at, out_type = docs.sparkSession.sparkContext, docs.columns.index("text"), T.StructType([*docs.schema.fields, T.StructField(name, _FOUND)])
+
+    def whole(run: Callable) -> tuple[Callable, T.StructType]:
+        return (giving_back(lambda batches: then(run(batches))), docs.schema) if then else (giving_back(run), out_type)
+
     blocks = _blocks(benchmark)
     if len(blocks) == 1:
         shared = context.broadcast(_automaton(blocks[0], window))
@@ -136,7 +144,7 @@ def with_contamination(docs: DataFrame, benchmark: DataFrame, window: int, name:
                 found = [_found(t, shared.value) for t in text_bytes(batch.column(at))]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, _ARROW_FOUND)], names=names)
 
-        return docs.mapInArrow(giving_back(match), out_type)
+        return docs.mapInArrow(*whole(match))
 
     # rows are numbered and written, so each block's hits, which are written too, find their rows again
     row = free_name(docs, "row")
@@ -167,7 +175,7 @@ def with_contamination(docs: DataFrame, benchmark: DataFrame, window: int, name:
                 found.append({"n_words": len(plain(text).split()), "spans": [{"from": a, "to": b} for a, b in zip(starts.tolist(), ends.tolist())], "items": sorted(set(own or ()))})
             yield pa.RecordBatch.from_arrays([*columns, pa.array(found, _ARROW_FOUND)], names=names)
 
-    return numbered.join(merged, row, "left").select(*docs.columns, name, f"{name}_items").mapInArrow(giving_back(merge), out_type)
+    return numbered.join(merged, row, "left").select(*docs.columns, name, f"{name}_items").mapInArrow(*whole(merge))
 
 
 def contaminated_spans(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
@@ -227,4 +235,4 @@ def remove_benchmark_spans(docs: DataFrame, benchmark: DataFrame, window: int =
             columns[at] = pa.array(texts, batch.schema.field(at).type)
             yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(keep, pa.bool_()))
 
-    return with_contamination(docs, benchmark, window, name).mapInArrow(giving_back(clean), docs.schema)
+    return with_contamination(docs, benchmark, window, name, clean)
