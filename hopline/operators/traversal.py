@@ -9,9 +9,12 @@ from pyspark.sql import functions as F
 
 from ..errors import InvalidValue
 from ..graph import Graph
-from ..plans.fixpoint import Spread, propagate
+from ..plans.fixpoint import KERNEL_EDGES, Spread, propagate
 from ..plans.storage import materialised
 
+#: Edges of a time slice, about; slices of one time only may have more.
+SLICE_EDGES = 2_000_000
+
 
 def single(graph: Graph, vertex: int) -> DataFrame:
     """The start (source, v, val) at one vertex, which must exist."""
@@ -189,13 +192,37 @@ def earliest_arrivals(edges: DataFrame, source: int, start_time: int = 0, max_ti
 
     ``edges`` (src, dst, tau) may repeat a pair at several times.  Labels are corrected until none gets
     earlier: the first way to a vertex need not be the one that leads on.  The source arrives at
-    ``start_time``.
+    ``start_time``.  With ``auto`` more than ``KERNEL_EDGES`` edges are walked slice by slice in the order
+    of their times: what is known before a slice is not corrected any more.
     """
     timed = edges.where(F.col("tau") >= start_time)
     if max_time is not None:
         timed = timed.where(F.col("tau") <= max_time)
     start = edges.sparkSession.createDataFrame([(source, source, start_time)], "source long, v long, val long")
-    return propagate(timed.select("src", "dst", "tau"), start, Spread("tau"), strategy).select("v", F.col("val").alias("tau"))
+    timed = timed.select("src", "dst", "tau")
+    if strategy == "auto" and timed.limit(KERNEL_EDGES + 1).count() > KERNEL_EDGES:
+        return _arrivals_by_slices(timed, start)
+    return propagate(timed, start, Spread("tau"), strategy).select("v", F.col("val").alias("tau"))
+
+
+def _arrivals_by_slices(timed: DataFrame, start: DataFrame) -> DataFrame:
+    """v, tau: slices of some ``SLICE_EDGES`` edges, cut between times; edges of one time are never parted.
+
+    A walk's times do not fall, so it goes through the slices in turn, and each needs only the arrivals
+    at its own sources.
+    """
+    slices = -(-timed.count() // SLICE_EDGES)
+    ordered = materialised(timed.repartitionByRange(4 * slices, "tau"), "timed-edges")
+    cuts = ordered.agg(F.percentile_approx("tau", [i / slices for i in range(1, slices)], 100 * slices)).head()[0] if slices > 1 else []
+    cuts = sorted(set(cuts))
+    known = materialised(start, "arrivals")
+    for low, high in zip([None, *cuts], [*cuts, None]):
+        part = ordered if low is None else ordered.where(F.col("tau") > low)
+        part = part if high is None else part.where(F.col("tau") <= high)
+        here = known.join(part.select(F.col("src").alias("v")).distinct(), "v", "left_semi").select("source", "v", "val")
+        reached = propagate(part, here, Spread("tau"))
+        known = materialised(known.unionByName(reached).groupBy("source", "v").agg(F.min("val").alias("val")), "arrivals")
+    return known.select("v", F.col("val").alias("tau"))
 
 
 def earliest_arrival(edges: DataFrame, source: int, target: int, strategy: str = "auto") -> int | None:

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -8,6 +10,7 @@ from hopline.errors import ClosureBudgetExceeded, GraphError, InvalidValue
 from hopline.functions import parameters
 from hopline.graph import UNREACHABLE, Graph
 from hopline.operators import checks, closure, dynamic, generators, hopsets, paths, shortcuts, sketches, traversal
+from hopline.plans import fixpoint
 
 from .test_graph import graph, rows
 
@@ -88,6 +91,17 @@ def test_arrival_labels_are_corrected(spark, strategy):
     assert traversal.earliest_arrival(blocked, 0, 2) is None and traversal.earliest_arrival(blocked, 0, 0) == 0
 
 
+def test_many_timed_edges_go_by_slices(spark, monkeypatch):
+    r = random.Random(8)
+    timed = [(r.randrange(60), r.randrange(60), r.randrange(40)) for _ in range(300)] + [(60 + i, 61 + i, 41) for i in range(30)] + [(5, 60, 40)]
+    e = spark.createDataFrame(timed, "src long, dst long, tau long").cache()
+    want = rows(traversal.earliest_arrivals(e, 3, 2, strategy="kernel"))
+    monkeypatch.setattr(traversal, "KERNEL_EDGES", 20)
+    monkeypatch.setattr(traversal, "SLICE_EDGES", 20)
+    monkeypatch.setattr(fixpoint, "_relational", None)  # its rounds number the longest walk
+    assert rows(traversal.earliest_arrivals(e, 3, 2)) == want and len(want) > 60
+
+
 def test_hyperedges_fire_on_any_tail(spark):
     h = spark.createDataFrame([(1, [0, 9], [1, 2]), (2, [2], [3])], "eid long, tail array<long>, head array<long>")
     assert vs(traversal.hyper_reachable(h, 0)) == [0, 1, 2, 3]
