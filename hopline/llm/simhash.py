@@ -83,20 +83,20 @@ def segment_keys(fingerprint: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(keys)
 
 
-def _keyed(table: DataFrame, columns: list[str], keys) -> DataFrame:
-    """Rows (key, first column) of the keys that ``keys`` gives for the other columns.
+def _keyed(table: DataFrame, columns: list[str], keys, carried: int = 1) -> DataFrame:
+    """Rows (key, the first ``carried`` columns) of the keys that ``keys`` gives for the other columns.
 
     ``table`` is a written one; its few bytes would be read by few tasks, each making very many keys.
     """
-    first = columns[0]
+    first = columns[:carried]
     tasks = min(KEYED_TASKS, max(1, -(-table.count() // KEYED_ROWS)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            row, key = keys(*(np.array(c, np.int64) for c in batch.columns[1:]))
-            yield pa.RecordBatch.from_arrays([pa.array(key), batch.column(0).take(pa.array(row))], names=["key", first])
+            row, key = keys(*(np.array(c, np.int64) for c in batch.columns[carried:]))
+            yield pa.RecordBatch.from_arrays([pa.array(key), *(c.take(pa.array(row)) for c in batch.columns[:carried])], names=["key", *first])
 
-    return table.select(*columns).repartition(tasks, first).mapInArrow(giving_back(run), f"key long, {first} long")
+    return table.select(*columns).repartition(tasks, first[0]).mapInArrow(giving_back(run), ", ".join(f"{c} long" for c in ["key", *first]))
 
 
 def differing_bits(a: str, b: str):
@@ -148,7 +148,7 @@ LANES, PAIRS = 4, 5
 #: Hash classes of shingles that a document's counts are kept for.
 CLASSES = 256
 #: Documents of a bucket up to which its pairs are listed; in larger ones blocks of so many are compared in memory.
-LISTED, BLOCK = 16, 128
+LISTED, BLOCK = 6, 128
 
 _PRINT = ["doc_id", "length", *(f"f{i}" for i in range(LANES)), *(f"s{i}" for i in range(PAIRS)), "counts"]
 _PRINT_TYPES = ", ".join(f"{n} binary" if n == "counts" else f"{n} long" for n in _PRINT)
@@ -293,12 +293,24 @@ def _counts(docs: list[dict]) -> tuple[np.ndarray, np.ndarray]:
     return np.array([d["length"] for d in docs], np.int64), np.frombuffer(b"".join(d["counts"] for d in docs), np.uint8).reshape(-1, CLASSES)
 
 
-def _star_pairs(buckets: DataFrame, prints: DataFrame, similarity: float) -> DataFrame:
-    """Each document with the smallest ones (``least``) of its buckets, where the two may be similar.
+def _first_leaders(buckets: DataFrame) -> DataFrame:
+    """a, doc_id, n: of the smallest documents of its buckets the one that a document shares most with."""
+    met = buckets.where("doc_id <> least").groupBy("doc_id", "least").agg(F.count("*").alias("times"), F.max("n").alias("n"))
+    most = met.groupBy("doc_id").agg(F.max(F.struct("times", (-F.col("least")).alias("m"), "least", "n")).alias("most"))
+    return most.select(F.col("most.least").alias("a"), "doc_id", "most.n")
+
+
+def _other_leaders(buckets: DataFrame) -> DataFrame:
+    """a, doc_id, n: documents with the smallest ones of their buckets that are not connected with them."""
+    return buckets.where("comp <> least_comp").groupBy(F.col("least").alias("a"), "doc_id").agg(F.max("n").alias("n"))
+
+
+def _star_pairs(led: DataFrame, prints: DataFrame, similarity: float) -> DataFrame:
+    """The pairs of ``led`` (a, doc_id, n: the size of a bucket) that may be similar.
 
     Those that a smallest document leads are looked at in blocks of bounded size.
     """
-    led = buckets.where("doc_id <> least").groupBy(F.col("least").alias("a"), "doc_id").agg(F.ceil(F.max("n") / BLOCK).cast("int").alias("blocks"))
+    led = led.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
     met = led.join(prints.select("doc_id", "length", "counts"), "doc_id").select("a", "blocks", F.expr("pmod(xxhash64(doc_id), blocks)").alias("block"), F.struct("doc_id", "length", "counts").alias("d"))
     blocks = met.groupBy("a", "blocks", "block").agg(F.collect_list("d").alias("docs"))
 
@@ -373,6 +385,12 @@ def _block_pairs(prints: DataFrame, similarity: float) -> DataFrame:
     return odd.join(blocks, ["pair", "salt"]).select("pair", "xs", "ys").mapInArrow(giving_back(run), "a long, b long")
 
 
+def _with_components(prints: DataFrame, links: DataFrame) -> DataFrame:
+    """``prints`` with ``comp``, the smallest id that ``links`` reach from a document."""
+    known = connected_components(links).select(F.col("id").alias("doc_id"), "root")
+    return prints.join(known, "doc_id", "left").select(*_PRINT, F.coalesce("root", "doc_id").alias("comp"))
+
+
 def near_copy_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """doc_id and group, the smallest doc_id that links reach, of every document that is linked to another one.
 
@@ -381,10 +399,11 @@ def near_copy_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8)
     are a filter, which misses few pairs at the threshold (see README).  Groups are the components of all
     links, so they hang on the texts and ids alone.
 
-    First every document of a bucket is compared with its smallest one.  What is then connected needs no
-    further comparison: of a group of copies, however large, each is compared with a few.  Then pairs of
-    a bucket that are not connected yet are compared, in small buckets at once, in large ones block by
-    block.  A bound on what two documents can have in common goes first, in memory; only pairs that it
+    Buckets are led by their smallest document.  First every document is compared with one leader, the
+    one it shares most buckets with.  What is then connected needs no further comparison: of a group of
+    copies, however large, each is compared with a few.  Buckets of one component end here; in the others
+    documents are compared with leaders that they are not connected with, and then all pairs that are
+    not connected yet, in small buckets at once, in large ones block by block.  A bound on what two documents can have in common goes first, in memory; only pairs that it
     does not rule out become rows, and only their texts' shingles are fetched.
 
     Null texts link to nothing, texts without words to equal ones.  Rows without an id are left out; rows
@@ -396,13 +415,18 @@ def near_copy_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8)
     copies = written(hashed.join(firsts, ["h0", "h1", "h2"]).where("doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b")), "exact-copies")
     prints = near_copy_prints(texts, shingle).where("length > 0").join(firsts.selectExpr("first as doc_id").distinct(), "doc_id", "left_semi")
     prints = written(prints.groupBy("doc_id").agg(F.min(F.struct(*_PRINT[1:])).alias("p")).select("doc_id", "p.*"), "near-copy-prints")
-    keyed = _keyed(prints, [c for c in _PRINT if c not in ("length", "counts")], paired_segment_keys)
+    looked_at = [c for c in _PRINT[1:] if c not in ("length", "counts")]
+    keyed = _keyed(prints, ["doc_id", *looked_at], paired_segment_keys)
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("least")).where("n > 1")
     buckets = written(keyed.join(sizes, "key"), "near-copy-buckets")
-    links = _verified(texts, _star_pairs(buckets, prints, similarity), shingle, similarity)
-    known = connected_components(links).select(F.col("id").alias("doc_id"), "root")
-    met = prints.join(buckets.where("n > 2").select("doc_id").distinct(), "doc_id", "left_semi").join(known, "doc_id", "left")
-    met = written(met.select(*_PRINT, F.coalesce("root", "doc_id").alias("comp")), "near-copy-met")
+    links = _verified(texts, _star_pairs(_first_leaders(buckets), prints, similarity), shingle, similarity)
+    met = written(_with_components(prints.join(buckets.select("doc_id").distinct(), "doc_id", "left_semi"), links), "near-copy-met")
+    keyed = _keyed(met, ["doc_id", "comp", *looked_at], paired_segment_keys, 2)
+    least = F.min(F.struct("doc_id", "comp"))
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("n"), least["doc_id"].alias("least"), least["comp"].alias("least_comp"), F.min("comp").alias("low"), F.max("comp").alias("high"))
+    buckets = written(keyed.join(sizes.where("low < high").drop("low", "high"), "key"), "near-copy-mixed")
+    links = links.unionByName(_verified(texts, _star_pairs(_other_leaders(buckets), met, similarity), shingle, similarity))
+    met = written(_with_components(met.drop("comp").join(buckets.where("n > 2").select("doc_id").distinct(), "doc_id", "left_semi"), links), "near-copy-open")
     small = buckets.where(F.col("n").between(3, LISTED)).select("key", "doc_id").join(met.select("doc_id", "comp", "length", "counts"), "doc_id")
     large = met.join(buckets.where(F.col("n") > LISTED).select("doc_id").distinct(), "doc_id", "left_semi")
     pairs = _listed_pairs(small, similarity).unionByName(_block_pairs(large, similarity))

@@ -153,6 +153,15 @@ def test_groups_are_the_components_of_all_links(make, prose, monkeypatch, listed
     assert 1 < len({want[100 + i] for i in range(60)}) and want[5] == 0 and len(shingle_set(chain[0]) & shingle_set(chain[5])) < 0.8 * len(shingle_set(chain[0]) | shingle_set(chain[5]))
 
 
+def test_a_copy_is_first_compared_with_one_leader(make, prose, monkeypatch):
+    led, compare = [], simhash._star_pairs
+    monkeypatch.setattr(simhash, "_star_pairs", lambda pairs, *rest: led.append(pairs.count()) or compare(pairs, *rest))
+    words = prose(4100, 400).split()
+    rows = [(i, " ".join([*words[: 9 * i], f"new{i}", *words[9 * i + 1 :]])) for i in range(40)]
+    assert {r["group"] for r in simhash.near_copy_groups(make(rows)).collect()} == {0}
+    assert 0 < led[0] < 40 and led[1] < 40
+
+
 def test_the_bound_rules_out_only_what_is_less_similar():
     r = np.random.default_rng(4)
     sets = [np.unique(r.integers(0, 400, n)) for n in (1, 30, 200, 300, 390, 5000)] + [np.arange(256 * 300)]
