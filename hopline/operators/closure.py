@@ -202,7 +202,11 @@ def condense(graph: Graph, strategy: str = "auto") -> tuple[Graph, DataFrame]:
 
 def intra_component_shortcuts(graph: Graph, strategy: str = "auto") -> DataFrame:
     """src, dst: all ordered pairs of different vertices of one component."""
-    parts = materialised(strong_components(graph, strategy), "components")
+    return component_pairs(materialised(strong_components(graph, strategy), "components"))
+
+
+def component_pairs(parts: DataFrame) -> DataFrame:
+    """src, dst: all ordered pairs of different members (v) of one component (scc_id)."""
     return parts.select("scc_id", F.col("v").alias("src")).join(parts.select("scc_id", F.col("v").alias("dst")), "scc_id").where("src <> dst").select("src", "dst")
 
 

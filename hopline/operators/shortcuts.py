@@ -16,18 +16,37 @@ from ..functions.sampling import uniform
 from ..graph import Graph
 from ..plans.fixpoint import Spread, propagate
 from ..plans.storage import materialised
-from .closure import closure_by_search, condense, intra_component_shortcuts, transitive_closure
+from .closure import closure_by_search, component_pairs, condense, transitive_closure
 from .traversal import each, eccentricities, pivot_reach
 
 
 @dataclass(frozen=True)
 class ShortcutSet:
-    """``pairs`` (src, dst), the hop target and the hops that the construction keeps to."""
+    """Shortcuts, the hop target and the hops that the construction keeps to.
 
-    pairs: DataFrame
+    ``links`` (src, dst) run between representatives of components, ``parts`` (v, scc_id, representative)
+    says who is in which: the members of a component are all linked with each other.
+    """
+
+    links: DataFrame
+    parts: DataFrame
     beta: float
     realised_hops: float
 
+    @property
+    def pairs(self) -> DataFrame:
+        """src, dst: all shortcuts; the square of a component's size inside it."""
+        return self.links.union(component_pairs(self.parts))
+
+    @property
+    def spanning(self) -> DataFrame:
+        """src, dst: shortcuts that connect exactly what all of them connect, with two a member inside a component.
+
+        For reachability, whatever the number of hops; none if there are no shortcuts.
+        """
+        members = self.parts.where("v <> representative")
+        return self.links.union(members.select("v", "representative")).union(members.select("representative", "v"))
+
 
 def sample_pivots(vertices: DataFrame, probability, seed: int, level: int) -> DataFrame:
     """Vertices (part, v[, out_degree, share]) whose uniform falls below ``probability`` (number or column)."""
@@ -129,9 +148,11 @@ def build_shortcut_set(graph: Graph, omega: float = 3.0, seed: int = 0, refineme
     """A shortcut set of the whole graph: components become one vertex, their shortcuts run between
     representatives, and the members of a component are linked with each other."""
     if not graph.vertices.head(1):
-        return ShortcutSet(graph.spark.createDataFrame([], "src long, dst long"), 0.0, 0.0)
+        none = graph.spark.createDataFrame([], "src long, dst long")
+        return ShortcutSet(none, none.selectExpr("src as v", "dst as scc_id", "dst as representative"), 0.0, 0.0)
     base = graph.to_unweighted()
     dag, parts = condense(base)
+    parts = materialised(parts, "members")
     dag = Graph(materialised(dag.vertices, "dag-vertices"), materialised(dag.edges, "dag-edges"))
     n, m = dag.num_vertices(), dag.num_edges()
     p = shortcut_parameters(n, m, omega)
@@ -141,7 +162,7 @@ def build_shortcut_set(graph: Graph, omega: float = 3.0, seed: int = 0, refineme
         inner = recursive_shortcuts(dag, p.k, p.rho, p.max_level, n, seed, density_aware_constant(p.rho, p.k), closure_threshold(p.k, n, p.rho, OMEGA), refinement)
     first = parts.select("scc_id", "representative").distinct()
     lifted = inner.join(first.select(F.col("scc_id").alias("src"), F.col("representative").alias("a")), "src").join(first.select(F.col("scc_id").alias("dst"), F.col("representative").alias("b")), "dst").select(F.col("a").alias("src"), F.col("b").alias("dst"))
-    return ShortcutSet(materialised(lifted.union(intra_component_shortcuts(base)).distinct(), "shortcut-set"), p.beta, p.realised_hops)
+    return ShortcutSet(materialised(lifted, "shortcut-links"), parts, p.beta, p.realised_hops)
 
 
 def iterative_shortcut_set(graph: Graph, max_iterations: int, seed: int = 0) -> DataFrame:

@@ -160,6 +160,35 @@ def test_shortcuts_of_cyclic_graphs_link_components(spark):
     assert {(0, 1), (1, 0), (3, 4), (4, 3)} <= set(rows(found)) and not checks.split_components(g, found).head(1)
 
 
+def test_spanning_shortcuts_connect_what_all_do(spark):
+    g = kept(graph(spark, [(i, (i + 1) % 9) for i in range(9)] + [(9 + i, 9 + (i + 1) % 5) for i in range(5)] + [(3, 11), (12, 14)]))
+    found = shortcuts.build_shortcut_set(g, seed=1)
+    assert found.spanning.count() - found.links.count() == 2 * (8 + 4) and found.pairs.count() - found.links.count() == 9 * 8 + 5 * 4
+    assert not found.spanning.join(found.pairs, ["src", "dst"], "left_anti").head(1)
+    alone = [Graph.of(s, g.vertices) for s in (found.pairs, found.spanning)]
+    assert rows(closure.transitive_closure(alone[0])) == rows(closure.transitive_closure(alone[1]))
+
+
+def test_whole_components_make_no_pairs(spark, monkeypatch):
+    g = kept(graph(spark, [(0, 1), (1, 0), (1, 2), (2, 3), (3, 2)]))
+    found = shortcuts.build_shortcut_set(g, seed=1).spanning
+    monkeypatch.setattr(checks, "transitive_closure", None)
+    assert not checks.split_components(g, found).head(1)
+    # edges that are lost between the two looks
+    lost = Graph(g.vertices, g.edges.where("src <> 3"))
+    monkeypatch.setattr(Graph, "with_shortcuts", lambda self, pairs: lost)
+    assert rows(checks.split_components(g, found)) == [(3, 2)]
+
+
+def test_the_driver_gets_sorted_arrays_only(spark, monkeypatch):
+    monkeypatch.setattr(fixpoint, "KERNEL_EDGES", 3)
+    e = spark.createDataFrame([(7, 1, 4), (1, 5, 2), (7, 5, 9)], "src long, dst long, w long")
+    a = fixpoint.edge_arrays(e, "w")
+    assert a.ids.tolist() == [1, 5, 7] and a.first.tolist() == [0, 1, 1, 3] and a.first.dtype == a.targets.dtype == "int32"
+    assert sorted(zip(a.targets.tolist(), a.value.tolist())) == [(0, 4), (1, 2), (1, 9)]
+    assert fixpoint.edge_arrays(e.union(e.limit(1)), "w") is None and not len(fixpoint.edge_arrays(e.limit(0), None).ids)
+
+
 def test_greedy_and_sparsifiers(spark):
     g = kept(generators.path_graph(spark, 6))
     found = shortcuts.greedy_shortcut_set(g, 3, 20)
