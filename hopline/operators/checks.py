@@ -12,7 +12,7 @@ from ..plans.fixpoint import Spread, propagate
 from ..plans.storage import materialised
 from .closure import strong_components, transitive_closure
 from .paths import dijkstra, hopbound_distances
-from .traversal import bfs_hops, each
+from .traversal import bfs_hops, each, reachable_pairs
 
 
 def check(violations: DataFrame, what: str) -> None:
@@ -43,10 +43,21 @@ def hops_over(graph: Graph, shortcuts: DataFrame, source: int, beta: float) -> D
 
 
 def split_components(graph: Graph, shortcuts: DataFrame) -> DataFrame:
-    """src, dst: members of a component that do not reach each other over edges and shortcuts."""
-    parts = materialised(strong_components(graph), "components")
-    pairs = parts.select("scc_id", F.col("v").alias("src")).join(parts.select("scc_id", F.col("v").alias("dst")), "scc_id").where("src <> dst").select("src", "dst")
-    return pairs.join(transitive_closure(graph.to_unweighted().with_shortcuts(shortcuts)), ["src", "dst"], "left_anti")
+    """src, dst: members of a component that do not reach each other over edges and shortcuts.
+
+    Members that share a component there too do; pairs are only made of components that fell apart.
+    """
+    whole = graph.to_unweighted().with_shortcuts(shortcuts)
+    whole = Graph(whole.vertices, materialised(whole.edges, "edges-and-shortcuts"))
+    parts = strong_components(graph).join(strong_components(whole).withColumnRenamed("scc_id", "now"), "v")
+    parts = materialised(parts, "components")
+    apart = parts.groupBy("scc_id").agg(F.min("now").alias("low"), F.max("now").alias("high")).where("low < high")
+    members = materialised(parts.join(apart, "scc_id", "left_semi").select("scc_id", "v"), "split-components")
+    pairs = members.withColumnRenamed("v", "src").join(members.withColumnRenamed("v", "dst"), "scc_id").where("src <> dst").select("src", "dst")
+    if not members.head(1):
+        return pairs
+    reached = reachable_pairs(whole, members.select(F.col("v").alias("id"))).select(F.col("source").alias("src"), F.col("v").alias("dst"))
+    return pairs.join(reached, ["src", "dst"], "left_anti")
 
 
 def partition_faults(vertices: DataFrame, parts: DataFrame) -> DataFrame:

@@ -93,11 +93,11 @@ _TOP = np.iinfo(np.int64).max
 
 
 def edge_arrays(edges: DataFrame, value: str | None) -> EdgeArrays | None:
-    """The edges as arrays if there are at most ``KERNEL_EDGES``, else None."""
+    """The edges as arrays if there are at most ``KERNEL_EDGES``, else None; more are counted, not fetched."""
     columns = ["src", "dst", *([value] if value else [])]
-    table = edges.select(*columns).limit(KERNEL_EDGES + 1).toArrow()
-    if table.num_rows > KERNEL_EDGES:
+    if edges.limit(KERNEL_EDGES + 1).count() > KERNEL_EDGES:
         return None
+    table = edges.select(*columns).toArrow()
     return EdgeArrays(*(np.array(table.column(c), np.int64) for c in columns[:2]), np.array(table.column(value), np.int64) if value else None)
 
 
