@@ -5,12 +5,14 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from hopline import catalogue, fixtures
 from hopline.config import Refinement
 from hopline.errors import ClosureBudgetExceeded, GraphError, InvalidValue
 from hopline.functions import parameters
 from hopline.graph import UNREACHABLE, Graph
 from hopline.operators import checks, closure, dynamic, generators, hopsets, paths, shortcuts, sketches, traversal
 from hopline.plans import fixpoint
+from hopline.plans.storage import materialised
 
 from .test_graph import graph, rows
 
@@ -180,6 +182,41 @@ def test_whole_components_make_no_pairs(spark, monkeypatch):
     assert rows(checks.split_components(g, found)) == [(3, 2)]
 
 
+def test_pairs_of_components_of_any_size(spark, monkeypatch):
+    sizes = {0: 1, 10: 2, 100: 8, 1000: 9, 2000: 40, 3000: 1}
+    members = [(first + 3 * i, first) for first, n in sizes.items() for i in range(n)]
+    parts = spark.createDataFrame(members[::-1], "v long, scc_id long").repartition(3)
+    want = sorted((a, b) for a, x in members for b, y in members if x == y and a != b)
+    assert rows(closure.component_pairs(parts)) == want
+    monkeypatch.setattr(closure, "TILE", (16, 8))
+    monkeypatch.setattr(closure, "TASK_PAIRS", 200)
+    found = closure.component_pairs(parts)
+    assert rows(found) == want
+    # the largest component makes 1560 of the 1690 pairs
+    most = found.groupBy(F.spark_partition_id()).count().agg(F.max("count")).head()[0]
+    assert found.rdd.getNumPartitions() > 4 and most < 1000
+    assert closure.component_pairs(parts.limit(0)).count() == 0
+
+
+def test_pairs_of_a_component_are_small_on_disk(spark, tmp_path):
+    n = 2000
+    parts = spark.range(n).select((F.col("id") * 7919 % n).alias("v"), F.lit(0).cast("long").alias("scc_id")).repartition(3, "v")
+    closure.component_pairs(parts).write.parquet(str(tmp_path / "pairs"))
+    back = spark.read.parquet(str(tmp_path / "pairs"))
+    assert back.distinct().count() == n * (n - 1) and not back.where("src = dst").head(1)
+    # 11 bits of a target for each pair would be 1.4 bytes
+    assert sum(p.stat().st_size for p in (tmp_path / "pairs").glob("*.parquet")) < 0.4 * n * n
+
+
+def test_the_graph_of_a_query_is_derived_once(spark, monkeypatch):
+    plans = []
+    monkeypatch.setattr(catalogue, "materialised", lambda df, label: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or materialised(df, label))
+    g = catalogue._g1(spark, "/root/testdata/sf0.001", 46)
+    assert sum("l_orderkey" in p for p in plans) == 1
+    want = fixtures.part_succession(spark, "/root/testdata/sf0.001", 46)
+    assert rows(g.edges) == rows(want.edges) and rows(g.vertices) == rows(want.vertices)
+
+
 def test_too_many_edges_are_not_fetched(spark, monkeypatch):
     monkeypatch.setattr(fixpoint, "KERNEL_EDGES", 3)
     e = spark.createDataFrame([(7, 1, 4), (1, 5, 2), (7, 5, 9)], "src long, dst long, w long")
