@@ -59,6 +59,15 @@ def bucketed(df: DataFrame, key: str, label: str, n: int) -> DataFrame:
     return out
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """``df`` for a join that shuffles whatever size Spark expects.
+
+    Spark sizes written tables by their compressed files, and what Python or an explode makes of them by
+    what goes in: keys that are 130 times as many rows would still be broadcast.
+    """
+    return df.hint("merge")
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of jobs whose results are written."""
     gc.collect()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import shuffled, written
 
 
 def _digest(edges: DataFrame) -> tuple:
@@ -25,9 +25,9 @@ def connected_components(links: DataFrame) -> DataFrame:
     while seen[0]:
         both = edges.unionByName(edges.selectExpr("v as u", "u as v"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").selectExpr("v as u", "m as v").distinct()
+        large = both.where("v > u").join(shuffled(least), "u").selectExpr("v as u", "m as v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").selectExpr("v as u", "m as v").unionByName(least.selectExpr("u", "m as v")).distinct()
+        small = large.join(shuffled(least), "u").where("v <> m").selectExpr("v as u", "m as v").unionByName(least.selectExpr("u", "m as v")).distinct()
         edges = written(small, "stars")
         now = _digest(edges)
         if now == seen:

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, giving_back, text_bytes, written
+from .common import free_name, giving_back, shuffled, text_bytes, written
 from .components import connected_components
 from .golay import LENGTH, nearby_codewords
 
@@ -113,9 +113,9 @@ def near_fingerprints(prints: DataFrame) -> DataFrame:
     """
     keyed = _keyed(prints.withColumn("f", F.col("f0")), ["f", "f0"], segment_keys)
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    shared = written(keyed.join(sizes, "key"), "golay-buckets")
+    shared = written(keyed.join(shuffled(sizes), "key"), "golay-buckets")
     few = shared.where(f"n <= {PAIRS_UP_TO}").select("key", F.col("f").alias("a"))
-    pairs = few.join(few.select("key", F.col("a").alias("b")), "key").where("a < b").where(differing_bits("a", "b") <= 2).select("a", "b")
+    pairs = few.join(shuffled(few.select("key", F.col("a").alias("b"))), "key").where("a < b").where(differing_bits("a", "b") <= 2).select("a", "b")
     crowded = shared.where(f"n > {PAIRS_UP_TO}").select("f").distinct()
     places = F.array(F.col("f"), *(F.col("f").bitwiseXOR(F.lit((1 << i) - (1 << 64 if i == 63 else 0)).cast("long")) for i in range(64)))
     met = crowded.select("f", F.explode(places).alias("place")).groupBy("place").agg(F.collect_set("f").alias("fs")).where(F.size("fs") > 1)
@@ -135,11 +135,11 @@ def simhash_components(docs: DataFrame, shingle: int = 3) -> DataFrame:
     least = rows.groupBy("f0").agg(F.min("doc_id").alias("least_id"))
     prints = written(least, "distinct-fingerprints")
     roots = connected_components(near_fingerprints(prints)).selectExpr("id as f0", "root")
-    placed = prints.join(roots, "f0", "left").select("f0", "least_id", F.coalesce("root", "f0").alias("root"))
+    placed = prints.join(shuffled(roots), "f0", "left").select("f0", "least_id", F.coalesce("root", "f0").alias("root"))
     named = placed.groupBy("root").agg(F.min("least_id").alias("component_id"))
     # one row per fingerprint, written so that the join below shuffles it plainly and a hot one can be split
-    final = written(placed.join(named, "root").select("f0", "component_id"), "fingerprint-components")
-    return rows.join(final, "f0").select("doc_id", F.lpad(F.lower(F.hex("f0")), 16, "0").alias("fingerprint"), "component_id")
+    final = written(placed.join(shuffled(named), "root").select("f0", "component_id"), "fingerprint-components")
+    return rows.join(shuffled(final), "f0").select("doc_id", F.lpad(F.lower(F.hex("f0")), 16, "0").alias("fingerprint"), "component_id")
 
 
 # --- near copies by shingle similarity -----------------------------------------------------------
@@ -248,8 +248,8 @@ def may_reach(similarity: float, length_x: np.ndarray, counts_x: np.ndarray, len
 
 
 def few_or_shuffled(ids: DataFrame) -> DataFrame:
-    """``ids`` marked for broadcast if it has few rows; else a shuffle join takes it."""
-    return F.broadcast(ids) if ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else ids
+    """``ids`` marked for broadcast if it has few rows; else for a shuffle."""
+    return F.broadcast(ids) if ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else shuffled(ids)
 
 
 def shingle_sets(docs: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
@@ -276,7 +276,7 @@ def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
                 keep.append(both >= similarity * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    both = pairs.join(sets.selectExpr("doc_id as a", "hashes as x"), "a").join(sets.selectExpr("doc_id as b", "hashes as y"), "b").select("a", "b", "x", "y")
+    both = pairs.join(shuffled(sets.selectExpr("doc_id as a", "hashes as x")), "a").join(shuffled(sets.selectExpr("doc_id as b", "hashes as y")), "b").select("a", "b", "x", "y")
     return both.mapInArrow(giving_back(run), "a long, b long")
 
 
@@ -311,7 +311,7 @@ def _star_pairs(led: DataFrame, prints: DataFrame, similarity: float) -> DataFra
     Those that a smallest document leads are looked at in blocks of bounded size.
     """
     led = led.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-    met = led.join(prints.select("doc_id", "length", "counts"), "doc_id").select("a", "blocks", F.expr("pmod(xxhash64(doc_id), blocks)").alias("block"), F.struct("doc_id", "length", "counts").alias("d"))
+    met = led.join(shuffled(prints.select("doc_id", "length", "counts")), "doc_id").select("a", "blocks", F.expr("pmod(xxhash64(doc_id), blocks)").alias("block"), F.struct("doc_id", "length", "counts").alias("d"))
     blocks = met.groupBy("a", "blocks", "block").agg(F.collect_list("d").alias("docs"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -324,7 +324,7 @@ def _star_pairs(led: DataFrame, prints: DataFrame, similarity: float) -> DataFra
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     leaders = prints.select(F.col("doc_id").alias("a"), F.struct("doc_id", "length", "counts").alias("first"))
-    return blocks.join(leaders, "a").select("first", "docs").mapInArrow(giving_back(run), "a long, b long")
+    return blocks.join(shuffled(leaders), "a").select("first", "docs").mapInArrow(giving_back(run), "a long, b long")
 
 
 def _listed_pairs(buckets: DataFrame, similarity: float) -> DataFrame:
@@ -359,7 +359,7 @@ def _block_pairs(prints: DataFrame, similarity: float) -> DataFrame:
     met = prints.select("doc_id", "comp", *fields, salts).select("g.*", "doc_id", "comp", *fields)
     shares = met.groupBy("pair", "salt", "comp").agg(F.count("*").alias("m"))
     mixed = shares.groupBy("pair", "salt").agg(F.max(F.struct("m", "comp")).alias("most"), F.sum("m").alias("n"), F.count("*").alias("comps")).where("comps > 1")
-    whole = met.join(mixed.select("pair", "salt", "n", F.col("most.comp").alias("largest")), ["pair", "salt"])
+    whole = met.join(shuffled(mixed.select("pair", "salt", "n", F.col("most.comp").alias("largest"))), ["pair", "salt"])
     whole = whole.select("pair", "salt", F.expr(f"pmod(xxhash64(doc_id), cast(ceil(n / {BLOCK}) as int))").alias("block"), F.struct("doc_id", "comp", (F.col("comp") != F.col("largest")).alias("odd"), *fields).alias("d"))
     blocks = whole.groupBy("pair", "salt", "block").agg(F.collect_list("d").alias("ys"))
     odd = whole.where("d.odd").groupBy("pair", "salt", F.col("block").alias("odd_block")).agg(F.collect_list("d").alias("xs"))
@@ -382,13 +382,13 @@ def _block_pairs(prints: DataFrame, similarity: float) -> DataFrame:
                 p, q = x["doc_id"][i], y["doc_id"][j]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))], names=["a", "b"])
 
-    return odd.join(blocks, ["pair", "salt"]).select("pair", "xs", "ys").mapInArrow(giving_back(run), "a long, b long")
+    return odd.join(shuffled(blocks), ["pair", "salt"]).select("pair", "xs", "ys").mapInArrow(giving_back(run), "a long, b long")
 
 
 def _with_components(prints: DataFrame, links: DataFrame) -> DataFrame:
     """``prints`` with ``comp``, the smallest id that ``links`` reach from a document."""
     known = connected_components(links).select(F.col("id").alias("doc_id"), "root")
-    return prints.join(known, "doc_id", "left").select(*_PRINT, F.coalesce("root", "doc_id").alias("comp"))
+    return prints.join(shuffled(known), "doc_id", "left").select(*_PRINT, F.coalesce("root", "doc_id").alias("comp"))
 
 
 def near_copy_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -412,23 +412,23 @@ def near_copy_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8)
     texts = docs.selectExpr("cast(doc_id as long) doc_id", "text").where("doc_id is not null and text is not null")
     hashed = texts.select("doc_id", F.xxhash64("text").alias("h0"), F.crc32("text").alias("h1"), F.length("text").alias("h2"))
     firsts = written(hashed.groupBy("h0", "h1", "h2").agg(F.min("doc_id").alias("first")), "distinct-texts")
-    copies = written(hashed.join(firsts, ["h0", "h1", "h2"]).where("doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b")), "exact-copies")
-    prints = near_copy_prints(texts, shingle).where("length > 0").join(firsts.selectExpr("first as doc_id").distinct(), "doc_id", "left_semi")
+    copies = written(hashed.join(shuffled(firsts), ["h0", "h1", "h2"]).where("doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b")), "exact-copies")
+    prints = near_copy_prints(texts, shingle).where("length > 0").join(shuffled(firsts.selectExpr("first as doc_id").distinct()), "doc_id", "left_semi")
     prints = written(prints.groupBy("doc_id").agg(F.min(F.struct(*_PRINT[1:])).alias("p")).select("doc_id", "p.*"), "near-copy-prints")
     looked_at = [c for c in _PRINT[1:] if c not in ("length", "counts")]
     keyed = _keyed(prints, ["doc_id", *looked_at], paired_segment_keys)
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("least")).where("n > 1")
-    buckets = written(keyed.join(sizes, "key"), "near-copy-buckets")
+    buckets = written(keyed.join(shuffled(sizes), "key"), "near-copy-buckets")
     links = _verified(texts, _star_pairs(_first_leaders(buckets), prints, similarity), shingle, similarity)
-    met = written(_with_components(prints.join(buckets.select("doc_id").distinct(), "doc_id", "left_semi"), links), "near-copy-met")
+    met = written(_with_components(prints.join(shuffled(buckets.select("doc_id").distinct()), "doc_id", "left_semi"), links), "near-copy-met")
     keyed = _keyed(met, ["doc_id", "comp", *looked_at], paired_segment_keys, 2)
     least = F.min(F.struct("doc_id", "comp"))
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n"), least["doc_id"].alias("least"), least["comp"].alias("least_comp"), F.min("comp").alias("low"), F.max("comp").alias("high"))
-    buckets = written(keyed.join(sizes.where("low < high").drop("low", "high"), "key"), "near-copy-mixed")
+    buckets = written(keyed.join(shuffled(sizes.where("low < high").drop("low", "high")), "key"), "near-copy-mixed")
     links = links.unionByName(_verified(texts, _star_pairs(_other_leaders(buckets), met, similarity), shingle, similarity))
-    met = written(_with_components(met.drop("comp").join(buckets.where("n > 2").select("doc_id").distinct(), "doc_id", "left_semi"), links), "near-copy-open")
-    small = buckets.where(F.col("n").between(3, LISTED)).select("key", "doc_id").join(met.select("doc_id", "comp", "length", "counts"), "doc_id")
-    large = met.join(buckets.where(F.col("n") > LISTED).select("doc_id").distinct(), "doc_id", "left_semi")
+    met = written(_with_components(met.drop("comp").join(shuffled(buckets.where("n > 2").select("doc_id").distinct()), "doc_id", "left_semi"), links), "near-copy-open")
+    small = buckets.where(F.col("n").between(3, LISTED)).select("key", "doc_id").join(shuffled(met.select("doc_id", "comp", "length", "counts")), "doc_id")
+    large = met.join(shuffled(buckets.where(F.col("n") > LISTED).select("doc_id").distinct()), "doc_id", "left_semi")
     pairs = _listed_pairs(small, similarity).unionByName(_block_pairs(large, similarity))
     more = _verified(texts, pairs, shingle, similarity)
     return connected_components(copies.unionByName(links).unionByName(more)).select(F.col("id").alias("doc_id"), F.col("root").alias("group"))

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import giving_back, written
+from .common import giving_back, shuffled, written
 
 #: The most labelled rows of either class that the model is fitted on.
 SAMPLE_TOXIC, SAMPLE_CLEAN = 3000, 6000
@@ -248,7 +248,7 @@ def term_counts(sample: DataFrame, least: int) -> list:
     words = counts.where("toxic = 1 and not endswith(term, '-')").groupBy("term").agg(F.min("fold").alias("low"), F.max("fold").alias("high"))
     stems = words.select(F.explode(F.array(*(F.when(F.length("term") > n, F.concat(F.left("term", F.lit(n)), F.lit("-"))) for n in _STEMS))).alias("stem"), "low", "high").where("stem is not null")
     forms = stems.groupBy(F.col("stem").alias("term")).agg(F.count("*").alias("forms"), F.array(*(F.sum(((F.col("low") == f) & (F.col("high") == f)).cast("long")) for f in range(FOLDS))).alias("only"))
-    return by_term.join(forms, "term", "left").select("term", "bad", "good", F.coalesce("forms", F.lit(0)).alias("forms"), F.coalesce("only", F.array(*[F.lit(0).cast("long")] * FOLDS)).alias("only")).collect()
+    return by_term.join(shuffled(forms), "term", "left").select("term", "bad", "good", F.coalesce("forms", F.lit(0)).alias("forms"), F.coalesce("only", F.array(*[F.lit(0).cast("long")] * FOLDS)).alias("only")).collect()
 
 
 def lexicon(counts: list, sizes: dict[tuple[int, int], int], without: int | None = None) -> Lexicon:

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from hopline.llm import matching, passages, simhash, suffixes
+from hopline.llm import components, matching, passages, simhash, suffixes
 from hopline.llm.components import connected_components
 from hopline.llm.golay import nearby_codewords
 from hopline.llm.matching import repeated_word_runs
@@ -162,6 +162,20 @@ def test_a_copy_is_first_compared_with_one_leader(make, prose, monkeypatch):
     assert 0 < led[0] < 40 and led[1] < 40
 
 
+def test_spark_chooses_no_broadcast_by_what_it_expects(make, copies, monkeypatch):
+    """Small tables, of which it would broadcast every one; only ids that were counted may be marked for it."""
+    plans, write = [], simhash.written
+    monkeypatch.setattr(simhash, "BROADCAST_ROWS", -1)
+    for module in (simhash, components):
+        monkeypatch.setattr(module, "written", lambda df, label: plans.append((label, df._jdf.queryExecution().sparkPlan().toString())) or write(df, label))
+    for found in (simhash.drop_near_copies(make(copies)), simhash.simhash_components(make(copies))):
+        write(found, "found")
+        plans.append(("found", found._jdf.queryExecution().sparkPlan().toString()))
+    assert {"near-copy-buckets", "near-copy-mixed", "golay-buckets", "stars"} <= {label for label, _ in plans}
+    assert [label for label, plan in plans if "Broadcast" in plan] == []
+    assert sum("SortMergeJoin" in plan for _, plan in plans) > 10
+
+
 def test_the_bound_rules_out_only_what_is_less_similar():
     r = np.random.default_rng(4)
     sets = [np.unique(r.integers(0, 400, n)) for n in (1, 30, 200, 300, 390, 5000)] + [np.arange(256 * 300)]
