@@ -208,6 +208,12 @@ def test_pairs_of_a_component_are_small_on_disk(spark, tmp_path):
     assert sum(p.stat().st_size for p in (tmp_path / "pairs").glob("*.parquet")) < 0.4 * n * n
 
 
+def test_pairs_of_a_tile_are_not_held_at_once(spark):
+    """Explodes in one generated loop keep all rows of a tile; an operator between them lets rows go source by source."""
+    plan = closure.component_pairs(spark.range(9).selectExpr("id as v", "0L as scc_id"))._jdf.queryExecution().sparkPlan().toString()
+    assert "Coalesce" in plan[plan.index("explode(targets") : plan.index("explode(sources")]
+
+
 def test_the_graph_of_a_query_is_derived_once(spark, monkeypatch):
     plans = []
     monkeypatch.setattr(catalogue, "materialised", lambda df, label: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or materialised(df, label))
